@@ -18,6 +18,26 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovework.llm.simhash import hex16, near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", hex16().alias("fingerprint"), "component_id")
+
+
+def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovework.llm.weakrules import BASE, quality
+
+    found = quality(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+    return found.select(
+        "doc_id",
+        *(F.col(f"q_{c}").alias(c) for c in BASE),
+        F.col("q_base_failed").alias("base_failed"),
+        F.col("q_kept").alias("kept"),
+        F.round("q_good", 6).alias("posterior"),
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovework.llm.bpe import encode_documents
 
@@ -30,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe": op10_bpe}
+    return {"op3_simhash": op3_simhash, "op8_weak_rules": op8_weak_rules, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
