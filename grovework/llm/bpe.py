@@ -195,7 +195,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: Seque
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
-        for batch in slices(batches):
+        for batch in slices(batches, text=len(keep)):
             ids = coder.encode_batch(batch.column(len(keep)).to_pylist())
             columns = [*batch.columns[: len(keep)], pa.array(ids, pa.binary())]
             if decode:

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +38,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what a task makes of each stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: int | None = None, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what a task makes of each stays small: of so
+    many rows, and of so many bytes in column `text` (a longer text comes alone)."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if text is None:
+            cuts = list(range(0, batch.num_rows, rows))
+        else:
+            cuts, held = [], most_bytes
+            for at, size in enumerate(pc.binary_length(batch.column(text)).fill_null(0).to_pylist()):
+                held += size
+                if held > most_bytes or at - cuts[-1] >= rows:
+                    cuts.append(at)
+                    held = size
+        for at, end in zip(cuts, [*cuts[1:], batch.num_rows]):
+            yield batch.slice(at, end - at)
 
 
 def source_order(name: str = "source") -> list[Column]:

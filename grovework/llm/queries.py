@@ -25,6 +25,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16().alias("fingerprint"), "component_id")
 
 
+def op7_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovework.llm.langid import identify, learn
+
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    profiles = learn(docs.filter(~held_out))
+    return identify(docs, profiles).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovework.llm.weakrules import BASE, quality
 
@@ -50,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op8_weak_rules": op8_weak_rules, "op10_bpe": op10_bpe}
+    return {f.__name__: f for f in (op3_simhash, op7_hyperdimensional, op8_weak_rules, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
