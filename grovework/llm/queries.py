@@ -19,6 +19,12 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovework.llm.fingerprint import fingerprint_pairs
+
+    return fingerprint_pairs(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovework.llm.simhash import hex16, near_duplicates
 
@@ -74,7 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe)}
+    return {f.__name__: f for f in (op1_weighted_sampling, op3_simhash, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
