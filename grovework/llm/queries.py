@@ -32,6 +32,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16().alias("fingerprint"), "component_id")
 
 
+def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovework.llm.common import written
+    from grovework.llm.curriculum import in_order, mixed, words_in
+
+    sized = written(documents(spark, sf_dir).select("doc_id", "source", words_in("text").alias("size")), "sizes")
+    found = mixed(sized, F.col("size")).select(
+        "doc_id",
+        "size",
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        F.col("mix_taken").alias("taken"),
+        F.get("mix_positions", F.lit(0)).alias("position"),
+    )
+    return in_order(found, F.col("position"), "doc_id")
+
+
 def op7_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovework.llm.langid import identify, learn
 
@@ -80,7 +96,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_sampling, op3_simhash, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe)}
+    return {f.__name__: f for f in (op1_weighted_sampling, op3_simhash, op4_curriculum, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
