@@ -84,10 +84,10 @@ def op9_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fifth().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encoded(docs: DataFrame) -> DataFrame:
     from grovework.llm.bpe import encode_documents
 
-    return encode_documents(documents(spark, sf_dir), bpe_path()).select(
+    return encode_documents(docs, bpe_path()).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
@@ -95,6 +95,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_weighted_sampling, op3_simhash, op4_curriculum, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe)}
 
