@@ -4,6 +4,7 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,27 @@ def op1_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(documents(spark, sf_dir))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts all documents, then revises those with ids ending in 3 (their
+    text twice), moves those ending in 5 to source `moved` and deletes those
+    ending in 7; the second batch comes twice, as after a lost answer."""
+    from grovework.llm.common import shared_dir, written
+    from grovework.llm.rollup import TokenRollup, counted
+
+    docs = documents(spark, sf_dir)
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}").create()
+    first = written(counted(docs, "insert", 1), "events")
+    rollup.commit(0, first)
+    ending = lambda n: F.pmod(F.col("doc_id"), F.lit(10)) == n
+    doubled = F.when(F.col("tokenizer") == "bytes-1", 2 * F.col("n_tokens") + 1).otherwise(2 * F.col("n_tokens"))
+    later = first.filter(ending(3)).withColumns({"op": F.lit("revise"), "n_tokens": doubled})
+    later = later.unionByName(first.filter(ending(5)).withColumns({"op": F.lit("revise"), "source": F.lit("moved")}))
+    later = later.unionByName(first.filter(ending(7)).withColumn("op", F.lit("delete")))
+    for _ in range(2):
+        rollup.commit(1, later)
+    return rollup.totals()
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovework.llm.simhash import hex16, near_duplicates
 
@@ -48,6 +70,29 @@ def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(found, F.col("position"), "doc_id")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte ids (a byte-level tokenizer's: one id for each byte of UTF-8) in rows of 2048."""
+    from grovework.llm.packing import pack
+
+    packed = pack(documents(spark, sf_dir), F.encode("text", "utf-8"), 1, 2048)
+    return packed.select(
+        "shard",
+        "pack",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        "doc_ids",
+        "doc_starts",
+        "cu_seqlens",
+        F.slice("cu_seqlens", F.lit(1), F.size("cu_seqlens") - 1).alias("position_resets"),
+    )
+
+
+def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovework.llm.html_layout import extract
+
+    return extract(spark.read.parquet(os.path.join(sf_dir, "pages.parquet")))
+
+
 def op7_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovework.llm.langid import identify, learn
 
@@ -100,8 +145,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_sampling, op3_simhash, op4_curriculum, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe)}
+    return {f.__name__: f for f in (op1_weighted_sampling, op2_token_rollup, op3_simhash, op4_curriculum, op5_packing, op6_html_layout, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe)}
+
+
+WORD_SQL = r"[^\x20\x09-\x0D]+"
+
+OP2_SQL = rf"""
+WITH counts AS (
+  SELECT doc_id, source, lang, tokenizer, CASE WHEN tokenizer = 'words-1'
+    THEN coalesce(len(regexp_extract_all(text, '{WORD_SQL}')), 0) ELSE coalesce(strlen(text), 0) END AS n
+  FROM documents, (VALUES ('words-1'), ('bytes-1')) AS t(tokenizer)
+  WHERE doc_id % 10 <> 7
+)
+SELECT CASE WHEN doc_id % 10 = 5 THEN 'moved' ELSE source END AS source, lang, tokenizer,
+  count(*) AS n_docs,
+  CAST(sum(CASE WHEN doc_id % 10 <> 3 THEN n WHEN tokenizer = 'words-1' THEN 2 * n ELSE 2 * n + 1 END) AS BIGINT) AS n_tokens
+FROM counts GROUP BY ALL
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_token_rollup": OP2_SQL}
