@@ -193,18 +193,16 @@ def near_links(distinct: DataFrame, distance: int = 4, block: int = 1024) -> Dat
     if not 0 <= distance <= 4:
         raise ValueError("three segments find differences of at most four bits")
     keyed = _keyed(distinct)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    crowded = keyed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("g")).filter("g > 1")
     own = F.pmod(F.xxhash64("fp"), F.col("g").cast("long")).cast("int")
-    met = F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(
+    met = F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(
             F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda x: x != F.col("own")),
             lambda x: F.least(x, F.col("own")) * F.col("g") + F.greatest(x, F.col("own")),
         )
     )
     bucketed = (
-        keyed.join(shared, "key")
-        .withColumn("g", blocks)
+        keyed.join(crowded, "key", "left")
         .withColumn("own", own)
         .select("fp", "key", F.explode(met).alias("met"))
         .select("fp", F.xxhash64("key", "met").alias("bucket"))
