@@ -1,0 +1,22 @@
+"""Approximate nearest nodes: locality-sensitive hashing, exact re-ranking."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from grovework.functions.vectors import doubles
+from grovework.operators.retrieval import ranked
+
+
+def approx_top_k(questions: DataFrame, nodes: DataFrame, k: int = 10, radius: float = 1.7, tables: int = 8, bucket: float = 2.0, seed: int = 42) -> DataFrame:
+    """The k nearest of the candidates that share a bucket with the question, of
+    all documents. Distances are exact (squared); recall is measured in tests."""
+    q = questions.select("query_id", array_to_vector(doubles(F.col("embedding"))).alias("v"))
+    n = nodes.select("node_id", array_to_vector(doubles(F.col("embedding"))).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(n)
+    pairs = model.approxSimilarityJoin(n, q, radius, "d")
+    rows = pairs.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.node_id").alias("node_id"), (F.col("d") * F.col("d")).alias("distance"))
+    return ranked(rows, k, "distance", "node_id")
