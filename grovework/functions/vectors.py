@@ -41,5 +41,6 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 def letter_histogram(text: Column) -> Column:
     """Counts of a..z in the lower-cased text: the embedder without a model."""
-    low = F.lower(text)
-    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+    count = lambda low, c: (F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double")
+    # a lambda's variable: lower() is slow and would be repeated for each letter
+    return F.get(F.transform(F.array(F.lower(text)), lambda low: F.array(*(count(low, c) for c in LETTERS))), F.lit(0))

@@ -87,7 +87,8 @@ def chunk_text(
     rows = rows.withColumn("sims", adjacent_similarity(F.col("vectors")))
     rows = rows.select(id_col, fold_boundaries(F.col("groups"), F.col("sims"), similarity_threshold, max_tokens).alias("raw"))
     rows = rows.select(id_col, merge_small(F.col("raw"), min_tokens).alias("merged"))
-    return rows.select(id_col, F.posexplode(add_overlap(F.col("merged"), overlap_tokens)).alias("chunk_index", "chunk"))
+    # outer: no array is empty, and a filter on sizes would compute all steps again
+    return rows.select(id_col, F.posexplode_outer(add_overlap(F.col("merged"), overlap_tokens)).alias("chunk_index", "chunk"))
 
 
 def contextualize(chunks: DataFrame, summaries: DataFrame, id_col: str = "document_id") -> DataFrame:

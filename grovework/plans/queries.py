@@ -26,11 +26,14 @@ ORACLES: dict[str, str] = {}
 ENTS = entity_ctes()
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, ints: str = "", doubles: str = ""):
+    """Registers a query; `ints` and `doubles` are SQL columns that have these types in Spark."""
+
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            cast = ", ".join([*(f"CAST({c} AS INT) AS {c}" for c in ints.split()), *(f"CAST({c} AS DOUBLE) AS {c}" for c in doubles.split())])
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({cast}) FROM ({sql})" if cast else sql
         return f
 
     return register
@@ -79,7 +82,7 @@ def a04_context_window(spark, d):
 
 
 @query(with_(NODES) + """SELECT concat(document_id, '_L', layer, '_', CASE WHEN is_summary THEN 'summary' ELSE 'chunk' END, chunk_index) AS node_id, document_id, layer, chunk_index,
-  length(text) // 4 AS token_count FROM nodes""")
+  length(text) // 4 AS token_count FROM nodes""", ints="token_count")
 def a05_write_nodes(spark, d):
     rows = W.nodes(spark, d)
     name = T.node_id(F.col("document_id"), F.col("layer"), F.col("chunk_index"), F.col("is_summary"))
@@ -91,7 +94,7 @@ def a05_write_nodes(spark, d):
 
 @query(with_(NODES) + """SELECT concat(document_id, '_L0_chunk', chunk_index) AS node_id, length(text) // 4 AS token_count,
   length(concat('From ''', document_id, ''': ', left(source, 200), E'...\\n\\n', text)) // 4 AS contextual_token_count, left(source, 200) AS doc_summary, true AS has_context
-  FROM nodes""".replace("E'...\\\\n\\\\n'", "E'...\\n\\n'"))
+  FROM nodes""".replace("E'...\\\\n\\\\n'", "E'...\\n\\n'"), ints="token_count contextual_token_count")
 def a06_contextualized_nodes(spark, d):
     rows = W.nodes(spark, d)
     summaries = rows.select(F.col("node_id").alias("k"), F.col("source").alias("summary"))
@@ -152,7 +155,7 @@ def a13_ingest_report(spark, d):
 # ---- B: text functions
 
 
-@query("SELECT doc_id, length(text) // 4 AS tokens FROM documents")
+@query("SELECT doc_id, length(text) // 4 AS tokens FROM documents", ints="tokens")
 def b01_count_tokens(spark, d):
     return docs_of(spark, d).select("doc_id", T.count_tokens(F.col("text")).alias("tokens"))
 
@@ -161,7 +164,7 @@ SENTENCES_SQL = r"""list_filter(list_transform(string_split(regexp_replace({t},
 SENTS = "sents AS (SELECT doc_id, " + SENTENCES_SQL.format(t="text") + " AS s FROM documents)"
 
 
-@query(with_(SENTS) + "SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM sents")
+@query(with_(SENTS) + "SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM sents", ints="pos")
 def b02_split_sentences(spark, d):
     return docs_of(spark, d).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -230,7 +233,7 @@ def b10_format_bytes(spark, d):
 
 # ---- C: chunking
 
-HIST_SQL = "list_transform(range(97, 123), lambda c: CAST(length(lower({t})) - length(replace(lower({t}), chr(c), '')) AS DOUBLE))"
+HIST_SQL = "list_transform(range(97, 123), lambda c: CAST(length(lower({t})) - length(replace(lower({t}), chr(CAST(c AS INT)), '')) AS DOUBLE))"
 GROUPED = f"""{SENTS},
 glists AS (SELECT doc_id, CASE WHEN len(s) = 0 THEN [''] ELSE list_transform(range(0, CAST(ceil(len(s) / 3) AS BIGINT)), lambda i: array_to_string(s[i * 3 + 1 : i * 3 + 3], ' ')) END AS g FROM sents),
 grp AS (SELECT doc_id, unnest(g) AS text, generate_subscripts(g, 1) - 1 AS pos FROM glists),
@@ -265,36 +268,36 @@ def groups_of(spark, d):
     return rows.withColumn("v", F.transform("g", V.letter_histogram)).withColumn("sims", C.adjacent_similarity(F.col("v")))
 
 
-@query(with_(GROUPED) + "SELECT doc_id, pos, text FROM grp")
+@query(with_(GROUPED) + "SELECT doc_id, pos, text FROM grp", ints="pos")
 def c01_group_sentences(spark, d):
-    return groups_of(spark, d).select("doc_id", F.posexplode("g").alias("pos", "text"))
+    return groups_of(spark, d).select("doc_id", F.posexplode_outer("g").alias("pos", "text"))
 
 
-@query(with_(GROUPED) + "SELECT doc_id, pos, round(sim, 6) AS sim FROM gsim")
+@query(with_(GROUPED) + "SELECT doc_id, pos, round(sim, 6) AS sim FROM gsim", ints="pos")
 def c02_adjacent_similarity(spark, d):
-    return groups_of(spark, d).select("doc_id", F.posexplode("sims").alias("pos", "s")).select("doc_id", "pos", F.round("s", 6).alias("sim"))
+    return groups_of(spark, d).select("doc_id", F.posexplode_outer("sims").alias("pos", "s")).select("doc_id", "pos", F.round("s", 6).alias("sim"))
 
 
 def raw_chunks(spark, d):
     return groups_of(spark, d).select("doc_id", C.fold_boundaries(F.col("g"), F.col("sims")).alias("r"))
 
 
-@query(recursive(GROUPED, FOLDED) + "SELECT doc_id, chunk, text FROM raw")
+@query(recursive(GROUPED, FOLDED) + "SELECT doc_id, chunk, text FROM raw", ints="chunk")
 def c03_boundary_fold(spark, d):
-    return raw_chunks(spark, d).select("doc_id", F.posexplode("r").alias("chunk", "text"))
+    return raw_chunks(spark, d).select("doc_id", F.posexplode_outer("r").alias("chunk", "text"))
 
 
-@query(recursive(GROUPED, FOLDED, MERGED) + "SELECT doc_id, chunk_index, text FROM merged")
+@query(recursive(GROUPED, FOLDED, MERGED) + "SELECT doc_id, chunk_index, text FROM merged", ints="chunk_index")
 def c04_merge_small(spark, d):
-    return raw_chunks(spark, d).select("doc_id", F.posexplode(C.merge_small(F.col("r"))).alias("chunk_index", "text"))
+    return raw_chunks(spark, d).select("doc_id", F.posexplode_outer(C.merge_small(F.col("r"))).alias("chunk_index", "text"))
 
 
-@query(with_(CONV_TEXTS, "merged AS (SELECT conv_id AS doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS chunk_index FROM conv)", OVERLAPPED) + "SELECT doc_id AS conv_id, chunk_index, chunk FROM chunks")
+@query(with_(CONV_TEXTS, "merged AS (SELECT conv_id AS doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS chunk_index FROM conv)", OVERLAPPED) + "SELECT doc_id AS conv_id, chunk_index, chunk FROM chunks", ints="chunk_index")
 def c05_add_overlap(spark, d):
-    return conv_texts(spark, d).select("conv_id", F.posexplode(C.add_overlap(F.col("l"))).alias("chunk_index", "chunk"))
+    return conv_texts(spark, d).select("conv_id", F.posexplode_outer(C.add_overlap(F.col("l"))).alias("chunk_index", "chunk"))
 
 
-@query(recursive(GROUPED, FOLDED, MERGED, OVERLAPPED) + "SELECT doc_id, chunk_index, chunk FROM chunks")
+@query(recursive(GROUPED, FOLDED, MERGED, OVERLAPPED) + "SELECT doc_id, chunk_index, chunk FROM chunks", ints="chunk_index")
 def c06_chunk_text(spark, d):
     return C.chunk_text(docs_of(spark, d), "doc_id")
 
@@ -303,7 +306,7 @@ SUMMARIES_SQL = "sums AS (SELECT doc_id, array_to_string(list_transform(s[1:3],
 CONTEXT_SQL = "ctx AS (SELECT c.doc_id, chunk_index, chunk, 'From ''' || c.doc_id || ''': ' || left(summary, 200) || '...' AS context FROM chunks c JOIN sums USING (doc_id))"
 
 
-@query(recursive(GROUPED, FOLDED, MERGED, OVERLAPPED, SUMMARIES_SQL, CONTEXT_SQL) + r"SELECT doc_id, chunk_index, chunk AS original, context || E'\n\n' || chunk AS contextualized, context FROM ctx")
+@query(recursive(GROUPED, FOLDED, MERGED, OVERLAPPED, SUMMARIES_SQL, CONTEXT_SQL) + r"SELECT doc_id, chunk_index, chunk AS original, context || E'\n\n' || chunk AS contextualized, context FROM ctx", ints="chunk_index")
 def c07_contextualize(spark, d):
     docs = docs_of(spark, d)
     return C.contextualize(C.chunk_text(docs, "doc_id"), A.summaries_of(docs, "doc_id"), "doc_id")
@@ -313,7 +316,7 @@ def c07_contextualize(spark, d):
   SELECT doc_id, 0 AS rank, chunk_index AS idx, 'text' AS content_type, NULL AS ref_id, context || E'\n\n' || chunk AS contextualized FROM ctx
   UNION ALL SELECT conv_id, CASE role WHEN 'user' THEN 1 ELSE 2 END, turn, CASE role WHEN 'user' THEN 'table' ELSE 'image' END, 'r' || turn,
     'From ''' || conv_id || ''': ' || left(coalesce(summary, ''), 150) || '... This ' || CASE role WHEN 'user' THEN 'table' ELSE 'image' END || E' appears in the document.\n\n' || text
-  FROM conversations LEFT JOIN sums ON doc_id = conv_id)""")
+  FROM conversations LEFT JOIN sums ON doc_id = conv_id)""", ints="chunk_index")
 def c08_structured_chunks(spark, d):
     docs = docs_of(spark, d)
     turns = W.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("r"), F.col("turn").cast("string")).alias("ref_id"), F.col("turn").cast("int").alias("idx"), F.col("text").alias("content"), "role")
@@ -373,7 +376,7 @@ def d06_approx_top_k(spark, d):
 # ---- E: entities
 
 
-@query(with_(NODES, ENTS) + "SELECT node_id, name, type, importance, rank FROM ents")
+@query(with_(NODES, ENTS) + "SELECT node_id, name, type, importance, rank FROM ents", ints="rank")
 def e01_extract_entities(spark, d):
     return W.entities(spark, d)
 
@@ -403,7 +406,7 @@ def e03_parse_entity_json(spark, d):
 
 
 @query(with_(NODES, ENTS) + """SELECT document_id, first AS pos, name, importance FROM (SELECT *, row_number() OVER (PARTITION BY document_id, key ORDER BY importance DESC, pos) AS best, min(pos) OVER (PARTITION BY document_id, key) AS first
-  FROM (SELECT document_id, lower(name) AS key, name, importance, chunk_index * 100 + rank AS pos FROM ents JOIN nodes USING (node_id))) WHERE best = 1""")
+  FROM (SELECT document_id, lower(name) AS key, name, importance, chunk_index * 100 + rank AS pos FROM ents JOIN nodes USING (node_id))) WHERE best = 1""", ints="pos")
 def e04_dedupe_exact(spark, d):
     rows = W.entities(spark, d).join(W.nodes(spark, d).select("node_id", "document_id", "chunk_index"), "node_id")
     rows = rows.withColumn("pos", F.col("chunk_index") * 100 + F.col("rank"))
@@ -416,7 +419,7 @@ def e05_dedupe_similar(spark, d):
     return E.dedupe_similar(rows.select("node_id", "pos", "name", "importance", "embedding"), "node_id").select("node_id", "pos", "name", "importance")
 
 
-@query(with_(QUESTIONS, ASKED) + "SELECT query_id, pos - 1 AS pos, name FROM qents")
+@query(with_(QUESTIONS, ASKED) + "SELECT query_id, pos - 1 AS pos, name FROM qents", ints="pos")
 def e06_query_entities(spark, d):
     return E.query_entities(W.questions(spark, d).select("query_id", "question"))
 
@@ -446,7 +449,7 @@ def e10_unique_entities(spark, d):
 
 @query(with_(NODES, ENTS) + """SELECT document_id, cluster, rank, name, importance, n FROM (SELECT *, row_number() OVER (PARTITION BY document_id, cluster ORDER BY importance * n DESC, seen) AS rank FROM (
   SELECT document_id, chunk_index % 4 AS cluster, lower(name) AS key, count(*) AS n, max(importance) AS importance, arg_min(name, node_id || lpad(CAST(rank AS VARCHAR), 3, '0')) AS name,
-    min(node_id || lpad(CAST(rank AS VARCHAR), 3, '0')) AS seen FROM ents JOIN nodes USING (node_id) GROUP BY ALL)) WHERE rank <= 15""")
+    min(node_id || lpad(CAST(rank AS VARCHAR), 3, '0')) AS seen FROM ents JOIN nodes USING (node_id) GROUP BY ALL)) WHERE rank <= 15""", ints="rank")
 def e11_cluster_entities(spark, d):
     clusters = W.nodes(spark, d).select("document_id", "node_id", (F.col("chunk_index") % 4).alias("cluster"))
     return E.cluster_entities(W.entities(spark, d), clusters).select("document_id", "cluster", "rank", "name", "importance", "n")
@@ -474,7 +477,7 @@ def f03_build_edges(spark, d):
     return edges_of(spark, d).withColumn("weight", F.round("weight", 6))
 
 
-@query(with_(NODES, ENTS, EDGES) + "SELECT document_id, src, dst, rank FROM top3")
+@query(with_(NODES, ENTS, EDGES) + "SELECT document_id, src, dst, rank FROM top3", ints="rank")
 def f04_top_neighbours(spark, d):
     return GR.top_neighbours(edges_of(spark, d)).select("document_id", "src", "dst", "rank")
 
@@ -653,12 +656,12 @@ def classified(spark, d, v1):
     return rows.select("query_id", "kind", F.round("confidence", 6).alias("confidence"), "top_k", "retrieval", "use_graph", "layers")
 
 
-@query(with_(QUESTIONS) + classified_sql(False))
+@query(with_(QUESTIONS) + classified_sql(False), doubles="confidence")
 def i01_classify(spark, d):
     return classified(spark, d, False)
 
 
-@query(with_(QUESTIONS) + classified_sql(True))
+@query(with_(QUESTIONS) + classified_sql(True), doubles="confidence")
 def i02_classify_v1(spark, d):
     return classified(spark, d, True)
 
@@ -679,13 +682,13 @@ def shown(rows):
     return rows.select("query_id", "node_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(with_(*RETRIEVAL, collapsed_sql()) + "SELECT query_id, node_id, round(distance, 6) AS distance, round(adjusted, 6) AS adjusted_distance, rank FROM tree")
+@query(with_(*RETRIEVAL, collapsed_sql()) + "SELECT query_id, node_id, round(distance, 6) AS distance, round(adjusted, 6) AS adjusted_distance, rank FROM tree", ints="rank")
 def i03_collapsed_tree(spark, d):
     rows = R.collapsed_tree(W.asked(spark, d), W.described(spark, d))
     return rows.select("query_id", "node_id", F.round("distance", 6).alias("distance"), F.round("adjusted_distance", 6).alias("adjusted_distance"), "rank")
 
 
-@query(with_(*RETRIEVAL, collapsed_sql(boost=False)) + "SELECT query_id, node_id, round(distance, 6) AS distance, rank FROM tree")
+@query(with_(*RETRIEVAL, collapsed_sql(boost=False)) + "SELECT query_id, node_id, round(distance, 6) AS distance, rank FROM tree", ints="rank")
 def i04_collapsed_tree_v1(spark, d):
     return shown(R.collapsed_tree(W.questions(spark, d), W.nodes(spark, d), boost=False))
 
@@ -694,24 +697,24 @@ def ranked_sql(where: str, k: int, by: str = "query_id") -> str:
     return with_(*RETRIEVAL) + f"SELECT query_id, node_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY distance, node_id) AS rank FROM cands WHERE {where}) WHERE rank <= {k}"
 
 
-@query(ranked_sql("layer = 1", 5))
+@query(ranked_sql("layer = 1", 5), ints="rank")
 def i05_layer_search(spark, d):
     return shown(R.layer_search(W.questions(spark, d), W.nodes(spark, d), 1))
 
 
-@query(ranked_sql("layer = 0 AND chunk_index % 2 = 0", 5))
+@query(ranked_sql("layer = 0 AND chunk_index % 2 = 0", 5), ints="rank")
 def i06_store_search(spark, d):
     nodes = W.nodes(spark, d).withColumns({"has_images": F.col("chunk_index") % 2 == 0, "has_tables": F.col("chunk_index") % 3 == 0})
     return shown(R.store_search(W.questions(spark, d), nodes, 5, 0, "image"))
 
 
 @query(with_(*RETRIEVAL) + """SELECT query_id, node_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, node_id) AS rank
-  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, layer ORDER BY distance, node_id) AS rn FROM cands) WHERE rn <= 3""")
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, layer ORDER BY distance, node_id) AS rn FROM cands) WHERE rn <= 3""", ints="rank")
 def i07_tree_traversal(spark, d):
     return shown(R.tree_traversal(W.questions(spark, d), W.nodes(spark, d)))
 
 
-@query(with_(NODES, ENTS, EDGES, QUESTIONS, EXPANDED) + "SELECT query_id, node_id, text, 0.5 AS distance, 'graph' AS source FROM reached JOIN nodes USING (node_id)")
+@query(with_(NODES, ENTS, EDGES, QUESTIONS, EXPANDED) + "SELECT query_id, node_id, text, 0.5 AS distance, 'graph' AS source FROM reached JOIN nodes USING (node_id)", doubles="distance")
 def i08_graph_expansion(spark, d):
     return R.graph_expansion(seeds_of(spark, d), edges_of(spark, d), W.nodes(spark, d)).select("query_id", "node_id", "text", "distance", "source")
 
@@ -721,7 +724,7 @@ entity AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
   SELECT h.query_id, h.node_id, len(list_filter(q_entities, lambda e: contains(lower(entity_names), e))) AS matches FROM hits h JOIN asked USING (query_id) JOIN described n ON n.node_id = h.node_id)) WHERE rank <= 5)"""
 
 
-@query(with_(*RETRIEVAL, INDEX, ENTITY_SEARCH) + "SELECT query_id, node_id, matches, round(1 - 0.1 * matches, 6) AS distance, rank FROM entity")
+@query(with_(*RETRIEVAL, INDEX, ENTITY_SEARCH) + "SELECT query_id, node_id, matches, round(1 - 0.1 * matches, 6) AS distance, rank FROM entity", ints="rank matches", doubles="distance")
 def i09_entity_search(spark, d):
     rows = R.entity_search(W.asked(spark, d), W.described(spark, d), W.index(spark, d))
     return rows.select("query_id", "node_id", "matches", F.round("distance", 6).alias("distance"), "rank")
@@ -744,9 +747,9 @@ SCOPED = "scoped AS (SELECT c.* FROM cands c JOIN questions q USING (query_id) W
 
 
 @query(with_(*RETRIEVAL, INDEX, ENTITY_SEARCH, EDGES, SCOPED, collapsed_sql(source="scoped"), collapsed_sql(source="free", name="plain"), hybrid_sql("10", "tree", "fused")) + """
-SELECT query_id, node_id, round(fusion_score, 6) AS fusion_score, source, rank FROM fused UNION ALL SELECT query_id, node_id, NULL, 'tree', rank FROM plain""")
+SELECT query_id, node_id, round(fusion_score, 6) AS fusion_score, source, rank FROM fused UNION ALL SELECT query_id, node_id, NULL, 'tree', rank FROM plain""", ints="rank")
 def i10_hybrid(spark, d):
-    rows = R.hybrid(W.asked(spark, d), W.described(spark, d), edges_of(spark, d), W.index(spark, d))
+    rows = R.hybrid(*stored(spark, d))
     return rows.withColumn("fusion_score", F.round("fusion_score", 6))
 
 
@@ -762,11 +765,17 @@ ADAPTIVE = (
 )
 
 
+def stored(spark, d):
+    """Questions, nodes, edges and index as tables: several branches read each."""
+    made = (W.asked(spark, d), W.described(spark, d), edges_of(spark, d), W.index(spark, d))
+    return [GR.written(rows, name) for rows, name in zip(made, ("asked", "nodes", "edges", "index"))]
+
+
 def adaptive_of(spark, d):
-    return R.adaptive(W.asked(spark, d), W.described(spark, d), edges_of(spark, d), W.index(spark, d))
+    return R.adaptive(*stored(spark, d))
 
 
-@query(with_(*ADAPTIVE) + "SELECT * FROM adaptive")
+@query(with_(*ADAPTIVE) + "SELECT * FROM adaptive", ints="rank")
 def i11_adaptive(spark, d):
     return adaptive_of(spark, d)
 
@@ -776,16 +785,16 @@ DEDUPED = """deduped AS (SELECT query_id, node_id, source, is_summary, layer, te
 
 
 def deduped(spark, d, v1=False):
-    rows = adaptive_of(spark, d).join(W.nodes(spark, d).select("node_id", "is_summary", "layer", "text"), "node_id")
+    rows = GR.written(adaptive_of(spark, d), "adaptive").join(W.nodes(spark, d).select("node_id", "is_summary", "layer", "text"), "node_id")
     return R.dedupe(rows, W.child_edges(spark, d), v1)
 
 
-@query(with_(*ADAPTIVE, CHILD_EDGES, DEDUPED) + "SELECT query_id, node_id, source, rank FROM deduped")
+@query(with_(*ADAPTIVE, CHILD_EDGES, DEDUPED) + "SELECT query_id, node_id, source, rank FROM deduped", ints="rank")
 def i12_dedupe(spark, d):
     return deduped(spark, d).select("query_id", "node_id", "source", "rank")
 
 
-@query(with_(*ADAPTIVE, CHILD_EDGES, DEDUPED.replace(" OR source = 'graph'", "")) + "SELECT query_id, node_id, source, rank FROM deduped")
+@query(with_(*ADAPTIVE, CHILD_EDGES, DEDUPED.replace(" OR source = 'graph'", "")) + "SELECT query_id, node_id, source, rank FROM deduped", ints="rank")
 def i13_dedupe_v1(spark, d):
     return deduped(spark, d, True).select("query_id", "node_id", "source", "rank")
 
@@ -802,7 +811,7 @@ def i14_build_context(spark, d):
 
 
 @query(with_(*ADAPTIVE, CHILD_EDGES, DEDUPED) + """SELECT query_id, rank, node_id, CASE WHEN is_summary THEN 'Summary (Layer ' || layer || ')' ELSE 'Chunk' END AS kind, layer, source AS method,
-  CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM deduped""")
+  CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM deduped""", ints="rank")
 def i15_answer_sources(spark, d):
     return R.answer_sources(deduped(spark, d))
 
@@ -823,7 +832,7 @@ def i16_multi_hop(spark, d):
 
 
 @query(with_(*RETRIEVAL) + """SELECT query_id, node_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, node_id) AS rank
-  FROM cands WHERE document_id LIKE 'doc1%' OR document_id LIKE 'doc2%') WHERE rank <= 10""")
+  FROM cands WHERE document_id LIKE 'doc1%' OR document_id LIKE 'doc2%') WHERE rank <= 10""", ints="rank")
 def i17_group_scoped(spark, d):
     members = W.nodes(spark, d).select("document_id").filter(F.col("document_id").rlike("^doc[12]"))
     nodes = R.in_group(W.nodes(spark, d), members)
@@ -866,7 +875,7 @@ def j04_search_documents(spark, d):
     return J.search(W.catalog(spark, d), "filename", "SRC1", 5, "document_id").select("document_id", "filename")
 
 
-@query(with_(GROUPS) + "SELECT id, len(document_ids) AS n_documents FROM grps WHERE contains(lower(id), 'src') ORDER BY id LIMIT 3")
+@query(with_(GROUPS) + "SELECT id, len(document_ids) AS n_documents FROM grps WHERE contains(lower(id), 'src') ORDER BY id LIMIT 3", ints="n_documents")
 def j05_search_groups(spark, d):
     return J.search(W.groups(spark, d), "id", "Src", 3, "id").select("id", F.size("document_ids").alias("n_documents"))
 
