@@ -36,7 +36,8 @@ def fold_boundaries(groups: Column, similarities: Column, threshold: float = 0.7
 
     def step(a: Column, x: Column) -> Column:
         tokens, state = count_tokens(x["t"]), lambda out, cur, n: F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"))
-        cut = (x["s"] < threshold) | (a["n"] + tokens > max_tokens)
+        # rounded, so that a similarity equal to the threshold does not hang on summation order
+        cut = (F.round(x["s"], 12) < threshold) | (a["n"] + tokens > max_tokens)
         return (
             F.when(a["cur"].isNull(), state(a["out"], x["t"], tokens))
             .when(cut, state(F.concat(a["out"], F.array(a["cur"])), x["t"], tokens))

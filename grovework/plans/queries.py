@@ -243,9 +243,9 @@ gsim AS (SELECT doc_id, pos, text, CASE WHEN pv IS NULL THEN NULL WHEN nv = 0 OR
 FOLDED = """fold AS (
   SELECT doc_id, pos, text AS cur, length(text) // 4 AS n, 0 AS chunk FROM gsim WHERE pos = 0
   UNION ALL
-  SELECT g.doc_id, g.pos, CASE WHEN g.sim < 0.7 OR f.n + length(g.text) // 4 > 500 THEN g.text ELSE f.cur || ' ' || g.text END,
-    CASE WHEN g.sim < 0.7 OR f.n + length(g.text) // 4 > 500 THEN length(g.text) // 4 ELSE f.n + length(g.text) // 4 END,
-    f.chunk + CASE WHEN g.sim < 0.7 OR f.n + length(g.text) // 4 > 500 THEN 1 ELSE 0 END
+  SELECT g.doc_id, g.pos, CASE WHEN round(g.sim, 12) < 0.7 OR f.n + length(g.text) // 4 > 500 THEN g.text ELSE f.cur || ' ' || g.text END,
+    CASE WHEN round(g.sim, 12) < 0.7 OR f.n + length(g.text) // 4 > 500 THEN length(g.text) // 4 ELSE f.n + length(g.text) // 4 END,
+    f.chunk + CASE WHEN round(g.sim, 12) < 0.7 OR f.n + length(g.text) // 4 > 500 THEN 1 ELSE 0 END
   FROM fold f JOIN gsim g ON g.doc_id = f.doc_id AND g.pos = f.pos + 1),
 raw AS (SELECT doc_id, chunk, arg_max(cur, pos) AS text FROM fold GROUP BY ALL)"""
 MERGED = """mfold AS (
@@ -524,7 +524,7 @@ def f08_combined_similarity(spark, d):
 # ---- G: clusters
 
 
-@query(with_(NODES, PLANTED) + "SELECT document_id, node_id, dense_rank() OVER (PARTITION BY document_id ORDER BY low) - 1 AS cluster FROM (SELECT *, min(node_id) OVER (PARTITION BY document_id, block) AS low FROM planted)")
+@query(with_(NODES, PLANTED) + "SELECT document_id, node_id, dense_rank() OVER (PARTITION BY document_id ORDER BY low) - 1 AS cluster FROM (SELECT *, min(node_id) OVER (PARTITION BY document_id, block) AS low FROM planted)", ints="cluster")
 def g01_communities(spark, d):
     rows = W.planted(spark, d)
     pairs = GR.pairwise(rows).filter("sim > 0.3")
@@ -589,7 +589,7 @@ def by_block(nodes, entities, layer):
 
 
 @query(with_(NODES) + """SELECT document_id, chunk_index % 4 AS cluster, array_to_string(list_transform(list(text ORDER BY chunk_index)[1:3], lambda t: string_split(t, '.')[1] || '.'), ' ') AS text, count(*) AS n_children
-  FROM nodes WHERE layer = 0 GROUP BY ALL HAVING count(*) >= 2""")
+  FROM nodes WHERE layer = 0 GROUP BY ALL HAVING count(*) >= 2""", ints="n_children")
 def h02_summarize_clusters(spark, d):
     base = H.layer_nodes(W.described(spark, d), 0)
     made = H.summarize(base, by_block(base, None, 0), 0)
