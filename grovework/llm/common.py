@@ -45,7 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: int | None
         if text is None:
             cuts = list(range(0, batch.num_rows, rows))
         else:
-            cuts, held = [], most_bytes
+            cuts, held = [], most_bytes + 1  # the first row opens a slice
             for at, size in enumerate(pc.binary_length(batch.column(text)).fill_null(0).to_pylist()):
                 held += size
                 if held > most_bytes or at - cuts[-1] >= rows:
