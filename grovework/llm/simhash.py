@@ -241,7 +241,8 @@ def near_duplicates(
     least = own.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     roots = components(near_links(least, distance, block))
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written: the join below then has plain shuffles on both sides, which Spark splits for large components
+    classes = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "classes")
     by_fp = rooted.join(classes, "root").select("fp", "component_id")
     return own.join(by_fp, "fp", "left").select(id_col, "fp", "component_id")
 
