@@ -139,3 +139,16 @@ def test_entry_and_a_few_oracles(spark):
         want = con.sql(entry.oracle_sql()[name])
         order = [want.columns.index(c) for c in sorted(want.columns)]
         assert rows == sorted(tuple(r[k] for k in order) for r in want.fetchall()), name
+
+
+def test_recall_of_approximate_search(spark):
+    from grovework.operators.approximate import approx_top_k
+    from grovework.plans import views
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    q, n = views.questions(spark, sf).withColumn("document_id", F.lit(None).cast("string")), views.nodes(spark, sf)
+    exact = {(r.query_id, r.node_id) for r in retrieval.ranked(retrieval.candidates(q, n), 10, "distance", "node_id").collect()}
+    found = {(r.query_id, r.node_id) for r in approx_top_k(q, n, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
