@@ -123,13 +123,13 @@ class Tokenizer:
         out: dict[str, bytes] = {}
         ids, reach, fits = self.ids, self.reach, self.fits
         states: list[int] = [-1]  # last token of each prefix on the path
-        codes: list[bytes] = [b""]  # encoding of each prefix on the path
+        starts: list[int] = [0]  # and where it starts
         before = b""
         for key, word in sorted((w.encode(), w) for w in words):
             shared, most = 0, min(len(key), len(before))
             while shared < most and key[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :], codes[shared + 1 :]
+            del states[shared + 1 :], starts[shared + 1 :]
             for end in range(shared + 1, len(key) + 1):
                 start = end - reach.get(key[end - 2 : end] if end > 1 else b"", 1)
                 for start in range(start if start > 0 else 0, end):
@@ -141,9 +141,13 @@ class Tokenizer:
                         if not (self._fit(states[start], token) if fit is None else fit):
                             continue
                     states.append(token)
-                    codes.append(codes[start] + self.code[token])
+                    starts.append(start)
                     break
-            out[word] = codes[-1]
+            at, found = len(key), []
+            while at:
+                found.append(self.code[states[at]])
+                at = starts[at]
+            out[word] = b"".join(reversed(found))
             before = key
         return out
 

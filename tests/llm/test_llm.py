@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -272,6 +273,17 @@ def test_bpe_equals_the_library(odd, nothing):
     assert [x for x, b in zip(texts, coder.encode_batch(texts)) if np.array(hf.encode(x, add_special_tokens=False).ids, "<u4").tobytes() != b] == []
 
 
+def test_bpe_memory_follows_the_length_of_a_word():
+    hf = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.bpe_path())
+    coder, word = bpe.tokenizer(queries.bpe_path()), "abracadabra" * 1000
+    tracemalloc.start()
+    got = coder.encode_batch([word])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == np.array(hf.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    assert peak < 20_000_000
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
