@@ -71,10 +71,14 @@ def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte ids (a byte-level tokenizer's: one id for each byte of UTF-8) in rows of 2048."""
+    """Ids of the BPE vocabulary, four bytes each, in rows of 2048."""
+    from grovework.llm.bpe import encode_documents
+    from grovework.llm.common import written
     from grovework.llm.packing import pack
 
-    packed = pack(documents(spark, sf_dir), F.encode("text", "utf-8"), 1, 2048)
+    # written: pack counts the rows first, which would encode twice
+    ids = written(encode_documents(documents(spark, sf_dir), bpe_path(), decode=False), "ids")
+    packed = pack(ids, F.col("token_ids"), 4, 2048)
     return packed.select(
         "shard",
         "pack",

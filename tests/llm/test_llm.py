@@ -191,6 +191,18 @@ def test_packing_loses_nothing(spark, odd, nothing, tmp_path):
     assert packing.pack(nothing, F.encode("text", "utf-8"), 1).count() == 0
 
 
+def test_packing_query_packs_vocabulary_ids(spark, odd, tmp_path):
+    odd.filter("doc_id is not null").dropDuplicates(["doc_id"]).select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.parquet(str(tmp_path / "documents.parquet"))
+    coder = bpe.tokenizer(queries.bpe_path())
+    ids = {r[0]: coder.encode_batch([r[1]])[0] for r in ODD if r[0]}
+    rows = queries.op5_packing(spark, str(tmp_path)).collect()
+    assert sum(r.n_tokens for r in rows) == sum(map(len, ids.values())) // 4 and max(r.n_tokens for r in rows) == 2048
+    for r in rows:
+        ends = [at + b - a for at, a, b in zip(r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:])]
+        own = b"".join(ids[i][4 * at : 4 * end] for i, at, end in zip(r.doc_ids, r.doc_starts, ends))
+        assert hashlib.sha256(own).hexdigest() == r.ids_sha256
+
+
 def test_html_layout(spark):
     page = "<title>t</title><p>one<p>two<br>three<ul><li>x<li>y<ol start=3><li>n</ol></ul><table><tr><th>Name<th>Age<tr><td>Al<td>5</table><pre> a\n  b</pre><i hidden>no</i>1 &lt; 2<script>'</p>'</script>"
     assert html_layout.text_of(page) == "one\n\ntwo\nthree\n\n- x\n- y\n  3. n\n\nName  Age\nAl    5\n\n a\n  b\n\n1 < 2"
