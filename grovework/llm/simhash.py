@@ -253,11 +253,14 @@ def hex16(fp: str = "fp"):
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each component: that of the smallest id.
+    """`docs` with one document of each component of near copies (five-word
+    shingles, similarity 0.8 or more): that of the smallest id.
 
     A row without id counts as one with a negative id that follows from its
     text. Of rows that repeat the id that stays, one stays.
     """
+    from grovework.llm.nearcopies import near_copies
+
     keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(text) / 2).cast("long") - 1))
-    kept = near_duplicates(keyed, "__id", text).filter("__id = component_id").select("__id").distinct()
+    kept = near_copies(keyed, "__id", text).groupBy("component").agg(F.min("id").alias("__id")).select("__id").distinct()
     return keyed.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")

@@ -122,6 +122,32 @@ def test_simhash_rows(odd, nothing):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 5, 6, 7, 8]
 
 
+def brute_likeness(one, other):
+    cut = lambda t: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    a, b = cut(one), cut(other)
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_similarity_080_and_more_are_found(spark):
+    r = np.random.default_rng(11)
+    pool = [f"w{k}" for k in range(5000)]
+    rows, near = [], {}
+    for k in range(240):
+        words = list(r.choice(pool, 300))
+        changed = list(words)
+        for at in r.choice(300, (2, 6, 10, 25)[k % 4], replace=False):
+            changed[at] = "other"
+        one, other = " ".join(words), " ".join(changed)
+        near[k] = brute_likeness(one, other)
+        rows += [(k, one), (1000 + k, other)]
+    crowd = list(r.choice(pool, 300))
+    rows += [(5000 + k, " ".join([*crowd[: 3 * k], "other", *crowd[3 * k + 1 :]])) for k in range(60)]  # one bucket of many
+    kept = {x[0] for x in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k in range(240)} <= kept and {x for x in kept if x >= 5000} == {5000}
+    assert all(1000 + k in kept for k, x in near.items() if x < 0.8)
+    assert sum(x >= 0.8 for x in near.values()) >= 120 and sum(1000 + k in kept for k, x in near.items() if x >= 0.8) <= 1
+
+
 def test_targets_are_level(spark):
     sizes = {"a": 100, "b": 10, "c": 500, None: 50}
     rows = spark.createDataFrame([(k, v) for k, v in sizes.items()], "mix_source string, mix_size long")
