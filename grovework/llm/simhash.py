@@ -257,10 +257,13 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     shingles, similarity 0.8 or more): that of the smallest id.
 
     A row without id counts as one with a negative id that follows from its
-    text. Of rows that repeat the id that stays, one stays.
+    text. Rows are told apart by id and text, so different texts that share an
+    id stay, each for its component; of rows that repeat both, one stays.
     """
     from grovework.llm.nearcopies import near_copies
 
     keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(text) / 2).cast("long") - 1))
-    kept = near_copies(keyed, "__id", text).groupBy("component").agg(F.min("id").alias("__id")).select("__id").distinct()
-    return keyed.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    keyed = keyed.withColumn("__hash", F.xxhash64(text))
+    least = near_copies(keyed, "__id", text).groupBy("component").agg(F.min(F.struct("id", "hash")).alias("row"))
+    kept = least.select(F.col("row.id").alias("__id"), F.col("row.hash").alias("__hash"))
+    return keyed.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")

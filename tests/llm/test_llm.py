@@ -148,6 +148,13 @@ def test_near_copies_of_similarity_080_and_more_are_found(spark):
     assert sum(x >= 0.8 for x in near.values()) >= 120 and sum(1000 + k in kept for k, x in near.items() if x >= 0.8) <= 1
 
 
+def test_different_texts_that_share_an_id_stay(spark):
+    texts = [f"text {k} has its own words such as a{k} b{k} c{k} d{k} e{k} f{k}" for k in range(20)]
+    rows = [(7, t) for t in texts] + [(8, texts[3]), (7, texts[4]), (6, texts[5]), (None, "no id"), (None, "none either")]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(6 if k == 5 else 7, t) for k, t in enumerate(texts)] + [(0, "no id"), (0, "none either")])
+
+
 def test_targets_are_level(spark):
     sizes = {"a": 100, "b": 10, "c": 500, None: 50}
     rows = spark.createDataFrame([(k, v) for k, v in sizes.items()], "mix_source string, mix_size long")
