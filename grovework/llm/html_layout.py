@@ -12,8 +12,8 @@ aligned in columns.
 Edge cases: a null or empty page gives the empty text, a page without tags its
 own text. Unclosed, misnested and unknown tags are accepted. Elements nested
 deeper than 256 levels are put beside each other, as browsers do, so depth is
-bounded. Columns wider than 40 characters are not padded, so output stays in
-proportion to input. Repeated rows stay repeated.
+bounded. Cells wrap at 40 characters between words, and columns are as wide as
+their widest line. Repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from html import unescape
+from textwrap import wrap
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from grovework.llm.common import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object svg math select datalist audio video canvas".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object datalist audio video canvas desc defs metadata symbol annotation annotation-xml".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 BLOCK = APART | frozenset(
@@ -46,9 +47,11 @@ ENDS = (
 )
 WALLS = {"li": frozenset(("ul", "ol")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",))}
 DEEPEST = 256
+WIDEST = 40
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-NOT_SHOWN = re.compile(r"(?:^|\s)hidden(?:\s*=\s*(?![\"']?(?:until-found|false)\b)|\s|/|$)|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d+)", re.I)
 
 
@@ -59,8 +62,32 @@ class Node:
         self.tag, self.attributes, self.parts = tag, attributes, []
 
     def shown(self) -> bool:
-        a = self.attributes
-        return self.tag not in HIDDEN and not (("hidden" in a.lower() or "style" in a.lower()) and NOT_SHOWN.search(a))
+        if self.tag in HIDDEN:
+            return False
+        a = self.attributes.lower()
+        if "hidden" not in a and "style" not in a:
+            return True
+        own = self.named()
+        return own.get("hidden", "false").strip().lower() in ("until-found", "false") and not NOT_SHOWN.search(own.get("style", ""))
+
+    def named(self) -> dict[str, str]:
+        """Attribute values by name; of repeated names the first counts."""
+        found: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(self.attributes):
+            found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+        return found
+
+    def options(self) -> list[Node]:
+        inner = [x for x in self.parts if isinstance(x, Node) and x.shown()]
+        return [o for x in inner for o in ([x] if x.tag == "option" else x.options())]
+
+    def chosen(self) -> list[Node]:
+        """The options that a select shows: all of a list, else the last one
+        that is selected or the first."""
+        found = self.options()
+        if "multiple" in self.named():
+            return found
+        return [o for o in found if "selected" in o.named()][-1:] or found[:1]
 
 
 def tree(html: str) -> Node:
@@ -103,8 +130,8 @@ def tree(html: str) -> Node:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             node.parts.append(unescape(html[at : close.start() if close else len(html)]))
             at = close.end() if close else len(html)
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
-            stack.append(node)
+        elif tag not in VOID and not m[3].endswith("/") and (len(stack) != DEEPEST or not node.shown()):
+            stack.append(node)  # past the depth only within a hidden one, which is not rendered
     if at < len(html):
         stack[-1].parts.append(unescape(html[at:]))
     return root
@@ -158,7 +185,7 @@ def _table(node: Node, flow: Flow) -> None:
         for k, cell in enumerate(row):
             if k == len(widths):
                 widths.append(0)
-            widths[k] = max([widths[k], *(len(x) for x in cell if len(x) <= 40)])
+            widths[k] = max([widths[k], *map(len, cell)])
     for row in rows:
         for n in range(max(map(len, row), default=0)):
             line = "  ".join((cell[n] if n < len(cell) else "").ljust(widths[k]) for k, cell in enumerate(row)).rstrip()
@@ -190,7 +217,7 @@ def _table_rows(group: Node, rows: list[list[list[str]]]) -> None:
                     own.flush()
                 else:
                     continue
-                cells.append(own.lines)
+                cells.append([x for line in own.lines for x in (wrap(line, WIDEST, break_long_words=False, break_on_hyphens=False) if len(line) > WIDEST else [line])])
             rows.append(cells)
 
 
@@ -204,6 +231,12 @@ def render(node: Node, flow: Flow, pre: bool = False) -> None:
         _table(node, flow)
         flow.apart(1)
         return
+    if tag == "select":
+        for option in node.chosen():
+            flow.open.append(" ")
+            render(option, flow, pre)
+            flow.open.append(" ")
+        return
     block = tag in BLOCK
     nested = tag in ("ul", "ol") and bool(flow.indent or flow.mark)
     if block:

@@ -243,6 +243,17 @@ def test_html_layout(spark):
     assert {r.page_id: r.text for r in html_layout.extract(rows).collect()} == {1: "", 2: "", 3: "plain", 4: "x"}
 
 
+def test_html_keeps_all_visible_text():
+    shown = html_layout.text_of
+    assert shown('<p title="a hidden gem">x</p><p class="menu hidden md:block">y</p><p data-style="display:none">z') == "x\n\ny\n\nz"
+    assert shown("<p>a<b hidden>no</b><b hidden=''>no</b><b style='color:red; display : none'>no</b><b style=display:none>no</b>") == "a"
+    assert shown("<svg><title>no</title><text>chart</text></svg> <math><mi>x</mi></math>") == "chart x"
+    assert shown("<select><option>no<option selected>yes</select>|<select><option>first<option>no</select>").split() == ["yes", "|", "first"]
+    assert shown("<b>" * 300 + "<i hidden><u>no</u></i>yes") == "yes"
+    lines = shown("<table><tr><td>" + "word " * 12 + "<td>one<tr><td>short<td>two</table>").split("\n")
+    assert lines[0].index("one") == lines[-1].index("two") and " ".join(lines).count("word") == 12
+
+
 def test_language_profiles(spark, odd, nothing):
     r = np.random.default_rng(4)
     stock = {"en": "the and ing ion that with".split(), "de": "der und ung ich sch ein".split(), "fr": "les que eau oir dans pour".split()}
