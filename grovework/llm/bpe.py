@@ -21,6 +21,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ from grovework.llm.common import slices
 #: Fixed value: the pattern that parts a text into words before merges.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Parts that need no look at the pattern: letters of the first Latin blocks, and ASCII marks but for the apostrophe.
+PLAIN = r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)"
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: printable
@@ -42,12 +46,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class State(NamedTuple):
+    """What was read; the states by the next byte; the tokens that end here,
+    longest first: their lengths, their ids and what they fit after."""
+
+    read: bytes
+    steps: dict[int, State]
+    tokens: list[tuple[int, int, dict[int, bool]]]
+
+
 class Tokenizer:
     """A byte-level BPE vocabulary with encodings of words by trie traversal."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
-        """`cache_words` bounds the memory for encodings kept between batches;
-        when it is reached the cache starts anew, which changes no result."""
+    def __init__(self, path: str, cache_words: int = 400_000):
+        """`cache_words` bounds the memory for encodings kept between batches:
+        when it is reached, those not met since the last time are dropped,
+        which changes no result."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -62,6 +76,7 @@ class Tokenizer:
             self.pieces[i] = token.encode()
         self.words = regex.compile(WORDS)
         self.blanks = re.compile(r"\s\s")
+        self.plain = re.compile(PLAIN)
         self.whole: dict[int, bool] = {}
         #: rank of a pair; rank and halves of a token (single bytes: -1)
         self.pair_rank: dict[tuple[int, int], int] = {}
@@ -74,12 +89,15 @@ class Tokenizer:
                 self.rank[whole], self.left[whole], self.right[whole] = rank, left, right
         self.code = [struct.pack("<I", i) for i in range(size)]
         self.ids = {token: i for token, i in self.ids.items() if self._itself(i)}
-        #: by its last two bytes, how long a token can be
-        self.reach: dict[bytes, int] = {}
-        for token in self.ids:
-            self.reach[token[-2:]] = max(self.reach.get(token[-2:], 1), len(token))
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: an automaton over bytes whose state is the longest suffix of what was
+        #: read that begins a token; its states are made when first met
+        self.beginnings = {token[:k] for token in self.ids for k in range(len(token) + 1)}
+        self.states: dict[bytes, State] = {}
+        #: for each token, whether it fits after a given one
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.pairs_met = 0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
         self.parted = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -98,14 +116,6 @@ class Tokenizer:
             else:
                 return True
 
-    def _fit(self, a: int, b: int) -> bool:
-        fit = self.fits.get((a, b))
-        if fit is None:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            fit = self.fits[a, b] = self._stays_parted(a, b, float("inf"))
-        return fit
-
     def _itself(self, token: int) -> bool:
         """Whether a token encodes to itself."""
         own = self.whole.get(token)
@@ -118,36 +128,56 @@ class Tokenizer:
             self.whole[token] = own
         return own
 
+    def _state(self, read: bytes) -> State:
+        """The automaton's state after `read`."""
+        while read not in self.beginnings:
+            read = read[1:]
+        state = self.states.get(read)
+        if state is None:
+            tokens = [(len(read) - k, self.ids[read[k:]]) for k in range(len(read)) if read[k:] in self.ids]
+            state = self.states[read] = State(read, {}, [(n, i, self.fits.setdefault(i, {})) for n, i in tokens])
+        return state
+
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each distinct word, by one walk of their trie."""
         out: dict[str, bytes] = {}
-        ids, reach, fits = self.ids, self.reach, self.fits
-        states: list[int] = [-1]  # last token of each prefix on the path
-        starts: list[int] = [0]  # and where it starts
+        code, root = self.code, self._state(b"")
+        last: list[int] = [-1]  # last token of each prefix on the path,
+        starts: list[int] = [0]  # where it starts,
+        states: list[State] = [root]  # and the automaton's state
         before = b""
         for key, word in sorted((w.encode(), w) for w in words):
             shared, most = 0, min(len(key), len(before))
             while shared < most and key[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :], starts[shared + 1 :]
-            for end in range(shared + 1, len(key) + 1):
-                start = end - reach.get(key[end - 2 : end] if end > 1 else b"", 1)
-                for start in range(start if start > 0 else 0, end):
-                    token = ids.get(key[start:end])
-                    if token is None:
-                        continue
+            del last[shared + 1 :], starts[shared + 1 :], states[shared + 1 :]
+            state, end = states[-1], shared
+            for byte in key[shared:]:
+                end += 1
+                following = state.steps.get(byte)
+                if following is None:
+                    following = state.steps[byte] = self._state(state.read + bytes((byte,)))
+                state = following
+                for length, token, after in state.tokens:
+                    start = end - length
                     if start:
-                        fit = fits.get((states[start], token))
-                        if not (self._fit(states[start], token) if fit is None else fit):
+                        previous = last[start]
+                        fit = after.get(previous)
+                        if fit is None:
+                            fit = after[previous] = self._stays_parted(previous, token, float("inf"))
+                            self.pairs_met += 1
+                        if not fit:
                             continue
-                    states.append(token)
+                    last.append(token)
                     starts.append(start)
+                    states.append(state)
                     break
-            at, found = len(key), []
-            while at:
-                found.append(self.code[states[at]])
-                at = starts[at]
-            out[word] = b"".join(reversed(found))
+            found = []
+            while end:
+                found.append(code[last[end]])
+                end = starts[end]
+            found.reverse()
+            out[word] = b"".join(found)
             before = key
         return out
 
@@ -164,15 +194,28 @@ class Tokenizer:
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         parted = [self.segments(text or "") for text in texts]
-        known = self.known
-        distinct = set().union(*parted)
-        if len(known) + len(distinct) > self.cache_words:
-            known.clear()
+        if len(self.known) > self.cache_words:
+            self.older, self.known = self.known, {}
+        if self.pairs_met > 1_000_000:
+            for after in self.fits.values():
+                after.clear()
+            self.pairs_met = 0
+        known, older = self.known, self.older
         if not known:
             known.update({s: self.code[i] for s, i in self.special.items()})
-        cut = {part: self.words.findall(part) for part in distinct.difference(known)}
-        words = self.encode_words(set().union(*cut.values()))
-        known.update((part, b"".join(map(words.__getitem__, own))) for part, own in cut.items())
+        distinct = set().union(*parted).difference(known)
+        again = distinct.intersection(older)
+        known.update((part, older[part]) for part in again)
+        words, joint = set(), {}
+        for part in distinct.difference(again):
+            plain = self.plain.fullmatch(part)
+            if plain is not None and not plain[2]:
+                words.add(part)
+            else:
+                joint[part] = own = self.words.findall(part) if plain is None else plain.groups()
+                words.update(own)
+        known.update(self.encode_words(words.difference(known)))
+        known.update((part, b"".join(map(known.__getitem__, own))) for part, own in joint.items())
         return [b"".join(map(known.__getitem__, parts)) for parts in parted]
 
     def decode_batch(self, ids: Sequence[bytes]) -> list[str]:
@@ -199,7 +242,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: Seque
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
-        for batch in slices(batches, text=len(keep)):
+        for batch in slices(batches, 4096, len(keep), 8_000_000):
             ids = coder.encode_batch(batch.column(len(keep)).to_pylist())
             columns = [*batch.columns[: len(keep)], pa.array(ids, pa.binary())]
             if decode:
