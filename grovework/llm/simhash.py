@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovework.llm.common import written
@@ -101,7 +101,12 @@ def simhash(text: str | None, words: int = 4) -> int:
         "<u8",
         len(tokens) - width + 1,
     )
-    lanes = hashes.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)
+    return set_bits(hashes)
+
+
+def set_bits(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of 64-bit hashes."""
+    lanes = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256, dtype=np.int64)
     counts = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256)
     bits = counts @ (np.arange(256)[:, None] >> np.arange(8) & 1)  # byte, bit
     return int(np.packbits((2 * bits.ravel() > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
@@ -186,6 +191,12 @@ def _links(bucketed: DataFrame, distance: int) -> DataFrame:
     return bucketed.select("bucket", "fp").mapInArrow(run, "a long, b long")
 
 
+def blocks_met(own: Column, g: Column) -> Column:
+    """Numbers of the pairs of blocks, of g, that block `own` takes part in."""
+    others = F.filter(F.sequence(F.lit(0), g - 1), lambda x: x != own)
+    return F.when(g == 1, F.array(F.lit(0))).otherwise(F.transform(others, lambda x: F.least(x, own) * g + F.greatest(x, own)))
+
+
 def near_links(distinct: DataFrame, distance: int = 4, block: int = 1024) -> DataFrame:
     """Links (a, b) between the fingerprints in column fp of `distinct` that
     differ in at most `distance` (at most four) bits: not all of them, but
@@ -195,12 +206,7 @@ def near_links(distinct: DataFrame, distance: int = 4, block: int = 1024) -> Dat
     keyed = _keyed(distinct)
     crowded = keyed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("g")).filter("g > 1")
     own = F.pmod(F.xxhash64("fp"), F.col("g").cast("long")).cast("int")
-    met = F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda x: x != F.col("own")),
-            lambda x: F.least(x, F.col("own")) * F.col("g") + F.greatest(x, F.col("own")),
-        )
-    )
+    met = F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(blocks_met(F.col("own"), F.col("g")))
     bucketed = (
         keyed.join(crowded, "key", "left")
         .withColumn("own", own)
@@ -219,9 +225,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # written: so the joins have plain shuffles on both sides, which Spark splits where a node has many neighbours
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = written(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
