@@ -58,7 +58,7 @@ class State(NamedTuple):
 class Tokenizer:
     """A byte-level BPE vocabulary with encodings of words by trie traversal."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         """`cache_words` bounds the memory for encodings kept between batches:
         when it is reached, those not met since the last time are dropped,
         which changes no result."""
@@ -242,11 +242,12 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: Seque
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
-        for batch in slices(batches, 4096, len(keep), 8_000_000):
+        for batch in slices(batches, 4096, len(keep), 5_000_000):
             ids = coder.encode_batch(batch.column(len(keep)).to_pylist())
             columns = [*batch.columns[: len(keep)], pa.array(ids, pa.binary())]
             if decode:
                 columns.append(pa.array(coder.decode_batch(ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        coder.older = {}  # other stages use the same worker
 
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)

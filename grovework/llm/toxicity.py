@@ -82,7 +82,7 @@ class Model:
 
     def logit(self, text: str | None) -> float:
         known, weights, parts = self.known, self.weights, []
-        if len(known) > 300_000:  # a cache; starting anew changes no score
+        if len(known) > 150_000:  # a cache; starting anew changes no score
             known.clear()
         for word in set(words_of(text)):
             part = known.get(word)
@@ -230,15 +230,16 @@ def learn(
 def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",), column: str = "score") -> DataFrame:
     """`keep` with `column`, the probability of a toxic label. No shuffle."""
     schema = docs.select(*keep).withColumn(column, F.lit(0.0)).schema
-    at = len(keep)
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, docs[text].alias("__text"))
+    at = list(keep).index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(model.bias, model.weights)
         for part in slices(batches, 1024, at):
             scores = pa.array([own.score(t) for t in part.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*part.columns[:at], scores], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], scores], names=schema.names)
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def only_clean(docs: DataFrame, model: Model, text: str = "text", below: float = 0.5) -> DataFrame:
