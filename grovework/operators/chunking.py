@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovework.functions.text import CHARS_PER_TOKEN, content_types, contextualized, count_tokens, element_context, references, split_sentences, template_context
-from grovework.functions.vectors import cosine, letter_histogram
-
-STRINGS = "array<string>"
+from grovework.functions.vectors import dot, norm
+from grovework.operators.embedding import letter_counts, over_arrays
 
 
 def group_sentences(sentences: Column, group_size: int = 3) -> Column:
@@ -25,41 +24,48 @@ def group_sentences(sentences: Column, group_size: int = 3) -> Column:
 
 def adjacent_similarity(vectors: Column) -> Column:
     """Cosine of each vector and the one before it; null for the first."""
-    return F.transform(vectors, lambda v, i: F.when(i > 0, cosine(F.get(vectors, i - 1), v)))
+    normed = F.transform(vectors, lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    both = lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.when(a["n"] * b["n"] > 0, dot(a["v"], b["v"]) / (a["n"] * b["n"])).otherwise(0.0))
+    # a lambda's variable, so that the norms are computed once
+    return F.get(F.transform(F.array(normed), lambda x: F.when(F.size(x) > 0, F.concat(F.array(F.lit(None).cast("double")), F.when(F.size(x) > 1, both(x)).otherwise(F.array().cast("array<double>"))))), F.lit(0))
 
 
-def fold_boundaries(groups: Column, similarities: Column, threshold: float = 0.7, max_tokens: int = 500) -> Column:
-    """Chunks: a group opens a new one if it is unlike the group before, or if
-    the tokens of the groups would exceed the limit."""
-    rows = F.arrays_zip(groups.alias("t"), similarities.alias("s"))
-    start = F.struct(F.array().cast(STRINGS).alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
+def joined_from(parts: Column, starts: Column) -> Column:
+    """Consecutive parts joined by blanks, from each start up to the next."""
+    return F.transform(starts, lambda s, i: F.array_join(F.slice(parts, s + 1, F.coalesce(F.get(starts, i + 1), F.size(parts)) - s), " "))
+
+
+def _starts(rows: Column, first: Callable[[Column], Column], opens: Callable[[Column, Column], Column], taken: Callable[[Column, Column], Column]) -> Column:
+    """A left fold to the places at which chunks start. rows: structs; the state
+    has `n`, the chunk's size so far, which starts as first(row). Only numbers
+    are carried along, texts are joined once afterwards."""
+    state = lambda out, n, i: F.struct(out.alias("out"), n.alias("n"), i.alias("i"))
 
     def step(a: Column, x: Column) -> Column:
-        tokens, state = count_tokens(x["t"]), lambda out, cur, n: F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"))
-        # rounded, so that a similarity equal to the threshold does not hang on summation order
-        cut = (F.round(x["s"], 12) < threshold) | (a["n"] + tokens > max_tokens)
-        return (
-            F.when(a["cur"].isNull(), state(a["out"], x["t"], tokens))
-            .when(cut, state(F.concat(a["out"], F.array(a["cur"])), x["t"], tokens))
-            .otherwise(state(a["out"], F.concat(a["cur"], F.lit(" "), x["t"]), a["n"] + tokens))
-        )
+        new = (a["i"] == 0) | opens(a["n"], x)
+        return state(F.when(new, F.array_append(a["out"], a["i"])).otherwise(a["out"]), F.when(new, first(x)).otherwise(taken(a["n"], x)), a["i"] + 1)
 
-    return F.aggregate(rows, start, step, lambda a: F.concat(a["out"], F.array(a["cur"])))
+    return F.aggregate(rows, state(F.array().cast("array<int>"), F.lit(0), F.lit(0)), step, lambda a: a["out"])
 
 
-def merge_small(chunks: Column, min_tokens: int = 100) -> Column:
-    """A chunk below the limit takes in what follows; the last may stay small."""
-    start = F.struct(F.array().cast(STRINGS).alias("out"), F.lit(None).cast("string").alias("cur"))
+def boundary_starts(groups: Column, similarities: Column, threshold: float = 0.7, max_tokens: int = 500) -> Column:
+    rows = F.arrays_zip(F.transform(groups, count_tokens).alias("t"), similarities.alias("s"))
+    # rounded, so that a similarity equal to the threshold does not hang on summation order
+    opens = lambda n, x: (F.round(x["s"], 12) < threshold) | (n + x["t"] > max_tokens)
+    return _starts(rows, lambda x: x["t"], opens, lambda n, x: n + x["t"])
 
-    def step(a: Column, x: Column) -> Column:
-        state = lambda out, cur: F.struct(out.alias("out"), cur.alias("cur"))
-        return (
-            F.when(a["cur"].isNull(), state(a["out"], x))
-            .when(count_tokens(a["cur"]) < min_tokens, state(a["out"], F.concat(a["cur"], F.lit(" "), x)))
-            .otherwise(state(F.concat(a["out"], F.array(a["cur"])), x))
-        )
 
-    return F.aggregate(chunks, start, step, lambda a: F.when(a["cur"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
+def fold_boundaries(groups: Column, similarities: Column, threshold: float = 0.7, max_tokens: int = 500) -> Column:
+    """Chunks: a group opens a new one if it is unlike the group before, or if
+    the tokens of the groups would exceed the limit."""
+    return joined_from(groups, boundary_starts(groups, similarities, threshold, max_tokens))
+
+
+def merge_small(chunks: Column, min_tokens: int = 100) -> Column:
+    """A chunk below the limit takes in what follows; the last may stay small."""
+    opens = lambda n, x: n >= min_tokens * CHARS_PER_TOKEN
+    starts = _starts(F.transform(chunks, F.length), lambda x: x, opens, lambda n, x: n + 1 + x)
+    return joined_from(chunks, starts)
 
 
 def add_overlap(chunks: Column, overlap_tokens: int = 50) -> Column:
@@ -74,19 +80,27 @@ def chunk_text(
     docs: DataFrame,
     id_col: str = "document_id",
     text: str = "text",
-    embed: Callable[[Column], Column] = letter_histogram,
+    embed: Callable[[Column], Column] | None = None,
+    embed_groups: Callable[[Column], Column] | None = None,
     similarity_threshold: float = 0.7,
     group_size: int = 3,
     min_tokens: int = 100,
     max_tokens: int = 500,
     overlap_tokens: int = 50,
+    spread: bool = False,
 ) -> DataFrame:
-    """(id_col, chunk_index, chunk) for all documents."""
-    rows = docs.select(id_col, split_sentences(F.col(text)).alias("sentences"))
+    """(id_col, chunk_index, chunk) for all documents. Groups of sentences are
+    compared by the vectors that `embed` makes of a text, or `embed_groups` of
+    an array of texts (a batch model: see `embedding.over_arrays`). The default
+    counts letters, in Arrow batches: 26 passes over each text took five times
+    as long in column expressions. `spread` deals the documents over the tasks
+    first: for a table of few splits, where chunking would leave cores idle."""
+    rows = (docs.select(id_col, text).repartition(id_col) if spread else docs).select(id_col, split_sentences(F.col(text)).alias("sentences"))
     rows = rows.select(id_col, group_sentences(F.col("sentences"), group_size).alias("groups"))
-    rows = rows.withColumn("vectors", F.transform("groups", embed))
+    rows = rows.withColumn("vectors", F.transform("groups", embed) if embed else (embed_groups or over_arrays(letter_counts))(F.col("groups")))
     rows = rows.withColumn("sims", adjacent_similarity(F.col("vectors")))
-    rows = rows.select(id_col, fold_boundaries(F.col("groups"), F.col("sims"), similarity_threshold, max_tokens).alias("raw"))
+    rows = rows.select(id_col, "groups", boundary_starts(F.col("groups"), F.col("sims"), similarity_threshold, max_tokens).alias("starts"))
+    rows = rows.select(id_col, joined_from(F.col("groups"), F.col("starts")).alias("raw"))
     rows = rows.select(id_col, merge_small(F.col("raw"), min_tokens).alias("merged"))
     # outer: no array is empty, and a filter on sizes would compute all steps again
     return rows.select(id_col, F.posexplode_outer(add_overlap(F.col("merged"), overlap_tokens)).alias("chunk_index", "chunk"))

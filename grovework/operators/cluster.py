@@ -3,22 +3,31 @@
 Community detection runs on the graphs of all documents at once. In each round
 every node weighs the communities around it by the modularity they would gain,
 half of the nodes (by a hash that changes each round) move to the best, and a
-document keeps the round only if its modularity rose. The communities are then
-merged into single nodes for further rounds, and finally split into connected
-parts. Ties go to the smallest community, so results are deterministic.
+document keeps the round only if its modularity rose; it ends when no node
+wants to move. The communities are then merged into single nodes for further
+rounds, and finally split into connected parts. Ties go to the smallest
+community, so results are deterministic.
+
+A document's graph depends on no other. Those of up to `most_edges` edges are
+grouped, each worked off by one task in a single stage; larger ones take the
+same rounds as joins over all their edges, in whatever number of tasks.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovework.functions.vectors import doubles
 from grovework.operators.graph import combined_similarity, knn_graph, mirrored, pairwise, written
 
 RESOLUTION, DECAY, SEED = 1.0, 0.7, 42
+#: Numbers of the rounds over merged communities start here.
+UPPER = 100
 
 
 def layer_resolution(layer: int, base: float = RESOLUTION, decay: float = DECAY) -> float:
@@ -41,8 +50,7 @@ def _rounds(edges: DataFrame, resolution: float, rounds: int, salt: int) -> Data
     degree = edges.groupBy("document_id", "src").agg(F.sum("w").alias("k")).withColumnRenamed("src", "node")
     degree = written(degree.withColumn("t", F.sum("k").over(Window.partitionBy("document_id"))), "degrees")
     labels = degree.select("document_id", "node", F.col("node").alias("c"))
-    scores = modularity(edges, labels, resolution)
-    labels, idle = written(labels.join(scores, "document_id"), "labels"), 0
+    labels = written(labels.join(modularity(edges, labels, resolution), "document_id"), "labels")
     for n in range(rounds):
         now = labels.join(degree, ["document_id", "node"])
         sums = now.groupBy("document_id", "c").agg(F.sum("k").alias("kc"))
@@ -56,30 +64,30 @@ def _rounds(edges: DataFrame, resolution: float, rounds: int, salt: int) -> Data
         best = choices.groupBy("document_id", "node").agg(
             F.min_by("c", F.struct(-gain, F.col("c"))).alias("to"), F.max(gain).alias("gain"), F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay"), F.first("own").alias("own")
         )
-        moves = (F.col("gain") > F.col("stay")) & (F.pmod(F.xxhash64("node", F.lit(n + salt)), F.lit(2)) == 0)
-        tried = best.select("document_id", "node", F.when(moves, F.col("to")).otherwise(F.col("own")).alias("c"))
+        wants = F.col("gain") > F.col("stay")
+        tried = best.select("document_id", "node", F.when(wants & coin(n + salt), F.col("to")).otherwise(F.col("own")).alias("c"), wants.alias("wants"))
         tried = written(tried, "tried")
+        if tried.filter("wants").isEmpty():
+            break
         new_q = modularity(edges, tried, resolution).withColumnRenamed("q", "new_q")
         both = labels.join(tried.withColumnRenamed("c", "new_c"), ["document_id", "node"]).join(new_q, "document_id")
         better = F.col("new_q") > F.col("q") + 1e-12
-        after = written(both.select("document_id", "node", F.when(better, F.col("new_c")).otherwise(F.col("c")).alias("c"), F.greatest("q", "new_q").alias("q"), (better & (F.col("new_c") != F.col("c"))).alias("moved")), "labels")
-        idle = 0 if not after.filter("moved").isEmpty() else idle + 1
-        labels = after.drop("moved")
-        if idle == 3:
-            break
+        labels = written(both.select("document_id", "node", F.when(better, F.col("new_c")).otherwise(F.col("c")).alias("c"), F.greatest("q", "new_q").alias("q")), "labels")
     return labels.select("document_id", "node", "c")
 
 
-def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = RESOLUTION, rounds: int = 12) -> DataFrame:
-    """(document_id, node_id, cluster) for all nodes; clusters are numbered from
-    0 by their smallest node. pairs: (document_id, a, b, sim). Documents of
-    fewer than three nodes or without pairs are one cluster."""
-    edges = written(mirrored(pairs.withColumnRenamed("sim", "weight")).withColumnRenamed("weight", "w"), "edges")
+def coin(n: int) -> Column:
+    """Whether a node may move in round n."""
+    return F.pmod(F.xxhash64("node", F.lit(n)), F.lit(2)) == 0
+
+
+def _large_parts(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """(document_id, node, part) by joins."""
     first = _rounds(edges, resolution, rounds, 0)
     ends = [first.select("document_id", F.col("node").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst")]
     merged = edges.join(ends[0], ["document_id", "src"]).join(ends[1], ["document_id", "dst"])
     merged = written(merged.groupBy("document_id", F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")), "merged")
-    second = _rounds(merged, resolution, rounds // 2, 100)
+    second = _rounds(merged, resolution, rounds // 2, UPPER)
     labels = written(first.join(second.select("document_id", F.col("node").alias("c"), F.col("c").alias("top")), ["document_id", "c"]).select("document_id", "node", F.col("top").alias("c")), "labels")
     ends = [labels.select("document_id", F.col("node").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst")]
     inner = written(edges.join(ends[0], ["document_id", "src"]).join(ends[1], ["document_id", "dst"]).filter("c_src = c_dst").select("document_id", "src", "dst"), "inner")
@@ -89,7 +97,93 @@ def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = RESOLUTI
         after = written(parts.join(near, ["document_id", "node"], "left").select("document_id", "node", F.least("part", "low").alias("part"), (F.col("low") < F.col("part")).alias("fell")), "parts")
         parts = after.drop("fell")
         if after.filter("fell").isEmpty():
+            return parts
+
+
+def _rounds_of_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, may_move: np.ndarray, resolution: float) -> np.ndarray:
+    """The label of each node of one graph; may_move: rounds by nodes."""
+    size = may_move.shape[1]
+    k = np.bincount(src, w, size)
+    t, own, apart = k.sum(), np.arange(size), src != dst
+
+    def modularity_of(labels: np.ndarray) -> float:
+        inner = np.bincount(labels[src], np.where(labels[src] == labels[dst], w, 0.0), size)
+        return (inner / t - resolution * (np.bincount(labels, k, size) / t) ** 2).sum()
+
+    labels, q = own.copy(), modularity_of(own)
+    for may in may_move:
+        codes = np.concatenate([src[apart] * size + labels[dst[apart]], own * size + labels])
+        code, at = np.unique(codes, return_inverse=True)
+        node, c = code // size, code % size
+        weight = np.bincount(at, np.concatenate([w[apart], np.zeros(size)]))
+        rest = np.bincount(labels, k, size)[c] - np.where(c == labels[node], k[node], 0.0)
+        gain = np.round(weight - resolution * k[node] * rest / t, 12)
+        order = np.lexsort((c, -gain, node))
+        best = order[np.concatenate(([True], node[order][1:] != node[order][:-1]))]
+        there, stay = np.isin(own, node), np.full(size, np.inf)
+        stay[node[c == labels[node]]] = gain[c == labels[node]]
+        wants = np.zeros(size, bool)
+        wants[node[best]] = gain[best] > stay[node[best]]
+        if not wants[there].any():
             break
+        tried = labels.copy()
+        moving = best[(wants & may)[node[best]]]
+        tried[node[moving]] = c[moving]
+        new_q = modularity_of(tried)
+        if new_q > q + 1e-12:
+            labels, q = tried, new_q
+    return labels
+
+
+def parts_of_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, lower: np.ndarray, upper: np.ndarray, resolution: float) -> np.ndarray:
+    """The part of each node of one document's graph: the smallest node of its
+    community that it is connected with. Nodes are numbered in order of id."""
+    size = lower.shape[1]
+    labels = _rounds_of_one(src, dst, w, lower, resolution)
+    held, small = np.unique(labels, return_inverse=True)
+    codes, at = np.unique(small[src] * len(held) + small[dst], return_inverse=True)
+    top = _rounds_of_one(codes // len(held), codes % len(held), np.bincount(at, w), upper[:, held], resolution)
+    labels = held[top[small]]
+    same = labels[src] == labels[dst]
+    parts = np.arange(size)
+    while True:
+        low = parts.copy()
+        np.minimum.at(low, src[same], parts[dst[same]])
+        low = low[low]
+        if (low == parts).all():
+            return parts
+        parts = low
+
+
+def _small_parts(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """(document_id, node, part), a group for each document."""
+    turns = [*range(rounds), *range(UPPER, UPPER + rounds // 2)]
+    coins = F.array(*(F.pmod(F.xxhash64("src", F.lit(n)), F.lit(2)) == 0 for n in turns))
+    rows = edges.select("document_id", "src", "dst", "w", F.aggregate(F.transform(coins, lambda x, i: F.when(x, F.pow(F.lit(2.0), i)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x).cast("long").alias("coins"))
+    schema = edges.select("document_id", F.col("src").alias("node"), F.col("src").alias("part")).schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, src = np.unique(pdf.src.to_numpy(object), return_inverse=True)
+        dst, coin_bits = np.searchsorted(ids, pdf.dst.to_numpy(object)), np.zeros(len(ids), np.int64)
+        coin_bits[src] = pdf.coins
+        may = (coin_bits >> np.arange(len(turns))[:, None] & 1).astype(bool)
+        parts = parts_of_one(src, dst, pdf.w.to_numpy(float), may[:rounds], may[rounds:], resolution)
+        return pd.DataFrame({"document_id": pdf.document_id.iloc[0], "node": ids, "part": ids[parts]})
+
+    return rows.groupBy("document_id").applyInPandas(run, schema)
+
+
+def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = RESOLUTION, rounds: int = 12, most_edges: int = 500_000) -> DataFrame:
+    """(document_id, node_id, cluster) for all nodes; clusters are numbered from
+    0 by their smallest node. pairs: (document_id, a, b, sim). Documents of
+    fewer than three nodes or without pairs are one cluster."""
+    edges = written(mirrored(pairs.withColumnRenamed("sim", "weight")).withColumnRenamed("weight", "w"), "edges")
+    large = written(edges.groupBy("document_id").count().filter(F.col("count") > most_edges).select("document_id"), "large")
+    if large.isEmpty():
+        parts = _small_parts(edges, resolution, rounds)
+    else:
+        parts = _small_parts(edges.join(large, "document_id", "left_anti"), resolution, rounds)
+        parts = parts.unionByName(_large_parts(written(edges.join(large, "document_id", "left_semi"), "edges"), resolution, rounds))
     every = nodes.select("document_id", "node_id").withColumn("n", F.count("*").over(Window.partitionBy("document_id")))
     rows = every.join(parts.select("document_id", F.col("node").alias("node_id"), "part"), ["document_id", "node_id"], "left")
     w = Window.partitionBy("document_id")
@@ -135,6 +229,11 @@ def reduce_dimensions(nodes: DataFrame, k: int = 10) -> DataFrame:
     return PCA(k=k, inputCol="v", outputCol="reduced").fit(rows).transform(rows).drop("v")
 
 
+def reduced_table(nodes: DataFrame, k: int = 10) -> DataFrame:
+    """The reduced vectors as a table, for the many passes that fits make."""
+    return written(reduce_dimensions(nodes, k).select("document_id", "node_id", "reduced"), "reduced")
+
+
 def select_k(reduced: DataFrame, most: int = 10, seed: int = SEED) -> tuple[int, dict[int, float]]:
     """The number of mixture components with the smallest BIC, and all BICs."""
     from pyspark.ml.clustering import GaussianMixture
@@ -153,7 +252,7 @@ def cluster_gmm(nodes: DataFrame, k: int | None = None, soft: bool = False, dims
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import vector_to_array
 
-    reduced = reduce_dimensions(nodes, dims).cache()
+    reduced = reduced_table(nodes, dims)
     k = k or select_k(reduced, seed=seed)[0]
     rows = GaussianMixture(featuresCol="reduced", k=k, seed=seed, maxIter=100).fit(reduced).transform(reduced)
     rows = rows.select("node_id", "prediction", F.posexplode(vector_to_array("probability")).alias("cluster", "weight"))

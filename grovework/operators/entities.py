@@ -11,14 +11,16 @@ from grovework.functions.text import strip
 from grovework.functions.vectors import cosine
 
 ENTITY = "struct<name:string,type:string,importance:int>"
+#: The patterns of capitalised phrases, technical terms and words of questions.
 CAPS = r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
 TECHNICAL = r"(?U)\b([A-Z]{2,}|[a-z]+[A-Z][a-zA-Z]*)\b"
 QUERY_WORD = r"(?U)\b([A-Za-z][A-Za-z0-9_-]*)\b"
 #: Words that name nothing.
 STOPWORDS = (
-    "what how why when where who which is are was were the a an and or but in on at to for of with by from can could would "
-    "should does do did have has had this that these those about tell me explain"
-).split()
+    "what", "how", "why", "when", "where", "who", "which", "is", "are", "was", "were", "the", "a", "an", "and", "or", "but",
+    "in", "on", "at", "to", "for", "of", "with", "by", "from", "can", "could", "would", "should", "does", "do", "did",
+    "have", "has", "had", "this", "that", "these", "those", "about", "tell", "me", "explain",
+)
 
 
 def found(text: Column, pattern: str) -> Column:

@@ -23,6 +23,8 @@ def shared_path(df: DataFrame, name: str) -> str:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="grovework-")
@@ -52,9 +54,9 @@ def mirrored(pairs: DataFrame, value: str = "weight") -> DataFrame:
 
 def importances(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     """(document_id, node_id, entity, importance, n): the last importance of each
-    lower-cased name, and the node's number of entities with repeats."""
-    rows = entities.withColumn("n", F.count("*").over(Window.partitionBy("node_id")))
-    rows = rows.groupBy("node_id", F.lower("name").alias("entity")).agg(F.max_by("importance", "rank").alias("importance"), F.max("n").alias("n"))
+    lower-cased name, and the node's number of those names."""
+    rows = entities.groupBy("node_id", F.lower("name").alias("entity")).agg(F.max_by("importance", "rank").alias("importance"))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("node_id")))
     return rows.join(nodes.select("node_id", "document_id"), "node_id")
 
 

@@ -1,9 +1,9 @@
 """Retrieval for whole tables of questions at once.
 
 Questions carry query_id, question, embedding and document_id (null: all
-documents). Scoped questions join nodes on document_id; only questions without
-a document meet all nodes, as a broadcast of the question table, whose size is
-checked.
+documents). Scoped questions join nodes on document_id. Questions without a
+document meet all nodes block by block: nodes are dealt into blocks, questions
+go to each block, and each task keeps the best of its own before they meet.
 """
 
 from __future__ import annotations
@@ -20,18 +20,32 @@ from grovework.operators.graph import expand
 
 ALPHA, SEEDS, ENTITY_TOP_K, BOOST, CONTEXT_TOKENS = 0.6, 5, 5, 0.2, 8000
 NO_RESULT = "I couldn't find any relevant information to answer this question."
-MOST_BROADCAST_QUESTIONS = 100_000
+#: The most results that a class of questions asks for.
+MOST_K = 15
 
 #: Phrases that mark kinds of questions, matched as substrings.
-COMPLEX = "compare|contrast|difference|between|relationship|how does|why does|explain why|connect|relate|multiple|several|all the|impact|effect".split("|")
-SIMPLE = "what is|define|who is|when did|where is|which|name the|list|how many|how much".split("|")
-EXPLORATORY = "tell me about|overview|summarize|everything about|introduction to|basics of".split("|")
-MULTIHOP = "relationship between|how does .* relate|connection|linked to|associated with|causes|leads to|depends on|influences|affects".split("|")
+COMPLEX = (
+    "compare", "contrast", "difference", "between", "relationship", "how does", "why does", "explain why", "connect",
+    "relate", "multiple", "several", "all the", "impact", "effect",
+)
+SIMPLE = (
+    "what is", "define", "who is", "when did", "where is", "which", "name the", "list", "how many", "how much",
+)
+EXPLORATORY = (
+    "tell me about", "overview", "summarize", "everything about", "introduction to", "basics of",
+)
+MULTIHOP = (
+    "relationship between", "how does .* relate", "connection", "linked to", "associated with", "causes", "leads to",
+    "depends on", "influences", "affects",
+)
 COMPLEX_V1 = (
-    "compare|contrast|difference|between|how does|why does|explain why|relationship|relate|connection|multiple|several|all the|step by step|"
-    "process|procedure|advantages|disadvantages|pros and cons|impact|effect|influence|affect"
-).split("|")
-EXPLORATORY_V1 = "tell me about|overview|summarize|what do you know|everything about|introduction to|basics of".split("|")
+    "compare", "contrast", "difference", "between", "how does", "why does", "explain why", "relationship", "relate",
+    "connection", "multiple", "several", "all the", "step by step", "process", "procedure", "advantages",
+    "disadvantages", "pros and cons", "impact", "effect", "influence", "affect",
+)
+EXPLORATORY_V1 = (
+    "tell me about", "overview", "summarize", "what do you know", "everything about", "introduction to", "basics of",
+)
 
 
 def _hits(text: Column, phrases: Sequence[str]) -> Column:
@@ -90,24 +104,25 @@ def candidates(questions: DataFrame, nodes: DataFrame, condition: Column | None
     q = questions.select([c for c in questions.columns if c not in ("embedding", "document_id")] + [doubles(F.col("embedding")).alias("q_vector"), F.col("document_id").alias("q_document")])
     n = nodes if condition is None else nodes.filter(condition)
     scoped = q.filter("q_document is not null").join(n, F.col("q_document") == F.col("document_id"))
-    everywhere = q.filter("q_document is null")
-    if everywhere.isEmpty():
-        every = scoped
-    else:
-        few = everywhere.limit(MOST_BROADCAST_QUESTIONS + 1).count() <= MOST_BROADCAST_QUESTIONS
-        every = scoped.unionByName(n.crossJoin(F.broadcast(everywhere) if few else everywhere).select(*scoped.columns))
+    blocks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    everywhere = q.filter("q_document is null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every = n.withColumn("block", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int")).join(everywhere, "block")
+    every = scoped.unionByName(every.select(*scoped.columns))
     return every.withColumn("distance", squared_l2(doubles(F.col("embedding")), F.col("q_vector"))).drop("embedding", "q_vector", "q_document")
 
 
-def ranked(rows: DataFrame, k: Column | int, *order: Column | str, by: Sequence[str] = ("query_id",)) -> DataFrame:
+def ranked(rows: DataFrame, k: Column | int, *order: Column | str, by: Sequence[str] = ("query_id",), most: int = MOST_K) -> DataFrame:
+    """The first k of each group. Where k is a column, it is `most` at the most:
+    only by a literal bound can Spark cut each task's rows before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+    rows = rows.withColumn("rank", rank)
+    return rows.filter((F.col("rank") <= most) & (F.col("rank") <= k)) if isinstance(k, Column) else rows.filter(F.col("rank") <= k)
 
 
 def collapsed_tree(questions: DataFrame, nodes: DataFrame, top_k: int | Column = 10, boost: bool = True, weight: Column | None = None) -> DataFrame:
     """The 2k nearest of all layers, re-ranked by layer weight and entity boost
     down to k. With `boost`, questions need q_entities."""
-    near = ranked(candidates(questions, nodes, F.col("layer") >= 0), top_k * 2, "distance", "node_id").drop("rank")
+    near = ranked(candidates(questions, nodes, F.col("layer") >= 0), top_k * 2, "distance", "node_id", most=2 * MOST_K).drop("rank")
     adjusted = F.col("distance") if weight is None else F.col("distance") * weight
     if boost:
         m = matches(F.col("entity_names"), F.col("q_entities"))

@@ -147,11 +147,6 @@ def a12_graph_roundtrip(spark, d):
     return sums.join(index.groupBy("document_id").agg(F.count("*").alias("n_entities")), "document_id", "full_outer")
 
 
-@query()
-def a13_ingest_report(spark, d):
-    return A.ingest(W.marked(spark, d))[1]
-
-
 # ---- B: text functions
 
 
@@ -299,7 +294,7 @@ def c05_add_overlap(spark, d):
 
 @query(recursive(GROUPED, FOLDED, MERGED, OVERLAPPED) + "SELECT doc_id, chunk_index, chunk FROM chunks", ints="chunk_index")
 def c06_chunk_text(spark, d):
-    return C.chunk_text(docs_of(spark, d), "doc_id")
+    return C.chunk_text(docs_of(spark, d), "doc_id", spread=True)
 
 
 SUMMARIES_SQL = "sums AS (SELECT doc_id, array_to_string(list_transform(s[1:3], lambda t: string_split(t, '.')[1] || '.'), ' ') AS summary FROM sents)"
@@ -326,9 +321,44 @@ def c08_structured_chunks(spark, d):
     return made.select("doc_id", "chunk_index", "content_type", "ref_id", "contextualized")
 
 
+GROUPED_MARKED = GROUPED.replace(SENTS, MARKED + ",\n" + SENTS.replace("doc_id, ", "document_id AS doc_id, ", 1).replace("FROM documents", "FROM marked"))
+
+
+@query(recursive(GROUPED_MARKED, FOLDED, MERGED, OVERLAPPED) + r"""SELECT document_id, length(text) AS n_chars, n_chunks, n_images, n_tables, n_chunks < 10 AS few_chunks FROM marked JOIN (
+  SELECT doc_id AS document_id, count(*) AS n_chunks, sum(len(regexp_extract_all(chunk, '\[IMAGE\s+([^\s:]+):', 1)))::BIGINT AS n_images,
+    sum(len(regexp_extract_all(chunk, '\[TABLE\s+([^\s:]+):', 1)))::BIGINT AS n_tables FROM chunks GROUP BY 1) USING (document_id)""", ints="n_chars")
+def a13_ingest_report(spark, d):
+    return A.ingest(W.marked(spark, d), spread=True)[1]
+
+
 # ---- D: vectors
 
 
+@query()
+def d01_embed_hashed(spark, d):
+    """Vectors of all documents by the default embedder: hashed words and inverse document frequency."""
+    from grovework.operators.embedding import embed
+
+    rows = embed(docs_of(spark, d).select("doc_id", "text"), id_col="doc_id", text="text")
+    filled = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), F.round(x, 6).alias("x"))), lambda e: e["x"] > 0)
+    return rows.select("doc_id", F.array_join(F.transform(filled, lambda e: F.concat_ws(":", e["i"].cast("string"), e["x"].cast("string"))), " ").alias("embedding"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform({HIST_SQL.format(t='text')}, lambda x: CAST(x AS BIGINT)), ',') AS v FROM documents")
+def d01_embed_by_hook(spark, d):
+    """A mapInPandas embedder stands in for a model: it counts letters."""
+    import pandas as pd
+
+    from grovework.operators.embedding import embed, letter_counts
+
+    def embedder(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "embedding": list(letter_counts(pdf.text.fillna("").to_list()))})
+
+    rows = embed(docs_of(spark, d).select("doc_id", "text"), embedder, "doc_id", "text")
+    return rows.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("bigint").cast("string")), ",").alias("v"))
+
+
 @query(f"SELECT doc_id, array_to_string(list_transform({HIST_SQL.format(t='text')}, lambda x: CAST(x AS BIGINT)), ',') AS v FROM documents")
 def d01_embed_letters(spark, d):
     v = F.transform(V.letter_histogram(F.col("text")), lambda x: x.cast("bigint").cast("string"))
@@ -381,7 +411,7 @@ def e01_extract_entities(spark, d):
     return W.entities(spark, d)
 
 
-@query()
+@query(with_(NODES, ENTS, NAMES) + r"""SELECT node_id, CASE WHEN chunk_index % 2 = 1 AND regexp_matches(text, '\S') THEN regexp_extract(text, '\S+') ELSE entity_names END AS entity_names FROM described""")
 def e02_extract_by_hook(spark, d):
     """The hook finds no entities for every other node, where the rules stand in."""
     import pandas as pd
@@ -413,7 +443,14 @@ def e04_dedupe_exact(spark, d):
     return E.dedupe_exact(rows.select("document_id", "pos", "name", "type", "importance")).select("document_id", "pos", "name", "importance")
 
 
-@query()
+@query("WITH RECURSIVE " + ",\n".join((NODES, ENTS, f"""cand AS (SELECT node_id, CAST(rank AS INT) AS pos, name, importance, {HIST_SQL.format(t="name")} AS v, count(*) OVER (PARTITION BY node_id) AS n FROM ents),
+like_pairs AS (SELECT a.node_id, a.pos AS a, b.pos AS b, a.importance AS ia, b.importance AS ib, row_number() OVER (PARTITION BY a.node_id ORDER BY a.pos, b.pos) AS k
+  FROM cand a JOIN cand b ON a.node_id = b.node_id AND a.pos < b.pos WHERE a.n > 5 AND list_cosine_similarity(a.v, b.v) > 0.85),
+greedy AS (SELECT DISTINCT node_id, 0::BIGINT AS k, []::INT[] AS gone FROM like_pairs
+  UNION ALL SELECT g.node_id, p.k, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, CASE WHEN ia >= ib THEN b ELSE a END) END
+  FROM greedy g JOIN like_pairs p ON p.node_id = g.node_id AND p.k = g.k + 1),
+removed AS (SELECT node_id, unnest(arg_max(gone, k)) AS pos FROM greedy GROUP BY 1)""")) + """
+SELECT node_id, pos, name, importance FROM cand ANTI JOIN removed USING (node_id, pos)""")
 def e05_dedupe_similar(spark, d):
     rows = W.entities(spark, d).withColumn("embedding", V.letter_histogram(F.col("name"))).withColumn("pos", F.col("rank").cast("int"))
     return E.dedupe_similar(rows.select("node_id", "pos", "name", "importance", "embedding"), "node_id").select("node_id", "pos", "name", "importance")
@@ -537,7 +574,10 @@ def g02_layer_resolution(spark, d):
     return rows.select("layer", F.round(G.RESOLUTION * F.pow(F.lit(G.DECAY), F.col("layer")), 6).alias("resolution"), "n")
 
 
-@query()
+PLANTED_CLUSTERS = "SELECT document_id, node_id, dense_rank() OVER (PARTITION BY document_id ORDER BY low) - 1 AS cluster{more} FROM (SELECT *, min(node_id) OVER (PARTITION BY document_id, block) AS low FROM planted)"
+
+
+@query(with_(NODES, PLANTED) + PLANTED_CLUSTERS.format(more=""), ints="cluster")
 def g03_knn_communities(spark, d):
     return G.knn_communities(W.planted(spark, d))
 
@@ -555,21 +595,27 @@ def g04_soft_membership(spark, d):
 
 @query()
 def g05_select_k(spark, d):
-    reduced = G.reduce_dimensions(W.planted(spark, d), 4).cache()
-    best, found = G.select_k(reduced, 5)
+    reduced = G.reduced_table(W.planted(spark, d))
+    best, found = G.select_k(reduced)
     return reduced.groupBy("document_id").agg(F.count("*").alias("n")).withColumn("k", F.lit(best))
 
 
 @query()
 def g06_cluster_gmm(spark, d):
-    return G.cluster_gmm(W.planted(spark, d), 4, soft=True, dims=4).withColumn("weight", F.round("weight", 3))
+    return G.cluster_gmm(W.planted(spark, d), soft=True).withColumn("weight", F.round("weight", 3))
 
 
-@query()
+@query(with_(NODES, PLANTED) + PLANTED_CLUSTERS.format(more=", 1.0 AS weight"), ints="cluster", doubles="weight")
 def g07_cluster_adaptive(spark, d):
     return G.cluster_adaptive(W.planted(spark, d), W.entities(spark, d), method="communities")
 
 
+@query()
+def g07_cluster_adaptive_mixture(spark, d):
+    rows = G.cluster_adaptive(W.planted(spark, d), W.entities(spark, d), method="mixture", soft=True)
+    return rows.withColumn("weight", F.round("weight", 3))
+
+
 @query(with_(NODES, PLANTED, BLOCKS) + "SELECT document_id, cluster, count(*) AS n FROM clusters GROUP BY ALL")
 def g08_membership(spark, d):
     return G.cluster_sizes(G.membership(W.planted(spark, d).select("document_id", "node_id", F.col("block").alias("cluster"))))
@@ -609,7 +655,9 @@ def h04_build_tree(spark, d):
     return tree.select("node_id", "document_id", "layer", "text", "entity_names", F.array_join("child_ids", ",").alias("kids"))
 
 
-@query()
+@query(with_(NODES, "base AS (SELECT * FROM nodes WHERE layer = 0 AND document_id IN (SELECT document_id FROM nodes WHERE layer = 2))") + """SELECT document_id, 0 AS layer, count(*) AS n FROM base GROUP BY 1
+  UNION ALL SELECT document_id, 1, count(*) FROM (SELECT document_id, chunk_index % 4 AS block FROM base GROUP BY ALL HAVING count(*) >= 2)
+  WHERE document_id IN (SELECT document_id FROM base GROUP BY 1 HAVING count(*) >= 3) GROUP BY 1""", ints="layer")
 def h05_rebuild_tree(spark, d):
     nodes = E.with_entities(W.planted(spark, d).drop("block"))
     wanted = nodes.filter("layer = 2").select("document_id")
@@ -816,7 +864,36 @@ def i15_answer_sources(spark, d):
     return R.answer_sources(deduped(spark, d))
 
 
-@query()
+@query(with_(*ADAPTIVE, CHILD_EDGES, DEDUPED, CONTEXT) + """SELECT query_id, context, n_sources, answer FROM (SELECT q.query_id, coalesce(c.context, '') AS context, coalesce(n.n, 0) AS n_sources,
+  CASE WHEN c.context IS NULL THEN 'I couldn''t find any relevant information to answer this question.' ELSE left(q.question, 20) || ': ' || left(string_split(c.context, chr(10))[2], 60) END AS answer
+  FROM questions q LEFT JOIN contexts c USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM deduped GROUP BY 1) n USING (query_id))""".replace("left(string_split(c.context, chr(10))[2], 60)", "regexp_replace(left(string_split(c.context, chr(10))[2], 60), '\\s+$', '')"))
+def i15_answers(spark, d):
+    """The generator hook stands for a model: it tells the question and the first line of the context."""
+    import pandas as pd
+
+    def generator(frames):
+        for pdf in frames:
+            lines = pdf.context.str.split("\n").str[1].str[:60]
+            yield pd.DataFrame({"query_id": pdf.query_id, "answer": pdf.question.str[:20] + ": " + lines + " "})
+
+    return R.answers(W.questions(spark, d), GR.written(deduped(spark, d), "deduped"), generator)
+
+
+def hop_sql(hop: int) -> str:
+    """A hop of i16: the five best for each question, those not seen before, and the next questions."""
+    told = ASKED.replace("qwords", f"qwords{hop}").replace("qents", f"qents{hop}").replace("asked AS", f"asked{hop} AS").replace("FROM questions", f"FROM q{hop}")
+    cands = CANDS.replace("cands AS", f"cands{hop} AS").replace("FROM asked", f"FROM asked{hop}")
+    unseen = "".join(f" AND NOT EXISTS (SELECT 1 FROM found{h} x WHERE x.query_id = t.query_id AND x.node_id = t.node_id)" for h in range(1, hop))
+    return f"""{told},
+{cands},
+{collapsed_sql("5", source=f"cands{hop}", name=f"tree{hop}")},
+found{hop} AS (SELECT DISTINCT query_id, node_id FROM tree{hop} t WHERE true{unseen}),
+q{hop + 1} AS (SELECT q.query_id, n.next AS question, n.v AS embedding, q.document_id FROM q{hop} q JOIN (SELECT query_id, array_to_string(list_sort(list(DISTINCT entity_names)), ' ') AS next,
+  arg_min(embedding, node_id) AS v FROM found{hop} JOIN described USING (node_id) GROUP BY 1) n USING (query_id))"""
+
+
+@query(with_(NODES, ENTS, NAMES, QUESTIONS, "q1 AS (SELECT query_id, question, embedding, document_id FROM questions)", hop_sql(1), hop_sql(2), hop_sql(3))
+  + "SELECT query_id, 1 AS hop, node_id FROM found1 UNION ALL SELECT query_id, 2, node_id FROM found2 UNION ALL SELECT query_id, 3, node_id FROM found3", ints="hop")
 def i16_multi_hop(spark, d):
     nodes = W.described(spark, d)
 
@@ -919,7 +996,7 @@ def j11_patch(spark, d):
 # ---- K: incremental
 
 
-@query()
+@query(recursive(GROUPED, FOLDED, MERGED, OVERLAPPED) + "SELECT concat(doc_id, '_L0_chunk', chunk_index) AS node_id, CAST(doc_id AS VARCHAR) AS document_id, chunk_index, length(chunk) // 4 AS token_count FROM chunks", ints="chunk_index token_count")
 def k01_stream_ingest(spark, d):
     source, target, state = (GR.shared_path(docs_of(spark, d), x) for x in ("incoming", "streamed", "stream-state"))
     docs_of(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), "text").write.parquet(source)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovework.functions.vectors import cosine, doubles
-from grovework.operators.entities import entity_index, extract_entities, with_entities
+from grovework.operators.entities import STOPWORDS, entity_index, extract_entities, with_entities
 from grovework.operators.retrieval import with_entities as with_query_entities
 
 
@@ -156,6 +156,7 @@ QUESTIONS = """questions AS (
     CASE WHEN b.item_id % 5 <> 4 THEN concat('doc', e.label, '_', e.vec_id // 500) END AS document_id
   FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
 
+#: The entity patterns as DuckDB writes them.
 CAPS_SQL = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
 TECHNICAL_SQL = r"\b([A-Z]{2,}|[a-z]+[A-Z][a-zA-Z]*)\b"
 
@@ -178,15 +179,10 @@ NAMES = """described AS (
 
 INDEX = """idx AS (SELECT DISTINCT document_id, lower(name) AS entity, node_id FROM ents JOIN nodes USING (node_id))"""
 
-STOPS = (
-    "what how why when where who which is are was were the a an and or but in on at to for of with by from can could would "
-    "should does do did have has had this that these those about tell me explain"
-).split()
-
 ASKED = rf"""qwords AS (
   SELECT query_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM (
     SELECT query_id, list_concat(list_filter(regexp_extract_all(t, '\b([A-Za-z][A-Za-z0-9_-]*)\b', 1),
-        lambda w: length(w) > 2 AND NOT contains(w, '_') AND NOT list_contains({STOPS!r}, lower(w))), regexp_extract_all(t, '{CAPS_SQL}', 1)) AS l
+        lambda w: length(w) > 2 AND NOT contains(w, '_') AND NOT list_contains({[*STOPWORDS]!r}, lower(w))), regexp_extract_all(t, '{CAPS_SQL}', 1)) AS l
     FROM (SELECT query_id, regexp_replace(question, '[^\x00-\x7F]', '_', 'g') AS t FROM questions))),
 qents AS (SELECT query_id, arg_min(name, pos) AS name, min(pos) AS pos FROM qwords GROUP BY query_id, lower(name)),
 asked AS (SELECT q.*, coalesce(x.e, []) AS q_entities FROM questions q LEFT JOIN (SELECT query_id, list(lower(name)) AS e FROM qents GROUP BY 1) x USING (query_id))"""
@@ -196,7 +192,7 @@ EDGES = """sims AS (
   FROM nodes a JOIN nodes b ON a.document_id = b.document_id AND a.node_id < b.node_id),
 imps AS (
   SELECT document_id, node_id, lower(name) AS entity, arg_max(importance, rank) AS importance, any_value(cnt) AS n
-  FROM (SELECT *, count(*) OVER (PARTITION BY node_id) AS cnt FROM ents) JOIN nodes USING (node_id) GROUP BY ALL),
+  FROM ents JOIN (SELECT node_id, count(DISTINCT lower(name)) AS cnt FROM ents GROUP BY 1) USING (node_id) JOIN nodes USING (node_id) GROUP BY ALL),
 overlap AS (
   SELECT a.document_id, a.node_id AS a, b.node_id AS b, sum((a.importance + b.importance) / 2) / (10 * max(greatest(a.n, b.n, 1))) AS score
   FROM imps a JOIN imps b ON a.document_id = b.document_id AND a.entity = b.entity AND a.node_id < b.node_id GROUP BY ALL),

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from grovework.operators.embedding import embed
+from grovework.operators.entities import with_entities
+from grovework.operators.graph import written
 from grovework.sources.nodes import ingest
 
 SCHEMA = "document_id string, text string"
 
 
-def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, **chunking) -> StreamingQuery:
+def stream_ingest(
+    spark: SparkSession, source: str, target: str, checkpoint: str, extractor: Callable | None = None, embedder: Callable | None = None, **chunking
+) -> StreamingQuery:
     """Starts a query over Parquet files of (document_id, text) in `source`.
 
+    Documents are chunked, get entities (`extractor`) and vectors (`embedder`;
+    the default hashes words without frequencies, so that batches compare).
     Nodes of batch n go to target/batch=n, which is overwritten if the batch
-    runs again, so a batch counts once. `current` reads the latest nodes.
+    runs again, so a batch counts once. Of a document that comes twice in a
+    batch the row of the latest file counts (then the greatest file name and
+    text). `current` reads the latest nodes.
     """
-    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    file = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"), F.col("text").alias("text"))
+    stream = spark.readStream.schema(SCHEMA).parquet(source).select("document_id", file.alias("file"))
 
     def store(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("document_id").agg(F.max("text").alias("text"))
-        ingest(last, **chunking)[0].write.mode("overwrite").parquet(f"{target}/batch={number}")
+        last = batch.groupBy("document_id").agg(F.max("file").alias("file")).select("document_id", "file.text")
+        nodes = with_entities(written(ingest(last, **chunking)[0], "ingested"), extractor)
+        embed(nodes, embedder, idf=False).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -33,6 +46,12 @@ def current(spark: SparkSession, target: str) -> DataFrame:
     return rows.join(last, ["document_id", "batch"], "left_semi").drop("batch")
 
 
+def compact(spark: SparkSession, target: str, path: str) -> None:
+    """Writes what is current as the first batch of a new target, so that
+    replaced nodes need not be read again."""
+    current(spark, target).write.parquet(f"{path}/batch=-1")
+
+
 def fingerprints(nodes: DataFrame) -> DataFrame:
     """(document_id, print): a sum of hashes of the base nodes, whatever their order."""
     rows = nodes.filter("layer = 0").select("document_id", F.xxhash64("node_id", "text").cast("decimal(38,0)").alias("h"))
