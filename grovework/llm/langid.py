@@ -8,20 +8,24 @@ the highest cosine with the document's vector.
 
 Bundles add, so training sums each batch into one vector per language, Spark
 adds those, and the driver sees one vector per language. Within a batch the
-vectors of all documents are one matrix product of n-gram counts with the bound
-n-gram vectors. Prototypes and documents are both reduced by what all training
+vectors of all documents are a matrix product of n-gram counts with the bound
+n-gram vectors, in blocks of n-grams, so scripts of many letters need no more
+memory than others. Prototypes and documents are both reduced by what all training
 languages share (the mean prototype direction is subtracted), which sharpens
 the cosine.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; so is
-every text if nothing could be learned. Texts are read whole, however long;
-copies of a row get equal results. Training rows with a null language or text
+every text if nothing could be learned. Texts are read whole; one of over a
+million characters in blocks of about that many, cut at blanks, whose bundles
+are added (n-grams across a cut are not formed). Copies of a row get equal
+results. Training rows with a null language or text
 are left out. Ties go to the first language in code-point order. Columns that
 are not named are not read, so names cannot clash.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,6 +38,9 @@ from pyspark.sql import functions as F
 from grovework.llm.common import slices
 
 UNKNOWN = "und"
+BLANK = re.compile(r"\s")
+#: Counts that are held at once.
+DENSE = 4_000_000
 
 
 @lru_cache(maxsize=1)
@@ -44,10 +51,11 @@ def letter_table() -> np.ndarray:
     return np.where(letter, points, 32).astype(np.int32)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=150_000)
 def letter_vector(point: int, dims: int, seed: int) -> np.ndarray:
-    """The same signs for a code point in every process."""
-    return np.random.default_rng([seed, point]).integers(0, 2, dims).astype(np.float32) * 2 - 1
+    """The same signs for a code point in every process; a byte for each, so
+    those of all letters there are take some 70 MB."""
+    return np.random.default_rng([seed, point]).integers(0, 2, dims).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def letters_of(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,20 +99,53 @@ def bound(grams: np.ndarray, dims: int, seed: int) -> np.ndarray:
     """A vector for each n-gram: its letters' vectors, rotated by place, multiplied."""
     alphabet, numbers = np.unique(grams, return_inverse=True)
     numbers = numbers.reshape(grams.shape)
-    vectors = np.stack([letter_vector(int(p), dims, seed) for p in alphabet]) if len(alphabet) else np.empty((0, dims), np.float32)
-    out = np.ones((len(grams), dims), np.float32)
+    vectors = np.stack([letter_vector(int(p), dims, seed) for p in alphabet]) if len(alphabet) else np.empty((0, dims), np.int8)
+    out = np.ones((len(grams), dims), np.int8)
     for k in range(grams.shape[1]):
         out *= np.roll(vectors, grams.shape[1] - 1 - k, axis=1)[numbers[:, k]]
+    return out.astype(np.float32)
+
+
+def summed(
+    grams: np.ndarray, numbers: np.ndarray, groups: np.ndarray, n_groups: int, dims: int, seed: int, weights: np.ndarray | None = None, block: int = 8192
+) -> np.ndarray:
+    """For each group the sum of its n-grams' vectors, by weight."""
+    out = np.zeros((n_groups, dims), np.float32)
+    if n_groups * len(grams) <= DENSE:
+        counts = np.bincount(groups * len(grams) + numbers, weights, n_groups * len(grams)).reshape(n_groups, -1)
+        for at in range(0, len(grams), block):
+            out += counts[:, at : at + block].astype(np.float32) @ bound(grams[at : at + block], dims, seed)
+        return out
+    order = np.argsort(numbers, kind="stable")
+    numbers, groups, weights = numbers[order], groups[order], None if weights is None else weights[order]
+    block = min(block, max(1, DENSE // n_groups))
+    for at in range(0, len(grams), block):
+        own, (low, high) = grams[at : at + block], np.searchsorted(numbers, (at, at + block))
+        codes = groups[low:high] * len(own) + numbers[low:high] - at
+        counts = np.bincount(codes, None if weights is None else weights[low:high], n_groups * len(own))
+        out += counts.reshape(n_groups, -1).astype(np.float32) @ bound(own, dims, seed)
     return out
 
 
-def bundles(texts: Sequence[str | None], dims: int, n: int, seed: int) -> np.ndarray:
+def parts_of(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about `most` characters, cut at blanks."""
+    at = 0
+    while at < len(text):
+        cut = BLANK.search(text, at + most)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def bundles(texts: Sequence[str | None], dims: int, n: int, seed: int, most: int = 1_000_000) -> np.ndarray:
     """A vector for each text; zero where there is no letter."""
-    grams, numbers, owners = ngrams_of(texts, n)
-    if not len(grams):
-        return np.zeros((len(texts), dims), np.float32)
-    counts = np.bincount(owners * len(grams) + numbers, minlength=len(texts) * len(grams)).reshape(len(texts), len(grams))
-    return counts.astype(np.float32) @ bound(grams, dims, seed)
+    grams, numbers, owners = ngrams_of([t if t and len(t) <= most else None for t in texts], n)
+    out = summed(grams, numbers, owners, len(texts), dims, seed) if len(grams) else np.zeros((len(texts), dims), np.float32)
+    for k, text in enumerate(texts):
+        if text and len(text) > most:
+            for part in parts_of(text, most):
+                out[k] += summed(*ngrams_of([part], n), 1, dims, seed)[0]
+    return out
 
 
 @dataclass
@@ -136,16 +177,18 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = 5
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for part in slices(batches, 512, 0):
-            langs = part.column(1).to_pylist()
+            texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
+            if part.num_rows == 1:  # of any length
+                vector = bundles(texts, dims, n, seed)[0].astype(np.float64)
+                sums[langs[0]] = sums.get(langs[0], 0) + vector / np.sqrt(max(1, len(texts[0])))
+                continue
             names = sorted(set(langs))
-            grams, numbers, owners = ngrams_of(part.column(0).to_pylist(), n)
+            grams, numbers, owners = ngrams_of(texts, n)
             if not len(grams):
                 continue
-            weight = 1 / np.sqrt(np.maximum(np.bincount(owners, minlength=part.num_rows), 1))
+            weight = 1 / np.sqrt(np.maximum(np.fromiter(map(len, texts), float), 1))
             of = np.searchsorted(names, langs)
-            counts = np.bincount(of[owners] * len(grams) + numbers, weights=weight[owners], minlength=len(names) * len(grams))
-            vectors = counts.reshape(len(names), -1).astype(np.float32) @ bound(grams, dims, seed)
-            for name, vector in zip(names, vectors):
+            for name, vector in zip(names, summed(grams, numbers, of[owners], len(names), dims, seed, weight[owners])):
                 sums[name] = sums.get(name, 0) + vector.astype(np.float64)
         names = sorted(sums)
         yield pa.RecordBatch.from_arrays(
