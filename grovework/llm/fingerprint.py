@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +42,7 @@ MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 BASE = 0x9E3779B97F4A7C15
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+NEXT_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,7 +51,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> U(31)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=6)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     inverse = pow(BASE, -1, 2**64)
@@ -57,27 +59,40 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return grow(U(BASE)), grow(U(inverse))
 
 
-def shingle_hashes(data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each shingle of lower-cased `data`, and the byte after it.
-
-    Words are hashed from differences of a running polynomial, so no word is
-    cut out; a shingle's hash combines those of its words.
-    """
-    raw = np.frombuffer(data.lower(), np.uint8)
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of `data`, and the byte after it: from differences
+    of a running polynomial, so no word is cut out."""
+    raw = np.frombuffer(data, np.uint8)
     blank = BLANK[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, U), np.empty(0, np.int64)
-    size = 1 << max(16, int(len(raw)).bit_length())
-    up, down = powers(size)
+    up, down = powers(1 << max(16, int(len(raw)).bit_length()))
     running = np.concatenate(([U(0)], np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)], dtype=U)))
-    word = mixed((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(U) * MIX[0])
+    return mixed((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(U) * MIX[0]), ends
+
+
+def shingle_hashes(data: bytes, words: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each shingle of lower-cased `data`, and the byte after it; a
+    shingle's hash combines those of its words. Long texts are hashed in blocks
+    that end at a blank, so the memory besides the results stays bounded."""
+    data, at, found, ends = data.lower(), 0, [], []
+    while at < len(data):
+        cut = NEXT_BLANK.search(data, at + block)
+        after = cut.start() if cut else len(data)
+        part = word_hashes(data[at:after])
+        found.append(part[0])
+        ends.append(part[1] + at)
+        at = after
+    if not sum(map(len, found)):
+        return np.empty(0, U), np.empty(0, np.int64)
+    word, end = np.concatenate(found), np.concatenate(ends)
     width = min(words, len(word))
     out = np.zeros(len(word) - width + 1, U)
     for k in range(width):
         out = out * U(BASE) + word[k : k + len(out)]
-    return mixed(out + U(width)), ends[width - 1 :]
+    return mixed(out + U(width)), end[width - 1 :]
 
 
 @lru_cache(maxsize=4)
@@ -165,47 +180,70 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _dealt(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _dealt(docs: DataFrame, id_col: str, text: str, bucket_bytes: int, hot_rows: int) -> tuple[DataFrame, int]:
     """Rows in buckets of neighbouring ids, each bucket followed by the first row
-    of the next one (`extra`), so that each task finds every row's successor.
+    of the next one (`extra`), so that each task finds every row's successor;
+    and the number of buckets, which follows from the size of the texts.
 
-    Cuts come from approximate quantiles of the ids alone. One shuffle of the
-    texts, plus one more row for each bucket.
+    Cuts come from approximate quantiles of the ids. An id (or the lack of one)
+    that has more rows than a bucket gets buckets of its own, by a hash of the
+    text. One shuffle of the texts, plus one more row for each bucket.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("t")).withColumn("x", F.coalesce(F.col("id").cast("double"), F.lit(float("nan"))))
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.approxQuantile("id", [k / wanted for k in range(1, wanted)], 0.25 / wanted))) if wanted > 1 else []
-    splits = [-math.inf, *cuts, math.inf] if cuts else [-math.inf, 0.0, math.inf]
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("t"))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes")).first()
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size.bytes or 0) // bucket_bytes))
+    most = max(hot_rows, -(-size.n // wanted))
+    # at most as many ids as buckets
+    hot = {r.id: r["count"] for r in rows.groupBy("id").count().filter(F.col("count") > most).collect()}
+    cuts = rows.approxQuantile("id", [k / wanted for k in range(1, wanted)], 0.25 / wanted) if wanted > 1 else []
+    for i in hot.keys() - {None}:
+        cuts += [float(i), math.nextafter(float(i), math.inf)]
+    splits = [-math.inf, *sorted(set(cuts)), math.inf] if cuts else [-math.inf, 0.0, math.inf]
     # descending ids: bucket 0 holds the largest; null ids come last
+    own = dict.fromkeys(range(len(splits)), 1)
+    for i, n in hot.items():
+        own[len(splits) - 1 if i is None else splits.index(float(i))] = -(-n // most)
+    first, at = {}, 0
+    for k in [*range(len(splits) - 2, -1, -1), len(splits) - 1]:
+        first[k], at = at, at + own[k]
+    rows = rows.withColumn("x", F.coalesce(F.col("id").cast("double"), F.lit(float("nan"))))
     rows = Bucketizer(splits=splits, inputCol="x", outputCol="of", handleInvalid="keep").transform(rows)
-    place = F.when(F.col("id").isNull(), len(splits)).otherwise(len(splits) - 2 - F.col("of")).cast("int")
-    rows = rows.select("id", "t", place.alias("bucket"))
+    of = F.col("of").cast("int") + 1
+    look_up = lambda found: F.element_at(F.lit([found[k] for k in range(len(splits))]), of)
+    inner = F.when(look_up(own) > 1, F.pmod(F.xxhash64("t"), look_up(own).cast("long")).cast("int")).otherwise(0)
+    rows = rows.select("id", "t", (look_up(first) + inner).alias("bucket"))
     # the first id of each bucket: a row for each bucket, whatever its texts
     heads = rows.groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()
     if not heads:
-        return rows.withColumn("extra", F.lit(False))
+        return rows.withColumn("extra", F.lit(False)), 1
     head = spark.createDataFrame([(r.bucket, r.id, heads[i - 1].bucket) for i, r in enumerate(heads)], "bucket int, head long, before int")
     # ids can repeat: of the rows with a bucket's first id only the first text leads
     leading = rows.join(F.broadcast(head), "bucket").filter(F.col("id").eqNullSafe(F.col("head")))
     extra = leading.groupBy("before", "id").agg(F.min(F.coalesce("t", F.lit(""))).alias("t"))
-    return rows.withColumn("extra", F.lit(False)).unionByName(extra.select("id", "t", F.col("before").alias("bucket"), F.lit(True).alias("extra")))
+    rows = rows.withColumn("extra", F.lit(False)).unionByName(extra.select("id", "t", F.col("before").alias("bucket"), F.lit(True).alias("extra")))
+    return rows, at
 
 
-def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", samples: int = 128, words: int = 5) -> DataFrame:
+def fingerprint_pairs(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", samples: int = 128, words: int = 5, bucket_bytes: int = 1 << 25, hot_rows: int = 1024
+) -> DataFrame:
     """For each row its text's and its edited text's fingerprints and hash, and
     how like they are each other and the next document's. The next document is
     that of the next smaller id (equal ids: in order of text; null ids last),
-    after the last the first."""
-    rows = _dealt(docs, id_col, text)
-    buckets = rows.repartition("bucket").sortWithinPartitions(
+    after the last the first. The rows of an id that has over `hot_rows` of them
+    and more than a bucket holds are ordered by hash before text. `id_col` is a
+    whole number."""
+    rows, buckets = _dealt(docs, id_col, text, bucket_bytes, hot_rows)
+    buckets = rows.repartitionById(buckets, "bucket").sortWithinPartitions(
         "bucket", "extra", F.col("id").desc_nulls_last(), F.col("t").asc_nulls_first()
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def described(id_, text_):
+        def described(id_, text_, before):
             text_ = text_ or ""
-            return id_, text_, signature(shingle_hashes(text_.encode(), words)[0], samples)
+            same = before is not None and before[1] == text_
+            return id_, text_, before[2] if same else signature(shingle_hashes(text_.encode(), words)[0], samples)
 
         def row(own, following):
             id_, text_, sig = own
@@ -225,7 +263,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         for batch in batches:
             out = []
             for id_, t, bucket in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                this = described(id_, t)
+                this = described(id_, t, held)
                 if held is not None and bucket == in_bucket:
                     out.append(row(held, this))
                 held, in_bucket = this, bucket  # a bucket's last row is the extra one
