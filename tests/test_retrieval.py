@@ -152,3 +152,144 @@ def test_recall_of_approximate_search(spark):
     exact = {(r.query_id, r.node_id) for r in retrieval.ranked(retrieval.candidates(q, n), 10, "distance", "node_id").collect()}
     found = {(r.query_id, r.node_id) for r in approx_top_k(q, n, 10).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_overlap_counts_names_whatever_their_case(spark):
+    nodes = spark.createDataFrame([("a", "d"), ("b", "d")], "node_id string, document_id string")
+    rows = [("a", "API", "x", 4, 1), ("a", "Api", "x", 8, 2), ("b", "api", "x", 6, 1), ("b", "Tree", "x", 5, 2)]
+    entities_ = spark.createDataFrame(rows, "node_id string, name string, type string, importance int, rank int")
+    # the last importance of `api` in a is 8; a has one distinct name, b has two
+    assert graph.entity_overlap(entities_, nodes).first().score == pytest.approx(((8 + 6) / 2) / (10 * 2))
+
+
+def test_questions_without_document_meet_all_nodes(spark):
+    nodes = spark.createDataFrame([(f"n{k:02}", f"d{k % 3}", 0, [float(k), 1.0]) for k in range(30)], "node_id string, document_id string, layer int, embedding array<double>")
+    questions = spark.createDataFrame([(1, "q", [4.2, 1.0], None), (2, "q", [7.0, 1.0], "d1"), (3, "q", [0.0, 1.0], "none")], "query_id long, question string, embedding array<double>, document_id string")
+    got = retrieval.ranked(retrieval.candidates(questions, nodes), 3, "distance", "node_id").collect()
+    assert sorted((r.query_id, r.rank, r.node_id) for r in got) == [(1, 1, "n04"), (1, 2, "n05"), (1, 3, "n03"), (2, 1, "n07"), (2, 2, "n04"), (2, 3, "n10")]
+
+
+def test_rank_by_column_is_limited_before_the_shuffle(spark):
+    rows = spark.range(100).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("x"), (F.col("id") % 3 + 1).alias("k"))
+    top = retrieval.ranked(rows, F.col("k"), "x")
+    assert {(r.query_id, r.x) for r in top.collect()} == {(0, 0), (1, 1), (1, 4), (2, 2), (2, 5), (2, 8)}
+    assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
+
+
+def test_both_forms_of_communities_agree(spark):
+    import numpy as np
+
+    from grovework.operators import cluster
+
+    r, rows = np.random.default_rng(4), []
+    for d in range(4):
+        for a in range(24):
+            for b in range(a + 1, 24):
+                if r.random() < (0.6 if a % 3 == b % 3 else 0.08):
+                    rows.append((f"d{d}", f"n{a:02}", f"n{b:02}", float(r.random())))
+    pairs = spark.createDataFrame(rows, "document_id string, a string, b string, sim double")
+    nodes = spark.createDataFrame([(f"d{d}", f"n{k:02}") for d in range(5) for k in range(24)], "document_id string, node_id string")
+    by_group = sorted(map(tuple, cluster.communities(pairs, nodes).collect()))
+    by_joins = sorted(map(tuple, cluster.communities(pairs, nodes, most_edges=0).collect()))
+    assert by_group == by_joins and len(by_group) == 120 and {c for d, _, c in by_group if d == "d4"} == {0}
+
+
+def test_mixtures_and_reduced_vectors(spark):
+    import numpy as np
+
+    from grovework.operators import cluster
+
+    r = np.random.default_rng(1)
+    rows = [(f"n{k:03}", "d", [float(x) for x in r.normal(0, 0.1, 6) + 5 * np.eye(6)[k % 3]]) for k in range(90)]
+    nodes = spark.createDataFrame(rows, "node_id string, document_id string, embedding array<double>")
+    reduced = cluster.reduce_dimensions(nodes, 2).collect()
+    for k in range(3):
+        own = np.array([x.reduced.toArray() for x in reduced if int(x.node_id[1:]) % 3 == k])
+        assert own.std(axis=0).max() < 0.5
+    best, found = cluster.select_k(cluster.reduced_table(nodes, 2), 5)
+    assert best == 3 and min(found, key=found.get) == 3
+    for rows_ in (cluster.cluster_gmm(nodes, 3, dims=2), cluster.cluster_adaptive(nodes, None, method="mixture")):
+        got = {x.node_id: x.cluster for x in rows_.collect()}
+        assert len(got) == 90
+    hard = {x.node_id: x.cluster for x in cluster.cluster_gmm(nodes, 3, dims=2).collect()}
+    assert all(len({hard[f"n{k:03}"] for k in range(j, 90, 3)}) == 1 for j in range(3)) and len(set(hard.values())) == 3
+
+
+def test_layer_keeps_its_invariants(spark):
+    rows = [(f"n{k:02}", "d" if k < 9 else "e", 0, k, False, f"Topic {k % 3}. More.", [float(k % 3 == j) for j in range(3)]) for k in range(11)]
+    base = spark.createDataFrame(rows, "node_id string, document_id string, layer int, chunk_index int, is_summary boolean, text string, embedding array<double>")
+    made = tree.build_layer(entities.with_entities(base), 0).collect()
+    assert {x.document_id for x in made} == {"d"} and all(x.layer == 1 and len(x.child_ids) >= 2 for x in made)
+    kids = [c for x in made for c in x.child_ids]
+    assert len(kids) == len(set(kids)) == 9 and [x.chunk_index for x in sorted(made, key=lambda x: x.chunk_index)] == list(range(len(made)))
+
+
+def test_embedders(spark):
+    import numpy as np
+
+    from grovework.functions.vectors import letter_histogram
+    from grovework.operators import embedding
+
+    rows = spark.createDataFrame([("a", "red fox Red"), ("b", "red fox"), ("c", ""), ("d", None), ("e", "red fox red")], "node_id string, embed_text string")
+    got = {x.node_id: np.array(x.embedding) for x in embedding.embed(rows).collect()}
+    assert np.linalg.norm(got["b"]) == pytest.approx(1) and (got["a"] == got["e"]).all() and not got["c"].any() and not got["d"].any()
+
+    def hook(frames):
+        for pdf in frames:
+            yield pdf.assign(embedding=[[float(len(t or "")), 1.0] for t in pdf.text])[["node_id", "embedding"]]
+
+    assert {x.node_id: x.embedding for x in embedding.embed(rows, hook).collect()}["b"] == [7.0, 1.0]
+    docs = spark.createDataFrame([("x", "One two. Three four. Five! Six? " * 40), ("y", "Éa ß. Zz."), ("z", "")], "document_id string, text string")
+    by_column = sorted(map(tuple, chunking.chunk_text(docs, embed=letter_histogram).collect()))
+    assert by_column == sorted(map(tuple, chunking.chunk_text(docs, spread=True).collect()))
+    constant = chunking.chunk_text(docs, embed_groups=embedding.over_arrays(lambda texts: np.ones((len(texts), 2))))
+    assert {x.document_id for x in constant.collect()} == {"x", "y", "z"}
+
+
+def test_answers_with_and_without_generator(spark):
+    questions = spark.createDataFrame([(1, "Why?"), (2, "Who?")], "query_id long, question string")
+    results = spark.createDataFrame([(1, 1, "text", False, 0, "tree")], "query_id long, rank int, text string, is_summary boolean, layer int, source string")
+    plain = {r.query_id: r for r in retrieval.answers(questions, results).collect()}
+    assert plain[1].answer is None and plain[2].answer == retrieval.NO_RESULT and plain[2].context == "" and plain[1].n_sources == 1
+
+    def hook(frames):
+        for pdf in frames:
+            yield pdf.assign(answer=" " + pdf.question + str(len(pdf)) + " ")[["query_id", "answer"]]
+
+    told = {r.query_id: r.answer for r in retrieval.answers(questions, results, hook).collect()}
+    assert told == {1: "Why?1", 2: retrieval.NO_RESULT}
+
+
+def test_store_search_filters_tables(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "d", 0, [float(k)], k % 2 == 0, k % 3 == 0) for k in range(9)], "node_id string, document_id string, layer int, embedding array<double>, has_images boolean, has_tables boolean")
+    questions = spark.createDataFrame([(1, "q", [0.0], "d")], "query_id long, question string, embedding array<double>, document_id string")
+    assert [r.node_id for r in retrieval.store_search(questions, nodes, 2, content="table").orderBy("rank").collect()] == ["n0", "n3"]
+
+
+def test_stream_keeps_the_latest_file_with_entities_and_vectors(spark, tmp_path):
+    import os as os_
+    import time
+
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for k, text in enumerate(("Zz old Text about API.", "An API and New Words.")):
+        spark.createDataFrame([("a", text)], "document_id string, text string").coalesce(1).write.mode("append").parquet(source)
+        for name in os_.listdir(source):
+            if name.endswith(".parquet") and not (tmp_path / f"seen-{name}").exists():
+                (tmp_path / f"seen-{name}").touch()
+                at = time.time() - 1000 + 100 * k
+                os_.utime(f"{source}/{name}", (at, at))
+    ingest.stream_ingest(spark, source, target, state).awaitTermination()
+    row = ingest.current(spark, target).collect()
+    assert len(row) == 1 and row[0].text == "An API and New Words." and "API" in row[0].entity_names and sum(x * x for x in row[0].embedding) == pytest.approx(1)
+    ingest.compact(spark, target, str(tmp_path / "compact"))
+    assert ingest.current(spark, str(tmp_path / "compact")).count() == 1
+
+
+def test_members_are_added_and_removed(spark):
+    from grovework.operators import catalog
+
+    schema = "id string, document_id string"
+    members = spark.createDataFrame([("g", "a"), ("g", "b")], schema)
+    more = catalog.add_members(members, spark.createDataFrame([("g", "b"), ("h", "a")], schema))
+    assert sorted(map(tuple, more.collect())) == [("g", "a"), ("g", "b"), ("h", "a")]
+    assert sorted(map(tuple, catalog.remove_members(more, spark.createDataFrame([("g", "a"), ("x", "y")], schema)).collect())) == [("g", "b"), ("h", "a")]
