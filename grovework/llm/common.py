@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,9 +19,11 @@ WORD = rf"[^{BLANKS}]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where it is unset (single-machine tests)."""
+    temporary one where it is unset and there is one machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="grovework-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -55,6 +57,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: int | None
             yield batch.slice(at, end - at)
 
 
+def free_prefix(columns: Iterable[str], prefix: str) -> str:
+    """`prefix`, with underscores in front for as long as a column starts with it."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(prefix) for c in taken):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def source_order(name: str = "source") -> list[Column]:
     """Code-point order with null last."""
     return [F.col(name).isNull(), F.col(name)]

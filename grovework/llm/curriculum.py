@@ -6,8 +6,7 @@ again by weight until none is above. Sorted by words for a unit of weight, the
 sources that hit their limit come first, so one pass of running sums finds the
 common level of the others.
 
-Which words: the documents of a source form a stream in the order of a hash of
-their ids. The target takes the stream from its start, again and again, so all
+Which words: the documents of a source form a stream in the order of a hash. The target takes the stream from its start, again and again, so all
 documents are taken equally often but for the last, partial pass.
 
 When: each source has a weight schedule over training time, here piecewise
@@ -20,9 +19,11 @@ Running sums over a source are made in two levels: sums for each of 4096 hash
 ranges of a source, then within the range; so a source may hold most rows.
 
 Edge cases: null and empty texts have no words and are never taken; a null
-source is a source of its own, the last one. Equal ids are ordered by size.
-Sources without words get the target 0. An empty table gives an empty result.
-Added columns start with `mix_`, which is checked.
+source is a source of its own, the last one. The hash is one of id, size and
+text, so rows that share an id are spread as others are; rows equal in all
+three are interchangeable. Sources without words get the target 0. An empty
+table gives an empty result. Added columns start with `mix_`, with underscores
+in front where the table has such columns already.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovework.llm.common import WORD, source_order, written
+from grovework.llm.common import WORD, free_prefix, source_order, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: For the sources in turn: (time, weight) knots over training time 0 to 1.
@@ -95,6 +96,7 @@ def moment(turn: Column, share: Column, schedules: Sequence[Sequence[tuple[float
 def mixed(
     docs: DataFrame,
     size: Column | None = None,
+    order: Column | None = None,
     id_col: str = "doc_id",
     source: str = "source",
     text: str = "text",
@@ -106,62 +108,64 @@ def mixed(
     """`docs` with mix_size, mix_source_size, mix_target, mix_taken (words) and
     mix_positions, the training position of each pass that takes of the document.
 
+    `size` and `order` (a 64-bit hash) stand in for the text where it is absent.
     With `whole`, the last pass takes whole documents only, those of which it
     would take at least half; a source's words then miss its target by half a
     document at most.
     """
-    if clash := [c for c in docs.columns if c.startswith("mix_")]:
-        raise ValueError(f"columns that start with mix_: {clash}")
-    order = F.xxhash64(F.col(id_col))
+    own = free_prefix(docs.columns, "mix_")
+    c = lambda name: F.col(own + name)
+    hashed = order if order is not None else F.xxhash64(F.col(id_col), F.col(text))
     rows = docs.withColumns(
         {
-            "mix_source": F.col(source),
-            "mix_size": words_in(text) if size is None else size,
-            "mix_hash": order,
-            "mix_range": F.shiftrightunsigned(order, 64 - RANGES.bit_length() + 1).cast("int"),
+            # never null, so that the join and the window below share one shuffle
+            f"{own}key": F.coalesce(F.concat(F.lit("v"), F.col(source).cast("string")), F.lit("n")),
+            f"{own}size": words_in(text) if size is None else size,
+            f"{own}order": hashed,
+            f"{own}range": F.shiftrightunsigned(hashed, 64 - RANGES.bit_length() + 1).cast("int"),
         }
     )
-    slim = rows.select("mix_source", "mix_range", "mix_size")
-    ranges = written(slim.groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("mix_size")), "mix-ranges")
-    before = F.sum("mix_size").over(Window.partitionBy("mix_source").orderBy("mix_range")) - F.col("mix_size")
-    goals = targets(ranges, weights, most)
-    starts = ranges.withColumn("mix_before", before).alias("r").join(goals.alias("g"), F.expr("r.mix_source <=> g.mix_source"))
+    slim = rows.select(F.col(source).alias("mix_source"), c("key").alias("key"), c("range").alias("range"), c("size").alias("mix_size"))
+    ranges = written(slim.groupBy("mix_source", "key", "range").agg(F.sum("mix_size").alias("mix_size")), "mix-ranges")
+    before = F.sum("mix_size").over(Window.partitionBy("key").orderBy("range")) - F.col("mix_size")
+    goals = targets(ranges, weights, most).withColumn("key", F.coalesce(F.concat(F.lit("v"), F.col("mix_source").cast("string")), F.lit("n")))
+    starts = ranges.select("key", "range", before.alias("mix_before")).join(goals, "key")
     starts = starts.select(
-        F.col("r.mix_source").alias("mix_source_"), F.col("mix_range").alias("mix_range_"), "mix_before", "mix_turn", "mix_source_size", "mix_target"
+        F.col("key").alias(f"{own}key"),
+        F.col("range").alias(f"{own}range"),
+        *(F.col(f"mix_{x}").alias(own + x) for x in ("before", "turn", "source_size", "target")),
     )
-    within = Window.partitionBy("mix_source", "mix_range").orderBy("mix_hash", id_col, "mix_size")
-    own_end = F.sum("mix_size").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    found = (
-        rows.withColumn("mix_start", own_end - F.col("mix_size"))
-        .join(starts, F.expr("mix_source <=> mix_source_ and mix_range = mix_range_"))
-        .withColumn("mix_start", F.col("mix_before") + F.col("mix_start"))
-    )
-    n, total, start = F.col("mix_size"), F.col("mix_source_size"), F.col("mix_start")
-    wanted = F.floor(F.col("mix_target") + 1e-6)
+    within = Window.partitionBy(f"{own}key", f"{own}range").orderBy(f"{own}order", id_col, f"{own}size")
+    start = c("before") + F.sum(c("size")).over(within.rowsBetween(Window.unboundedPreceding, 0)) - c("size")
+    found = rows.join(starts, [f"{own}key", f"{own}range"]).withColumn(f"{own}start", start)
+    n, total, start = c("size"), c("source_size"), c("start")
+    wanted = F.floor(c("target") + 1e-6)
     passes = F.when(total > 0, F.floor(wanted / total)).otherwise(0)
     rest = wanted - passes * total
     if whole:
         partly = F.when((n > 0) & (2 * start + n <= 2 * rest), n).otherwise(0)
     else:
         partly = F.greatest(F.lit(0), F.least(n, rest - start))
-    found = found.withColumn("mix_taken", (passes * n + partly).cast("long"))
-    times = F.when(F.col("mix_taken") > 0, F.ceil(F.col("mix_taken") / n)).otherwise(0).cast("int")
-    share = lambda k: (k * total + start) / F.col("mix_target")
-    positions = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), lambda k: moment(F.col("mix_turn"), share(k), schedules)))
-    found = found.withColumn("mix_positions", F.coalesce(positions, F.array().cast("array<double>")))
-    return found.drop("mix_source", "mix_source_", "mix_range", "mix_range_", "mix_hash", "mix_before", "mix_turn", "mix_start")
+    found = found.withColumn(f"{own}taken", (passes * n + partly).cast("long"))
+    times = F.when(c("taken") > 0, F.ceil(c("taken") / n)).otherwise(0).cast("int")
+    share = lambda k: (k * total + start) / c("target")
+    positions = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), lambda k: moment(c("turn"), share(k), schedules)))
+    found = found.withColumn(f"{own}positions", F.coalesce(positions, F.array().cast("array<double>")))
+    return found.select(*docs.columns, *(own + x for x in ("size", "source_size", "target", "taken", "positions")))
 
 
 def in_order(rows: DataFrame, position: Column, *ties: Column | str) -> DataFrame:
     """Rows range-partitioned and sorted by position; rows without one are
     spread over the ranges after all others."""
     key = F.coalesce(position, 2 + F.pmod(F.xxhash64(*ties), F.lit(1_000_003)) / 1_000_003)
-    ranged = rows.withColumn("mix_key", key)
-    return ranged.repartitionByRange("mix_key", *ties).sortWithinPartitions("mix_key", *ties).drop("mix_key")
+    name = free_prefix(rows.columns, "mix_") + "order"
+    ranged = rows.withColumn(name, key)
+    return ranged.repartitionByRange(name, *ties).sortWithinPartitions(name, *ties).select(*rows.columns)
 
 
 def training_order(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents in training order, one row for each pass that takes of
     them, with their own columns: those not taken go, others repeat."""
-    rows = mixed(docs, id_col=id_col, whole=True, **options).select(*docs.columns, F.explode("mix_positions").alias("mix_position"))
-    return in_order(rows, F.col("mix_position"), id_col).select(*docs.columns)
+    own = free_prefix(docs.columns, "mix_")
+    rows = mixed(docs, id_col=id_col, whole=True, **options).select(*docs.columns, F.explode(f"{own}positions").alias(f"{own}position"))
+    return in_order(rows, F.col(f"{own}position"), id_col).select(*docs.columns)

@@ -14,7 +14,8 @@ Edge cases: a null or empty text has no words and fails the base rule. Texts
 are read whole, whatever their length. A rule without a basis (no words, a
 single line) abstains. Repeated rows stay repeated. An empty table gives an
 empty result with the initial rates. Other columns of `docs` are kept by
-`quality` and must not start with `q_`, which is checked.
+`quality`; added ones start with `q_`, with underscores in front where the
+table has such columns already.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovework.llm.common import BLANKS, written
+from grovework.llm.common import BLANKS, free_prefix, written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -165,16 +166,18 @@ def quality(docs: DataFrame, text: str = "text", at_least: float = 0.5, keep_tex
     """`docs` with q_ columns: counts, q_base_failed, q_good (posterior
     probability) and q_kept. The rows are written once to the shared folder;
     without `keep_text`, the text is not among them."""
-    if clash := [c for c in docs.columns if c.startswith("q_")]:
-        raise ValueError(f"columns that start with q_: {clash}")
-    own, rows = rules(), _features(docs, text)
-    rows = written(rows if keep_text else rows.drop(text), "features")
+    names, added = docs.columns, free_prefix(docs.columns, "q_")
+    numbered = {name: f"c{k}" for k, name in enumerate(names)}
+    own, rows = rules(), _features(docs.toDF(*numbered.values()), numbered[text])
+    rows = written(rows if keep_text else rows.drop(numbered[text]), "features")
     voted = rows.select("*", *(c.alias(f"v_{r}") for r, c in own.items()))
     rates = estimate(voted, [*own])
     voted = voted.withColumn("q_base_failed", base_failed()).withColumn("q_good", rates.posterior_good())
-    return voted.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_good") >= at_least)).drop(*(f"v_{r}" for r in own))
+    voted = voted.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_good") >= at_least))
+    kept = [F.col(c).alias(name) for name, c in numbered.items() if keep_text or name != text]
+    return voted.select(*kept, *(F.col(c).alias(added + c[2:]) for c in voted.columns if c.startswith("q_")))
 
 
 def only_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are kept, with their own columns."""
-    return quality(docs, text).filter("q_kept").select(*docs.columns)
+    return quality(docs, text).filter(free_prefix(docs.columns, "q_") + "kept").select(*docs.columns)
