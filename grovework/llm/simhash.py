@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovework.llm.common import written
+from grovework.llm.common import free_prefix, written
 
 #: Lowest bit and length of each segment.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -269,8 +269,10 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """
     from grovework.llm.nearcopies import near_copies
 
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(text) / 2).cast("long") - 1))
-    keyed = keyed.withColumn("__hash", F.xxhash64(text))
-    least = near_copies(keyed, "__id", text).groupBy("component").agg(F.min(F.struct("id", "hash")).alias("row"))
-    kept = least.select(F.col("row.id").alias("__id"), F.col("row.hash").alias("__hash"))
-    return keyed.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    own = free_prefix(docs.columns, "row_")
+    key, hashed = f"{own}id", f"{own}hash"
+    keyed = docs.withColumn(hashed, F.xxhash64(text))
+    keyed = keyed.withColumn(key, F.coalesce(F.col(id_col).cast("long"), -F.abs(F.col(hashed) / 2).cast("long") - 1))
+    least = near_copies(keyed, key, text).groupBy("component").agg(F.min(F.struct("id", "hash")).alias("row"))
+    kept = least.select(F.col("row.id").alias(key), F.col("row.hash").alias(hashed))
+    return keyed.join(kept, [key, hashed], "left_semi").dropDuplicates([key, hashed]).select(*docs.columns)
