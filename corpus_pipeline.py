@@ -1,7 +1,14 @@
 """From raw documents to token ids: five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents, and others that the
+table may have, whatever their names.
+
+Edge cases: null and empty texts are not toxic but fail the quality rules, so
+they end there. Null ids, languages and sources stay as they are. Rows that
+repeat id and text are copies, of which near-dedup keeps one; rows that share
+an id only are told apart by text. The mix repeats documents of sources whose
+target exceeds their size. Empty tables pass through as empty ones.
 """
 
 from __future__ import annotations
@@ -27,7 +34,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays."""
+    """One document of each component of near copies (five-word shingles,
+    similarity 0.8 or more) stays: the one with the smallest id."""
     return simhash.first_of_each(docs)
 
 
