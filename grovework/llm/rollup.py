@@ -11,8 +11,14 @@ its mark. Only marked batches count. A batch that was committed is skipped when
 it comes again, and one that broke off before its mark is written anew, so a
 commit may be tried any number of times. Batches are committed one at a time.
 
+The ledger rows of a batch are written first, with the state they replace, and
+its changes follow from what was written, so the two can't disagree. A commit
+reads the ledger for the documents of its batch only; `compact` writes the
+present states in one piece, so later commits read that and what came after.
+
 Edge cases: of several events for a document in a batch the one with the
-largest `seq` counts. Deleting an unknown document changes nothing; inserting a
+largest `seq` counts; of equal ones the last in the order of op, source, lang
+and n_tokens. Deleting an unknown document changes nothing; inserting a
 known one revises it. A null source or language is a group of its own. Events
 without id or tokenizer are left out, null counts are 0. Columns that are not
 named are not read, so names cannot clash. An empty batch is committed too.
@@ -26,6 +32,7 @@ from pyspark.sql import functions as F
 EVENT = ("seq", "op", "doc_id", "source", "lang", "tokenizer", "n_tokens")
 KEY = ("doc_id", "tokenizer")
 GROUP = ("source", "lang", "tokenizer")
+LEDGER = "batch long, doc_id long, tokenizer string, source string, lang string, n_tokens long"
 
 
 class TokenRollup:
@@ -38,6 +45,7 @@ class TokenRollup:
         """Starts with no batches; the folder must be new."""
         none = self.spark.createDataFrame([], "batch long")
         none.write.parquet(f"{self.path}/commits/start")
+        none.write.parquet(f"{self.path}/compacted/start")
         return self
 
     def committed(self) -> list[int]:
@@ -50,12 +58,33 @@ class TokenRollup:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{what}/{b}" for b in batches))
 
-    def ledger(self) -> DataFrame:
-        """The present state of each document and tokenizer; deleted ones have no count."""
-        rows = self._read("ledger", "batch long, doc_id long, tokenizer string, source string, lang string, n_tokens long", self.committed())
+    def _compacted(self) -> int | None:
+        """The batch up to which the ledger was compacted last."""
+        marks = self.spark.read.schema("batch long").option("recursiveFileLookup", "true").parquet(f"{self.path}/compacted")
+        return marks.agg(F.max("batch")).first()[0]
+
+    def ledger(self, keys: DataFrame | None = None) -> DataFrame:
+        """The present state of each document and tokenizer, or of those in
+        `keys`; deleted ones have no count."""
+        done, upto = self.committed(), self._compacted()
+        rows = self._read("ledger", LEDGER, [b for b in done if upto is None or b > upto])
+        if upto is not None:
+            rows = rows.unionByName(self._read("states", LEDGER, [upto]))
+        if keys is not None:
+            rows = rows.join(keys.select(*KEY), list(KEY), "left_semi")
         last = rows.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens"), "batch").alias("now"))
         return last.select(*KEY, "now.*")
 
+    def compact(self) -> None:
+        """Writes the present states in one piece; may be tried again."""
+        done = self.committed()
+        if done and self._compacted() != done[-1]:
+            self.ledger().withColumn("batch", F.lit(done[-1]).cast("long")).write.mode("overwrite").parquet(f"{self.path}/states/{done[-1]}")
+            self._mark("compacted", done[-1])
+
+    def _mark(self, what: str, batch: int) -> None:
+        self.spark.range(batch, batch + 1).select(F.col("id").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{what}/{batch}")
+
     def commit(self, batch: int, events: DataFrame) -> bool:
         """Applies `events` (seq, op: insert, revise or delete, doc_id, source,
         lang, tokenizer, n_tokens) as batch number `batch`, unless it was
@@ -66,24 +95,24 @@ class TokenRollup:
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} after {done[-1]}")
         own = events.select(*EVENT).dropna(subset=list(KEY))
-        last = own.groupBy(*KEY).agg(F.max_by(F.struct("op", "source", "lang", "n_tokens"), "seq").alias("e"))
-        known = self.ledger().select(*KEY, F.struct("source", "lang", "n_tokens").alias("old"))
-        gone = F.col("e.op") == "delete"
-        now = F.when(~gone, F.struct(F.col("e.source").alias("source"), F.col("e.lang").alias("lang"), F.coalesce("e.n_tokens", F.lit(0)).cast("long").alias("n_tokens")))
-        rows = last.join(known, list(KEY), "left").withColumn("now", now)
-        kept = F.struct(
-            F.coalesce("now.source", "old.source").alias("source"), F.coalesce("now.lang", "old.lang").alias("lang"), F.col("now.n_tokens").alias("n_tokens")
-        )
-        rows.select(F.lit(batch).cast("long").alias("batch"), *KEY, F.when(gone, kept).otherwise(F.col("now")).alias("s")).select(
-            "batch", *KEY, "s.*"
-        ).write.mode("overwrite").parquet(f"{self.path}/ledger/{batch}")
-        signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("old").alias("s")), F.struct(F.lit(1).alias("sign"), F.col("now").alias("s")))
-        changes = rows.select("tokenizer", F.explode(signed).alias("c")).filter("c.s.n_tokens is not null")
-        changes = changes.select("tokenizer", "c.sign", "c.s.source", "c.s.lang", (F.col("c.sign") * F.col("c.s.n_tokens")).alias("n"))
-        changes.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum("n").cast("long").alias("n_tokens")).write.mode("overwrite").parquet(
-            f"{self.path}/changes/{batch}"
+        last = own.groupBy(*KEY).agg(F.max(F.struct("seq", "op", "source", "lang", "n_tokens")).alias("e"))
+        known = self.ledger(own).select(*KEY, F.struct("source", "lang", "n_tokens").alias("old"))
+        stays = F.col("e.op") != "delete"  # a deleted document has no source, language and count
+        rows = last.join(known, list(KEY), "left").select(
+            F.lit(batch).cast("long").alias("batch"),
+            *KEY,
+            F.when(stays, F.col("e.source")).alias("source"),
+            F.when(stays, F.col("e.lang")).alias("lang"),
+            F.when(stays, F.coalesce("e.n_tokens", F.lit(0)).cast("long")).alias("n_tokens"),
+            *(F.col(f"old.{x}").alias(f"old_{x}") for x in ("source", "lang", "n_tokens")),
         )
-        self.spark.range(batch, batch + 1).select(F.col("id").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{batch}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/ledger/{batch}")
+        made = self._read("ledger", LEDGER + ", old_source string, old_lang string, old_n_tokens long", [batch])
+        side = lambda sign, old: F.struct(*(F.col(old + x).alias(x) for x in ("source", "lang", "n_tokens")), F.lit(sign).alias("sign"))
+        changes = made.select("tokenizer", F.explode(F.array(side(-1, "old_"), side(1, ""))).alias("c")).select("tokenizer", "c.*").filter("n_tokens is not null")
+        changes = changes.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
+        changes.write.mode("overwrite").parquet(f"{self.path}/changes/{batch}")
+        self._mark("commits", batch)
         return True
 
     def totals(self) -> DataFrame:
@@ -92,16 +121,21 @@ class TokenRollup:
         return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs > 0")
 
 
-def counted(docs: DataFrame, op: str, seq: int, times: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Events for documents under two tokenizer versions: words-1 (runs of
-    non-blanks) and bytes-1 (UTF-8 bytes). `times` is how often a revised
-    document repeats its text, with blanks between."""
+def counted(docs: DataFrame, op: str, seq: int, times: int = 1, id_col: str = "doc_id", text: str = "text", bpe: str | None = None) -> DataFrame:
+    """Events for documents under the tokenizer versions words-1 (runs of
+    non-blanks), bytes-1 (UTF-8 bytes) and, with a vocabulary file `bpe`, bpe-1.
+    `times` is how often a revised document repeats its text, with blanks
+    between (under bpe-1 each is counted alone)."""
+    from grovework.llm.bpe import encode_documents
     from grovework.llm.curriculum import words_in
 
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    both = F.array(
-        F.struct(F.lit("words-1").alias("tokenizer"), (words_in(text) * times).alias("n_tokens")),
-        F.struct(F.lit("bytes-1").alias("tokenizer"), (size * times + (times - 1)).alias("n_tokens")),
-    )
-    rows = docs.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.col(id_col).alias("doc_id"), "source", "lang", F.explode(both).alias("t"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    counts = [("words-1", words_in("text") * times), ("bytes-1", size * times + (times - 1))]
+    if bpe:
+        own = own.withColumns({"words": words_in("text"), "bytes": size})
+        own = encode_documents(own, bpe, keep=("doc_id", "source", "lang", "words", "bytes"), decode=False)
+        counts = [("words-1", F.col("words") * times), ("bytes-1", F.col("bytes") * times + (times - 1)), ("bpe-1", (F.octet_length("token_ids") / 4).cast("long") * times)]
+    each = F.array(*(F.struct(F.lit(name).alias("tokenizer"), n.alias("n_tokens")) for name, n in counts))
+    rows = own.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), "doc_id", "source", "lang", F.explode(each).alias("t"))
     return rows.select("seq", "op", "doc_id", "source", "lang", "t.*")
