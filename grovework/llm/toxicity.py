@@ -5,8 +5,15 @@ Besides the usual loss it is charged for every change of its logit between a
 labelled text and the same text with identity terms swapped for others of
 their group, so the mention of a group says nothing by itself.
 
-The model is fitted on at most `max_rows` labelled rows (a documented bound;
-rows are picked by a hash of their id, positive and negative alike) and on at
+A corpus may hold few of the listed terms, or none (other languages, other
+times). So groups are also learned from it: pairs of frequent words that say
+nothing about the label and stand in like company (neighbouring words), which
+may take each other's place as identity terms may. `Model.pairs` is the number
+of counterfactual texts behind a model.
+
+The model is fitted on at most about `max_rows` labelled ids (a documented
+bound; they are picked by a hash, positive and negative alike, and of the rows
+of an id the one with the smallest text counts) and on at
 most `max_features` features, those that tell the classes apart best. Counting
 features runs on Spark, the fit over the bounded matrix on the driver, and
 scoring on Spark over all texts without a shuffle. All words of a text count,
@@ -78,11 +85,12 @@ def vector(words: Sequence[str], index: dict[str, int]) -> Counter:
 class Model:
     bias: float
     weights: dict[str, float]
+    pairs: int = 0
     known: dict[str, float] = field(default_factory=dict)
 
     def logit(self, text: str | None) -> float:
         known, weights, parts = self.known, self.weights, []
-        if len(known) > 150_000:  # a cache; starting anew changes no score
+        if len(known) > 100_000:  # a cache; starting anew changes no score
             known.clear()
         for word in set(words_of(text)):
             part = known.get(word)
@@ -146,6 +154,41 @@ def fit(rows: Sequence[Counter], labels: np.ndarray, pairs: Sequence[tuple[int,
     return float(bias), weights
 
 
+def stand_ins(rows: DataFrame, counts: DataFrame, least: int, terms: int = 200, most: int = 20, alike: float = 0.3) -> list[tuple[str, str]]:
+    """Up to `most` pairs of neutral words that keep like company. rows: (t, y);
+    counts: (f, n, apart), how often and how unevenly a feature occurs. The
+    contexts of `terms` words at most reach the driver."""
+    neutral = counts.filter((F.col("n") >= least) & (F.abs("apart") < 1) & ~F.col("f").endswith("*"))
+    known = [r.f for r in neutral.orderBy(F.desc("n"), "f").limit(terms).select("f").collect()]
+    place = {w: k for k, w in enumerate(known)}
+
+    def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                own = [place.get(w, -1) for w in words_of(t)]
+                found.update((a, b) for a, b in zip(own, own[1:]) if a >= 0 and b >= 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["a", "b", "n"]
+        )
+
+    met = rows.select("t").mapInArrow(company, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    beside = np.zeros((len(known), 2 * len(known)))
+    for r in met:
+        beside[r.a, r.b] = beside[r.b, len(known) + r.a] = math.sqrt(r.n)
+    beside /= np.maximum(np.linalg.norm(beside, axis=1, keepdims=True), 1e-12)
+    near = np.triu(beside @ beside.T, 1)
+    pairs, used = [], set()
+    for flat in np.argsort(-near, axis=None, kind="stable"):
+        i, j = divmod(int(flat), len(known))
+        if near[i, j] < alike or len(pairs) == most:
+            break
+        if i not in used and j not in used:
+            used |= {i, j}
+            pairs.append((known[i], known[j]))
+    return pairs
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -156,18 +199,20 @@ def learn(
     max_rows: int = 20_000,
     max_features: int = 20_000,
     groups: Sequence[Sequence[str]] = IDENTITY_TERMS,
+    learn_groups: bool = True,
     l1: float = 5e-5,
     l2: float = 1e-4,
     charge: float = 1.0,
 ) -> Model:
     """Fits on rows whose id satisfies `may_learn` and has a label."""
     usable = labels.select(labels[id_col].alias(id_col), labels[label].alias("y")).dropna().filter(may_learn)
+    usable = usable.groupBy(id_col).agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     there = usable.count()
     millionths = 1_000_000 if there <= max_rows else int(max_rows / there * 1_000_000)
     picked = usable.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < millionths)
-    picked = picked.groupBy(id_col).agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     # at most about max_rows rows of twelve bytes, so broadcasting them is safe
-    rows = written(docs.select(docs[id_col].alias(id_col), docs[text].alias("t")).join(F.broadcast(picked), id_col).select("t", "y"), "labelled")
+    rows = docs.select(docs[id_col].alias(id_col), docs[text].alias("t")).join(F.broadcast(picked), id_col)
+    rows = written(rows.groupBy(id_col, "y").agg(F.min("t").alias("t")).select("t", "y"), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
@@ -191,13 +236,11 @@ def learn(
     counts = rows.mapInArrow(counted, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("x"))
     both = F.col("c") + F.col("x")
     spread = F.sqrt(both * share * (1 - share) * (1 - both / (clean + toxic + 1)))
-    best = (
-        counts.filter(both >= 3)
-        .withColumn("apart", (F.col("x") - both * share) / spread)
-        .filter("abs(apart) >= 3")
-        .orderBy(F.abs("apart").desc(), "f")
-        .limit(max_features)
-    )
+    counts = written(counts.filter(both >= 3).select("f", both.alias("n"), ((F.col("x") - both * share) / spread).alias("apart")), "counts")
+    best = counts.filter("abs(apart) >= 3").orderBy(F.abs("apart").desc(), "f").limit(max_features)
+    if learn_groups:
+        listed = {w for g in groups for w in g}
+        groups = [*groups, *(g for g in stand_ins(rows, counts, max(20, (clean + toxic) // 200)) if not listed & set(g))]
     names = sorted({r.f for r in best.select("f").collect()} | {f for g in groups for w in g for f in features_of(w)})
     index = {f: i for i, f in enumerate(names)}
 
@@ -224,7 +267,7 @@ def learn(
             texts.append(Counter(dict(zip(k, v))))
             y.append(own)
     bias, weights = fit(texts, np.array(y, float), pairs, len(names), l1, l2, charge)
-    return Model(bias, {f: float(w) for f, w in zip(names, weights) if w})
+    return Model(bias, {f: float(w) for f, w in zip(names, weights) if w}, len(pairs))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",), column: str = "score") -> DataFrame:
@@ -234,7 +277,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
     at = list(keep).index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(model.bias, model.weights)
+        own = Model(model.bias, model.weights, model.pairs)
         for part in slices(batches, 1024, at):
             scores = pa.array([own.score(t) for t in part.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], scores], names=schema.names)
