@@ -79,16 +79,17 @@ def best_fit_decreasing(sizes: list[int], most: int) -> list[list[int]]:
 SCHEMA = "shard int, pack int, n_tokens int, ids binary, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>"
 
 
-def pack(docs: DataFrame, ids: Column, id_bytes: int, length: int = 2048, id_col: str = "doc_id", shard_docs: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, ids: Column, id_bytes: int, length: int = 2048, id_col: str = "doc_id", shard_docs: int = 8192, n_docs: int | None = None) -> DataFrame:
     """Packs of `length` ids each from the binary column `ids`, which holds
     `id_bytes` bytes for each id: shard, pack (its number in the shard),
     n_tokens, ids (without padding), doc_ids and doc_starts (the document of
-    each segment and the place in it), cu_seqlens (from 0 to n_tokens)."""
+    each segment and the place in it), cu_seqlens (from 0 to n_tokens).
+    `n_docs` is the number of rows, where it is known without making the ids."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), ids.alias("ids")).filter(F.octet_length("ids") > 0)
-    shards = max(1, -(-docs.count() // shard_docs))
+    shards = max(1, -(-(docs.count() if n_docs is None else n_docs) // shard_docs))
     # a third of the rows may share an id, so ids alone would not spread them
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.xxhash64("ids")), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "id", F.xxhash64("ids"))
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = length * id_bytes
@@ -143,16 +144,23 @@ def pack(docs: DataFrame, ids: Column, id_bytes: int, length: int = 2048, id_col
     return dealt.select("id", "ids", "shard").mapInArrow(run, SCHEMA)
 
 
+def position_resets() -> Column:
+    """The place of each segment's first id."""
+    return F.slice("cu_seqlens", F.lit(1), F.size("cu_seqlens") - 1)
+
+
 def position_ids() -> Column:
     """The position of each id in its segment, from cu_seqlens."""
     lengths = F.zip_with(F.slice("cu_seqlens", F.lit(2), F.size("cu_seqlens") - 1), F.slice("cu_seqlens", F.lit(1), F.size("cu_seqlens") - 1), lambda b, a: b - a)
     return F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(0), n - 1)))
 
 
-def write_packed(packed: DataFrame, path: str, length: int, id_bytes: int, pad: bytes = b"\0") -> None:
-    """The id matrix (rows filled up with `pad` ids), cumulative lengths and
-    position ids as Parquet, ordered by shard and pack within files."""
+def write_packed(packed: DataFrame, path: str, length: int, id_bytes: int, pad: bytes = b"\0", positions: bool = True) -> None:
+    """The id matrix (rows filled up with `pad` ids), cumulative lengths, the
+    places at which positions start anew and, if asked for, the position of
+    each id as Parquet, ordered by shard and pack within files."""
     filler = F.lit(pad * id_bytes * length if len(pad) == 1 else pad * length)
     room = F.lit(length * id_bytes) - F.octet_length("ids")
     row = F.concat(F.col("ids"), F.substring(filler, F.lit(1), room))
-    packed.select("shard", "pack", "n_tokens", row.alias("ids"), "doc_ids", "doc_starts", "cu_seqlens", position_ids().alias("position_ids")).write.parquet(path)
+    more = [position_ids().alias("position_ids")] if positions else []
+    packed.select("shard", "pack", "n_tokens", row.alias("ids"), "doc_ids", "doc_starts", "cu_seqlens", position_resets().alias("position_resets"), *more).write.parquet(path)

@@ -224,16 +224,53 @@ def test_packing_loses_nothing(spark, odd, nothing, tmp_path):
     assert packing.pack(nothing, F.encode("text", "utf-8"), 1).count() == 0
 
 
-def test_packing_query_packs_vocabulary_ids(spark, odd, tmp_path):
-    odd.filter("doc_id is not null").dropDuplicates(["doc_id"]).select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.parquet(str(tmp_path / "documents.parquet"))
+def test_packing_query_packs_vocabulary_ids(spark, tmp_path):
+    """Null ids, repeated rows and empty texts included: each row's ids are
+    packed once, and the matrix read back holds them."""
+    spark.createDataFrame(ODD, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     coder = bpe.tokenizer(queries.bpe_path())
-    ids = {r[0]: coder.encode_batch([r[1]])[0] for r in ODD if r[0]}
+    ids = {r[0]: np.frombuffer(coder.encode_batch([r[1]])[0], "<u4").astype("<u2") for r in ODD}
     rows = queries.op5_packing(spark, str(tmp_path)).collect()
-    assert sum(r.n_tokens for r in rows) == sum(map(len, ids.values())) // 4 and max(r.n_tokens for r in rows) == 2048
+    assert sum(r.n_tokens for r in rows) == sum(len(ids[r[0]]) for r in ODD) and max(r.n_tokens for r in rows) == 2048
+    seen = collections.Counter()
     for r in rows:
+        assert r.position_resets == r.cu_seqlens[:-1] and r.cu_seqlens[-1] == r.n_tokens
         ends = [at + b - a for at, a, b in zip(r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:])]
-        own = b"".join(ids[i][4 * at : 4 * end] for i, at, end in zip(r.doc_ids, r.doc_starts, ends))
-        assert hashlib.sha256(own).hexdigest() == r.ids_sha256
+        own = np.concatenate([ids[i][at:end] for i, at, end in zip(r.doc_ids, r.doc_starts, ends)])
+        assert hashlib.sha256(np.pad(own, (0, 2048 - len(own))).tobytes()).hexdigest() == r.ids_sha256
+        seen.update((i, at) for i, at in zip(r.doc_ids, r.doc_starts))
+    assert seen == collections.Counter((r[0], at) for r in ODD for at in range(0, len(ids[r[0]]), 2048))
+
+
+def test_rollup_ties_compaction_and_query(spark, tmp_path):
+    made = rollup.TokenRollup(spark, str(tmp_path / "r")).create()
+    schema = "seq long, op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
+    tied = [(1, "insert", 1, "a", "en", "t", 5), (1, "revise", 1, "b", "en", "t", 6), (1, "insert", 1, "c", "en", "t", 9), (2, "insert", 2, "a", None, "t", None)]
+    for n, rows in enumerate((tied, tied[::-1])):
+        other = rollup.TokenRollup(spark, str(tmp_path / f"t{n}")).create()
+        other.commit(0, spark.createDataFrame(rows, schema))
+        assert {tuple(r) for r in other.totals().collect()} == {("b", "en", "t", 1, 6), ("a", None, "t", 1, 0)}
+    made.compact()
+    made.commit(0, spark.createDataFrame(tied, schema))
+    made.compact()
+    made.compact()
+    made.commit(1, spark.createDataFrame([(1, "delete", 1, None, None, "t", None), (1, "revise", 2, "a", "de", "t", 3)], schema))
+    assert [tuple(r) for r in made.totals().collect()] == [("a", "de", "t", 1, 3)]
+    assert {(r.doc_id, r.n_tokens) for r in made.ledger().collect()} == {(1, None), (2, 3)}
+    # the query against plain counting
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    coder, want = bpe.tokenizer(queries.bpe_path()), collections.Counter()
+    for r in docs:
+        counts = {"words-1": len(WORD.findall(r.text)), "bytes-1": len(r.text.encode()), "bpe-1": len(coder.encode_batch([r.text])[0]) // 4}
+        for name, n in counts.items():
+            if r.doc_id % 10 != 7:
+                group = ("moved" if r.doc_id % 10 == 5 else r.source, r.lang, name)
+                want[group, "d"] += 1
+                want[group, "t"] += n if r.doc_id % 10 != 3 else 2 * n + (name == "bytes-1")
+    got = {}
+    for r in queries.op2_token_rollup(spark, "/root/testdata/sf0.001").collect():
+        got[(r.source, r.lang, r.tokenizer), "d"], got[(r.source, r.lang, r.tokenizer), "t"] = r.n_docs, r.n_tokens
+    assert got == want
 
 
 def test_html_layout(spark):
