@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -55,11 +54,14 @@ class State(NamedTuple):
     tokens: list[tuple[int, int, dict[int, bool]]]
 
 
+STEPS, TOKENS = State._fields.index("steps"), State._fields.index("tokens")  # by place is faster than by name
+
+
 class Tokenizer:
     """A byte-level BPE vocabulary with encodings of words by trie traversal."""
 
-    def __init__(self, path: str, cache_words: int = 200_000):
-        """`cache_words` bounds the memory for encodings kept between batches:
+    def __init__(self, path: str, cache_words: int = 400_000, id_bytes: int = 4):
+        """Encodings hold `id_bytes` bytes, 4 or 2, for each id. `cache_words` bounds the memory for encodings kept between batches:
         when it is reached, those not met since the last time are dropped,
         which changes no result."""
         with open(path, encoding="utf-8") as f:
@@ -74,6 +76,7 @@ class Tokenizer:
             self.pieces[i] = token
         for token, i in self.special.items():
             self.pieces[i] = token.encode()
+        self.sizes = [len(piece) for piece in self.pieces]
         self.words = regex.compile(WORDS)
         self.blanks = re.compile(r"\s\s")
         self.plain = re.compile(PLAIN)
@@ -87,7 +90,10 @@ class Tokenizer:
             self.pair_rank[left, right] = rank
             if self.rank[whole] < 0:
                 self.rank[whole], self.left[whole], self.right[whole] = rank, left, right
-        self.code = [struct.pack("<I", i) for i in range(size)]
+        if id_bytes not in (2, 4) or size > 1 << 8 * id_bytes:
+            raise ValueError(f"{size} ids don't fit in {id_bytes} bytes")
+        self.kind = f"<u{id_bytes}"
+        self.code = [i.to_bytes(id_bytes, "little") for i in range(size)]
         self.ids = {token: i for token, i in self.ids.items() if self._itself(i)}
         #: an automaton over bytes whose state is the longest suffix of what was
         #: read that begins a token; its states are made when first met
@@ -139,43 +145,42 @@ class Tokenizer:
         return state
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Little-endian 32-bit ids of each distinct word, by one walk of their trie."""
+        """Little-endian ids of each distinct word, by one walk of their trie."""
         out: dict[str, bytes] = {}
-        code, root = self.code, self._state(b"")
+        code, sizes = self.code, self.sizes
         last: list[int] = [-1]  # last token of each prefix on the path,
-        starts: list[int] = [0]  # where it starts,
-        states: list[State] = [root]  # and the automaton's state
+        states: list[State] = [self._state(b"")]  # and the automaton's state
         before = b""
-        for key, word in sorted((w.encode(), w) for w in words):
+        for word in sorted(words):  # code points sort as their bytes do
+            key = word.encode()
             shared, most = 0, min(len(key), len(before))
             while shared < most and key[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], starts[shared + 1 :], states[shared + 1 :]
+            del last[shared + 1 :], states[shared + 1 :]
             state, end = states[-1], shared
             for byte in key[shared:]:
                 end += 1
-                following = state.steps.get(byte)
+                following = state[STEPS].get(byte)
                 if following is None:
                     following = state.steps[byte] = self._state(state.read + bytes((byte,)))
                 state = following
-                for length, token, after in state.tokens:
-                    start = end - length
-                    if start:
-                        previous = last[start]
-                        fit = after.get(previous)
-                        if fit is None:
-                            fit = after[previous] = self._stays_parted(previous, token, float("inf"))
-                            self.pairs_met += 1
-                        if not fit:
-                            continue
-                    last.append(token)
-                    starts.append(start)
-                    states.append(state)
-                    break
+                for length, token, after in state[TOKENS]:
+                    if length == end:
+                        break
+                    previous = last[end - length]
+                    fit = after.get(previous)
+                    if fit is None:
+                        fit = after[previous] = self._stays_parted(previous, token, float("inf"))
+                        self.pairs_met += 1
+                    if fit:
+                        break
+                last.append(token)
+                states.append(state)
             found = []
             while end:
-                found.append(code[last[end]])
-                end = starts[end]
+                token = last[end]
+                found.append(code[token])
+                end -= sizes[token]
             found.reverse()
             out[word] = b"".join(found)
             before = key
@@ -192,7 +197,7 @@ class Tokenizer:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers."""
         parted = [self.segments(text or "") for text in texts]
         if len(self.known) > self.cache_words:
             self.older, self.known = self.known, {}
@@ -220,34 +225,47 @@ class Tokenizer:
 
     def decode_batch(self, ids: Sequence[bytes]) -> list[str]:
         piece = self.pieces.__getitem__
-        return [b"".join(map(piece, np.frombuffer(i, "<u4").tolist())).decode("utf-8", "replace") for i in ids]
+        return [b"".join(map(piece, np.frombuffer(i, self.kind).tolist())).decode("utf-8", "replace") for i in ids]
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(path: str, cache_words: int = 400_000, id_bytes: int = 4) -> Tokenizer:
     """One per worker process and file."""
-    return Tokenizer(path)
+    return Tokenizer(path, cache_words, id_bytes)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), decode: bool = True) -> DataFrame:
-    """`keep` with token_ids (binary: little-endian unsigned 32-bit ids) and, if
+def encode_documents(
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    keep: Sequence[str] = ("doc_id",),
+    decode: bool = True,
+    id_bytes: int = 4,
+    cache_words: int = 400_000,
+    batch_bytes: int = 8_000_000,
+    release: bool = False,
+) -> DataFrame:
+    """`keep` with token_ids (binary: little-endian unsigned ids of `id_bytes` bytes) and, if
     asked for, decoded (the text that those ids give).
 
     `path` is a vocabulary file that every executor can open. No shuffle: each
-    task encodes its own rows batch by batch.
+    task encodes its own rows batch by batch. `cache_words` and `batch_bytes`
+    trade a worker's memory (some 500 MB at these values) for time, and change
+    no result; with `release`, the worker keeps none of it after a task.
     """
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("token_ids", T.BinaryType())])
     if decode:
         schema.add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(path)
-        for batch in slices(batches, 4096, len(keep), 5_000_000):
+        coder = tokenizer(path, cache_words, id_bytes)
+        for batch in slices(batches, 4096, len(keep), batch_bytes):
             ids = coder.encode_batch(batch.column(len(keep)).to_pylist())
             columns = [*batch.columns[: len(keep)], pa.array(ids, pa.binary())]
             if decode:
                 columns.append(pa.array(coder.decode_batch(ids), pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        coder.older = {}  # other stages use the same worker
+        if release:
+            coder.older, coder.known = {}, {}
 
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
