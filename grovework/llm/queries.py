@@ -143,11 +143,31 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
 
+def op13_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovework.llm.tensored import tensored_components
+
+    found = tensored_components(documents(spark, sf_dir))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP13_SQL = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_sampling, op2_token_rollup, op3_simhash, op4_curriculum, op5_packing, op6_html_layout, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe)}
+    return {f.__name__: f for f in (op1_weighted_sampling, op2_token_rollup, op3_simhash, op4_curriculum, op5_packing, op6_html_layout, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe, op13_tensored)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: each operator has a part (hashes, models, vocabularies) that SQL
-    lacks; tests compare the queries with brute force."""
-    return {}
+    """The other operators have a part (hashes, models, vocabularies) that SQL
+    lacks; tests compare their queries with brute force."""
+    return {"op13_tensored": OP13_SQL}
