@@ -143,6 +143,44 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir))
 
 
+def vectors(spark: SparkSession, sf_dir: str, scale: int) -> DataFrame:
+    """vec_id, label and the whole parts of the scaled entries of complete vectors."""
+    from grovework.llm.whitening import usable
+
+    rows = spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet"))
+    rows = rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v")))
+    return rows.select("vec_id", "label", F.transform("v", lambda c: F.floor(c * scale).cast("long")).alias("x"))
+
+
+def op11_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovework.llm.common import written
+    from grovework.llm.whitening import whitened
+
+    rows = vectors(spark, sf_dir, 64).select("vec_id", F.transform("x", lambda c: c + 1_000_000).alias("x"))
+    # sums beyond a long have no place in this column; the operator gives them as decimals
+    return whitened(written(rows, "whole"), "vec_id", "x").withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_shared_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovework.llm.hardneg import hard_negatives
+
+    mislabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    rows = vectors(spark, sf_dir, 256).select(F.col("vec_id").alias("id"), mislabelled.alias("label"), F.col("x").alias("vec"))
+    return hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+OP12_SQL = """WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INT) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 3"""
+
+
 def op13_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovework.llm.tensored import tensored_components
 
@@ -164,10 +202,10 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_weighted_sampling, op2_token_rollup, op3_simhash, op4_curriculum, op5_packing, op6_html_layout, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe, op13_tensored)}
+    return {f.__name__: f for f in (op1_weighted_sampling, op2_token_rollup, op3_simhash, op4_curriculum, op5_packing, op6_html_layout, op7_hyperdimensional, op8_weak_rules, op9_counterfactual, op10_bpe, op11_qd_whitening, op12_shared_lists, op13_tensored)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators have a part (hashes, models, vocabularies) that SQL
     lacks; tests compare their queries with brute force."""
-    return {"op13_tensored": OP13_SQL}
+    return {"op12_shared_lists": OP12_SQL, "op13_tensored": OP13_SQL}
