@@ -142,27 +142,35 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return rows.mapInArrow(run, "a long, b long")
 
 
-def block_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def block_links(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int, crowd: int = 4096) -> list[tuple[int, int]]:
     """Confirmed links between the nodes of a block that have different labels:
     enough to connect whatever all of them connect. Alike sets share one of
-    their rarest terms (prefix filter), so only those are looked up."""
+    their rarest terms (prefix filter), so only those are looked up; where
+    those terms lead to more than `crowd` places, all sets before are compared."""
     label, links = np.unique(labels, return_inverse=True)[1].copy(), []
     sizes = np.array([len(s) for s in sets])
     _, term, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     ends = np.cumsum(sizes)
+    own_terms = [term[end - n : end] for end, n in zip(ends.tolist(), sizes.tolist())]
+    held = np.zeros(len(count), np.int32)
     index: dict[int, list[int]] = {}
-    for at in range(len(nodes)):
-        own = term[ends[at] - sizes[at] : ends[at]]
+    for at, own in enumerate(own_terms):
         rarest = own[np.lexsort((own, count[own]))][: sizes[at] - -(-percent * sizes[at] // 100) + 1]
         looked = rarest[count[rarest] > 1].tolist()
-        met = np.array(sorted({k for t in looked for k in index.get(t, ())}), np.int64)
+        places = [index.setdefault(t, []) for t in looked]
+        met = np.arange(at) if sum(map(len, places)) > crowd else np.array(sorted({k for p in places for k in p}), np.int64)
         met = met[(label[met] != label[at]) & (100 * np.minimum(sizes[met], sizes[at]) >= percent * np.maximum(sizes[met], sizes[at]))]
-        for k in met.tolist():
-            if label[k] != label[at] and alike(common(sets[k], sets[at]), sizes[k], sizes[at], percent):
+        if len(met):
+            held[own] = 1
+            starts = np.concatenate(([0], np.cumsum(sizes[met])[:-1]))
+            both = np.add.reduceat(held[np.concatenate([own_terms[k] for k in met.tolist()])], starts)
+            held[own] = 0
+            near = met[alike(both, sizes[met], sizes[at], percent)]
+            for k in near[np.unique(label[near], return_index=True)[1]].tolist():  # one for each component
                 links.append((nodes[k], nodes[at]))
                 label[label == label[k]] = label[at]
-        for t in looked:
-            index.setdefault(t, []).append(at)
+        for place in places:
+            place.append(at)
     return links
 
 
