@@ -180,21 +180,24 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _dealt(docs: DataFrame, id_col: str, text: str, bucket_bytes: int, hot_rows: int) -> tuple[DataFrame, int]:
-    """Rows in buckets of neighbouring ids, each bucket followed by the first row
-    of the next one (`extra`), so that each task finds every row's successor;
-    and the number of buckets, which follows from the size of the texts.
-
-    Cuts come from approximate quantiles of the ids. An id (or the lack of one)
-    that has more rows than a bucket gets buckets of its own, by a hash of the
-    text. One shuffle of the texts, plus one more row for each bucket.
+def _dealt(docs: DataFrame, id_col: str, text: str, most_buckets: int, hot_rows: int) -> tuple[DataFrame, int]:
+    """Rows (id, t, u, extra, bucket) in buckets of neighbours, each bucket
+    followed by the first row of the next one (`extra`), so that each task finds
+    every row's successor; and the number of buckets, at most the shuffle's
+    partitions and `most_buckets`, twice that with those of hot ids.
+
+    The order is the same however rows are dealt: by id, then by u, a hash of
+    the text, then by text. Cuts come from approximate quantiles of the ids; an
+    id (or the lack of one) that has more rows than a bucket is cut into ranges
+    of u. One shuffle of the texts, plus one more row for each bucket. What
+    the driver sees is a row for each bucket or hot id.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text].alias("t"))
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes")).first()
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size.bytes or 0) // bucket_bytes))
-    most = max(hot_rows, -(-size.n // wanted))
-    # at most as many ids as buckets
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text], F.lit("")).alias("t"))
+    rows = rows.withColumn("u", F.shiftrightunsigned(F.xxhash64("t"), 33))
+    n = rows.count()
+    wanted = min(most_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = max(hot_rows, -(-n // wanted))
     hot = {r.id: r["count"] for r in rows.groupBy("id").count().filter(F.col("count") > most).collect()}
     cuts = rows.approxQuantile("id", [k / wanted for k in range(1, wanted)], 0.25 / wanted) if wanted > 1 else []
     for i in hot.keys() - {None}:
@@ -202,8 +205,9 @@ def _dealt(docs: DataFrame, id_col: str, text: str, bucket_bytes: int, hot_rows:
     splits = [-math.inf, *sorted(set(cuts)), math.inf] if cuts else [-math.inf, 0.0, math.inf]
     # descending ids: bucket 0 holds the largest; null ids come last
     own = dict.fromkeys(range(len(splits)), 1)
-    for i, n in hot.items():
-        own[len(splits) - 1 if i is None else splits.index(float(i))] = -(-n // most)
+    for i, count in hot.items():
+        if i is None or abs(i) < 2**53:  # beyond, a double stands for several ids
+            own[len(splits) - 1 if i is None else splits.index(float(i))] = -(-count // most)
     first, at = {}, 0
     for k in [*range(len(splits) - 2, -1, -1), len(splits) - 1]:
         first[k], at = at, at + own[k]
@@ -211,32 +215,31 @@ def _dealt(docs: DataFrame, id_col: str, text: str, bucket_bytes: int, hot_rows:
     rows = Bucketizer(splits=splits, inputCol="x", outputCol="of", handleInvalid="keep").transform(rows)
     of = F.col("of").cast("int") + 1
     look_up = lambda found: F.element_at(F.lit([found[k] for k in range(len(splits))]), of)
-    inner = F.when(look_up(own) > 1, F.pmod(F.xxhash64("t"), look_up(own).cast("long")).cast("int")).otherwise(0)
-    rows = rows.select("id", "t", (look_up(first) + inner).alias("bucket"))
+    inner = F.floor(F.col("u") * look_up(own) / F.lit(2.0**31)).cast("int")
+    rows = rows.select("id", "t", "u", (look_up(first) + inner).alias("bucket"))
     # the first id of each bucket: a row for each bucket, whatever its texts
     heads = rows.groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()
     if not heads:
         return rows.withColumn("extra", F.lit(False)), 1
     head = spark.createDataFrame([(r.bucket, r.id, heads[i - 1].bucket) for i, r in enumerate(heads)], "bucket int, head long, before int")
-    # ids can repeat: of the rows with a bucket's first id only the first text leads
-    leading = rows.join(F.broadcast(head), "bucket").filter(F.col("id").eqNullSafe(F.col("head")))
-    extra = leading.groupBy("before", "id").agg(F.min(F.coalesce("t", F.lit(""))).alias("t"))
-    rows = rows.withColumn("extra", F.lit(False)).unionByName(extra.select("id", "t", F.col("before").alias("bucket"), F.lit(True).alias("extra")))
+    # ids can repeat: of the rows with a bucket's first id only the first in order leads
+    leading = rows.join(F.broadcast(head), "bucket").filter(F.col("id").eqNullSafe(F.col("head")))  # head: a row for each bucket
+    extra = leading.groupBy("before", "id").agg(F.min(F.struct("u", "t")).alias("f"))
+    rows = rows.withColumn("extra", F.lit(False)).unionByName(extra.select("id", "f.t", "f.u", F.col("before").alias("bucket"), F.lit(True).alias("extra")))
     return rows, at
 
 
 def fingerprint_pairs(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", samples: int = 128, words: int = 5, bucket_bytes: int = 1 << 25, hot_rows: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", samples: int = 128, words: int = 5, most_buckets: int = 20_000, hot_rows: int = 1024
 ) -> DataFrame:
     """For each row its text's and its edited text's fingerprints and hash, and
     how like they are each other and the next document's. The next document is
-    that of the next smaller id (equal ids: in order of text; null ids last),
-    after the last the first. The rows of an id that has over `hot_rows` of them
-    and more than a bucket holds are ordered by hash before text. `id_col` is a
-    whole number."""
-    rows, buckets = _dealt(docs, id_col, text, bucket_bytes, hot_rows)
+    that of the next smaller id (equal ids: in order of a hash of the text, then
+    of the text; null ids last), after the last the first. `id_col` is a whole
+    number."""
+    rows, buckets = _dealt(docs, id_col, text, most_buckets, hot_rows)
     buckets = rows.repartitionById(buckets, "bucket").sortWithinPartitions(
-        "bucket", "extra", F.col("id").desc_nulls_last(), F.col("t").asc_nulls_first()
+        "bucket", "extra", F.col("id").desc_nulls_last(), "u", "t"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

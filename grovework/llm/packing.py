@@ -89,7 +89,9 @@ def pack(docs: DataFrame, ids: Column, id_bytes: int, length: int = 2048, id_col
     shards = max(1, -(-(docs.count() if n_docs is None else n_docs) // shard_docs))
     # a third of the rows may share an id, so ids alone would not spread them
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.xxhash64("ids")), F.lit(shards)).cast("int"))
-    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("ids"))
+    # a task takes a run of shards, as many as it must
+    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).sortWithinPartitions("shard", "id", F.xxhash64("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = length * id_bytes

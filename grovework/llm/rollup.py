@@ -76,9 +76,10 @@ class TokenRollup:
         return last.select(*KEY, "now.*")
 
     def compact(self) -> None:
-        """Writes the present states in one piece; may be tried again."""
+        """Writes the present states and totals in one piece; may be tried again."""
         done = self.committed()
         if done and self._compacted() != done[-1]:
+            self._sums(done).write.mode("overwrite").parquet(f"{self.path}/sums/{done[-1]}")
             self.ledger().withColumn("batch", F.lit(done[-1]).cast("long")).write.mode("overwrite").parquet(f"{self.path}/states/{done[-1]}")
             self._mark("compacted", done[-1])
 
@@ -115,27 +116,30 @@ class TokenRollup:
         self._mark("commits", batch)
         return True
 
+    def _sums(self, done: list[int]) -> DataFrame:
+        upto, kind = self._compacted(), "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+        rows = self._read("changes", kind, [b for b in done if upto is None or b > upto])
+        if upto is not None:
+            rows = rows.unionByName(self._read("sums", kind, [upto]))
+        return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of all groups that hold a document."""
-        rows = self._read("changes", "source string, lang string, tokenizer string, n_docs long, n_tokens long", self.committed())
-        return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs > 0")
+        return self._sums(self.committed()).filter("n_docs > 0")
 
 
-def counted(docs: DataFrame, op: str, seq: int, times: int = 1, id_col: str = "doc_id", text: str = "text", bpe: str | None = None) -> DataFrame:
+def counted(docs: DataFrame, op: str, seq: int, id_col: str = "doc_id", text: str = "text", bpe: str | None = None) -> DataFrame:
     """Events for documents under the tokenizer versions words-1 (runs of
-    non-blanks), bytes-1 (UTF-8 bytes) and, with a vocabulary file `bpe`, bpe-1.
-    `times` is how often a revised document repeats its text, with blanks
-    between (under bpe-1 each is counted alone)."""
+    non-blanks), bytes-1 (UTF-8 bytes) and, with a vocabulary file `bpe`, bpe-1."""
     from grovework.llm.bpe import encode_documents
     from grovework.llm.curriculum import words_in
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text).alias("text"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    counts = [("words-1", words_in("text") * times), ("bytes-1", size * times + (times - 1))]
+    own = own.withColumns({"words": words_in("text"), "bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+    counts = {"words-1": F.col("words"), "bytes-1": F.col("bytes")}
     if bpe:
-        own = own.withColumns({"words": words_in("text"), "bytes": size})
         own = encode_documents(own, bpe, keep=("doc_id", "source", "lang", "words", "bytes"), decode=False)
-        counts = [("words-1", F.col("words") * times), ("bytes-1", F.col("bytes") * times + (times - 1)), ("bpe-1", (F.octet_length("token_ids") / 4).cast("long") * times)]
-    each = F.array(*(F.struct(F.lit(name).alias("tokenizer"), n.alias("n_tokens")) for name, n in counts))
+        counts["bpe-1"] = (F.octet_length("token_ids") / 4).cast("long")
+    each = F.array(*(F.struct(F.lit(name).alias("tokenizer"), n.alias("n_tokens")) for name, n in counts.items()))
     rows = own.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), "doc_id", "source", "lang", F.explode(each).alias("t"))
     return rows.select("seq", "op", "doc_id", "source", "lang", "t.*")

@@ -275,4 +275,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     keyed = keyed.withColumn(key, F.coalesce(F.col(id_col).cast("long"), -F.abs(F.col(hashed) / 2).cast("long") - 1))
     least = near_copies(keyed, key, text).groupBy("component").agg(F.min(F.struct("id", "hash")).alias("row"))
     kept = least.select(F.col("row.id").alias(key), F.col("row.hash").alias(hashed))
-    return keyed.join(kept, [key, hashed], "left_semi").dropDuplicates([key, hashed]).select(*docs.columns)
+    # maps have no order, their JSON has
+    order = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes if c not in (id_col, text)] or [F.lit(0)]
+    first = F.min_by(F.struct(*docs.columns), F.struct(*order)).alias("row")
+    return keyed.join(kept, [key, hashed], "left_semi").groupBy(key, hashed).agg(first).select("row.*")

@@ -2,13 +2,12 @@
 
 A logistic model over the distinct words of a text and their beginnings.
 Besides the usual loss it is charged for every change of its logit between a
-labelled text and the same text with identity terms swapped for others of
-their group, so the mention of a group says nothing by itself.
-
-A corpus may hold few of the listed terms, or none (other languages, other
-times). So groups are also learned from it: pairs of frequent words that say
-nothing about the label and stand in like company (neighbouring words), which
-may take each other's place as identity terms may. `Model.pairs` is the number
+labelled text and a counterfactual one: the same text with its identity terms
+swapped for others of their group, and the same text with a term put in that it
+doesn't hold. So the mention of a group says nothing by itself, even where
+labelled texts mention it mostly in toxic company. The terms put in follow from
+a hash of the text, so each term of each language meets its share of all
+labelled texts, whether the corpus holds it or not. `Model.pairs` is the number
 of counterfactual texts behind a model.
 
 The model is fitted on at most about `max_rows` labelled ids (a documented
@@ -36,6 +35,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ from grovework.llm.common import slices, written
 WORDS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 
-#: Groups of terms that may stand for each other in a counterfactual text.
+#: Groups of terms that may stand for each other in a counterfactual text: English, French, German, Spanish.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
@@ -56,6 +56,27 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "locals"),
     ("disabled", "deaf", "blind"),
     ("old", "young"),
+    ("femmes", "hommes"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("handicapés", "sourds", "aveugles"),
+    ("vieux", "jeunes"),
+    ("frauen", "männer"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("behinderte", "gehörlose", "blinde"),
+    ("alte", "junge"),
+    ("mujeres", "hombres"),
+    ("chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "latinos"),
+    ("inmigrantes", "refugiados", "extranjeros"),
+    ("discapacitados", "sordos", "ciegos"),
+    ("viejos", "jóvenes"),
 )
 
 
@@ -76,6 +97,13 @@ def counterfactuals(words: Sequence[str], groups: Sequence[Sequence[str]] = IDEN
     return [[moved(w, by) for w in words] for by in range(1, longest)]
 
 
+def mentions(words: Sequence[str], groups: Sequence[Sequence[str]], each: int) -> list[list[str]]:
+    """The text with one of `each` terms put in that it doesn't hold, by a hash of the text."""
+    terms = sorted({t for g in groups for t in g} - set(words))
+    start = xxhash.xxh64_intdigest(" ".join(words))
+    return [[*words, terms[(start + k * (len(terms) // each + 1)) % len(terms)]] for k in range(min(each, len(terms)))]
+
+
 def vector(words: Sequence[str], index: dict[str, int]) -> Counter:
     """How many distinct words of the text have each known feature."""
     return Counter(index[f] for w in set(words) for f in features_of(w) if f in index)
@@ -115,9 +143,10 @@ def _matrix(rows: Sequence[Counter], width: int):
     return times, back, np.bincount(columns, values * values, width)
 
 
-def fit(rows: Sequence[Counter], labels: np.ndarray, pairs: Sequence[tuple[int, Counter]], width: int, l1: float, l2: float, charge: float, steps: int = 400) -> tuple[float, np.ndarray]:
+def fit(rows: Sequence[Counter], labels: np.ndarray, pairs: Sequence[tuple[int, Counter]], width: int, l1: float, l2: float, charge: float, terms: int = 1, steps: int = 400) -> tuple[float, np.ndarray]:
     """Bias and weights by accelerated proximal gradient steps. pairs: a row's
-    number and its counterfactual's features."""
+    number and its counterfactual's features. The mean squared change of a
+    term's pairs is charged, for each of `terms`."""
     n = len(rows)
     differences = []
     for i, other in pairs:
@@ -126,7 +155,7 @@ def fit(rows: Sequence[Counter], labels: np.ndarray, pairs: Sequence[tuple[int,
         differences.append(Counter({k: v for k, v in d.items() if v}))
     times, back, squares = _matrix(rows, width)
     d_times, d_back, d_squares = _matrix(differences, width)
-    per_pair = charge / max(1, len(differences))
+    per_pair = charge * terms / max(1, len(differences))
     # a step for each weight of its own: the features are sparse
     reach = max(1.0, max((sum(r.values()) for r in rows), default=1))
     step = 1 / (0.25 * np.sqrt(squares * n) / n * math.sqrt(reach) + 2 * per_pair * d_squares * math.sqrt(reach) + l2 + 1e-3)
@@ -154,41 +183,6 @@ def fit(rows: Sequence[Counter], labels: np.ndarray, pairs: Sequence[tuple[int,
     return float(bias), weights
 
 
-def stand_ins(rows: DataFrame, counts: DataFrame, least: int, terms: int = 200, most: int = 20, alike: float = 0.3) -> list[tuple[str, str]]:
-    """Up to `most` pairs of neutral words that keep like company. rows: (t, y);
-    counts: (f, n, apart), how often and how unevenly a feature occurs. The
-    contexts of `terms` words at most reach the driver."""
-    neutral = counts.filter((F.col("n") >= least) & (F.abs("apart") < 1) & ~F.col("f").endswith("*"))
-    known = [r.f for r in neutral.orderBy(F.desc("n"), "f").limit(terms).select("f").collect()]
-    place = {w: k for k, w in enumerate(known)}
-
-    def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                own = [place.get(w, -1) for w in words_of(t)]
-                found.update((a, b) for a, b in zip(own, own[1:]) if a >= 0 and b >= 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["a", "b", "n"]
-        )
-
-    met = rows.select("t").mapInArrow(company, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    beside = np.zeros((len(known), 2 * len(known)))
-    for r in met:
-        beside[r.a, r.b] = beside[r.b, len(known) + r.a] = math.sqrt(r.n)
-    beside /= np.maximum(np.linalg.norm(beside, axis=1, keepdims=True), 1e-12)
-    near = np.triu(beside @ beside.T, 1)
-    pairs, used = [], set()
-    for flat in np.argsort(-near, axis=None, kind="stable"):
-        i, j = divmod(int(flat), len(known))
-        if near[i, j] < alike or len(pairs) == most:
-            break
-        if i not in used and j not in used:
-            used |= {i, j}
-            pairs.append((known[i], known[j]))
-    return pairs
-
-
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -199,12 +193,13 @@ def learn(
     max_rows: int = 20_000,
     max_features: int = 20_000,
     groups: Sequence[Sequence[str]] = IDENTITY_TERMS,
-    learn_groups: bool = True,
+    mentions_each: int = 2,
     l1: float = 5e-5,
     l2: float = 1e-4,
     charge: float = 1.0,
 ) -> Model:
-    """Fits on rows whose id satisfies `may_learn` and has a label."""
+    """Fits on rows whose id satisfies `may_learn` and has a label; each labelled
+    text meets `mentions_each` terms of `groups` that it doesn't hold."""
     usable = labels.select(labels[id_col].alias(id_col), labels[label].alias("y")).dropna().filter(may_learn)
     usable = usable.groupBy(id_col).agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     there = usable.count()
@@ -238,9 +233,6 @@ def learn(
     spread = F.sqrt(both * share * (1 - share) * (1 - both / (clean + toxic + 1)))
     counts = written(counts.filter(both >= 3).select("f", both.alias("n"), ((F.col("x") - both * share) / spread).alias("apart")), "counts")
     best = counts.filter("abs(apart) >= 3").orderBy(F.abs("apart").desc(), "f").limit(max_features)
-    if learn_groups:
-        listed = {w for g in groups for w in g}
-        groups = [*groups, *(g for g in stand_ins(rows, counts, max(20, (clean + toxic) // 200)) if not listed & set(g))]
     names = sorted({r.f for r in best.select("f").collect()} | {f for g in groups for w in g for f in features_of(w)})
     index = {f: i for i, f in enumerate(names)}
 
@@ -249,7 +241,7 @@ def learn(
             out = []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(t)
-                versions = [words, *counterfactuals(words, groups)]
+                versions = [words, *counterfactuals(words, groups), *mentions(words, groups, mentions_each)]
                 for i, version in enumerate(versions):
                     own = vector(version, index)
                     out.append((y, i, list(own), list(own.values())))
@@ -266,7 +258,7 @@ def learn(
         else:
             texts.append(Counter(dict(zip(k, v))))
             y.append(own)
-    bias, weights = fit(texts, np.array(y, float), pairs, len(names), l1, l2, charge)
+    bias, weights = fit(texts, np.array(y, float), pairs, len(names), l1, l2, charge, len({t for g in groups for t in g}))
     return Model(bias, {f: float(w) for f, w in zip(names, weights) if w}, len(pairs))
 
 

@@ -136,7 +136,7 @@ def estimate(votes: DataFrame, names: list[str], steps: int = 30, tolerance: flo
     """EM over the counts of vote patterns. Starts from rules that are right
     more often than not, which settles which hidden class is the bad one, and
     keeps every rule at least as apt to vote bad on bad documents."""
-    patterns = written(votes.groupBy([f"v_{r}" for r in names]).agg(F.count("*").alias("n")).coalesce(1), "patterns")
+    patterns = written(votes.groupBy([f"v_{r}" for r in names]).agg(F.count("*").alias("n")), "patterns")
     rates = Rates(0.1, dict.fromkeys(names, 0.4), dict.fromkeys(names, 0.05))
     for _ in range(steps):
         rows = patterns.withColumn("good", F.col("n") * rates.posterior_good()).withColumn("ill", F.col("n") - F.col("good"))

@@ -68,23 +68,27 @@ def test_shingle_hashes_tell_shingles_apart_whatever_the_block():
         assert (again[0] == hashes).all() and (again[1] == ends).all()
 
 
-def test_pairs_with_a_hot_id_in_many_buckets(spark):
-    hot = [f"hot {k} " + "word " * (k % 5) for k in range(300)]
-    rows = [(7, t) for t in hot] + [(1000 + k, f"after {k} some more words") for k in range(200)] + [(-k, f"before {k} some more words") for k in range(1, 201)] + [(None, f"none {k}") for k in range(150)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = fingerprint.fingerprint_pairs(frame, bucket_bytes=500, hot_rows=40).collect()
-    assert len(got) == len(rows)
+def test_pairs_are_the_same_however_rows_are_dealt(spark):
+    """A third of the rows has one id, others have none; the order is known."""
+    import xxhash
+
+    rows = [(7, f"hot {k} " + "word " * (k % 5)) for k in range(300)] + [(7, "hot 1 word ")] * 30 + [(None, f"none {k}") for k in range(150)]
+    rows += [(1000 + k, f"after {k} some more words") for k in range(200)] + [(-k, f"before {k} some more words") for k in range(1, 201)] + [(5, None), (5, ""), (2**60, "x y"), (2**60 + 1, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 33
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashed(r[1]), r[1]))
     sha = lambda own, following: hashlib.sha256(fingerprint.edited(own, following).encode()).hexdigest()
-    by_id = {r.doc_id: r for r in got if r.doc_id not in (7, None)}
-    text = dict(r for r in rows if r[0] not in (7, None))
-    order = sorted(text, reverse=True)
-    for own, following in zip(order, order[1:]):
-        if own > 7 > following:  # the hot rows lie between
-            assert by_id[own].edited_sha256 in {sha(text[own], t) for t in hot}
-        else:
-            assert by_id[own].edited_sha256 == sha(text[own], text[following])
-    inside = {sha(a, b) for a in hot for b in hot if a != b}
-    assert sum(r.edited_sha256 in inside for r in got if r.doc_id == 7) >= len(hot) - 1
+    want = collections.Counter((i, sha(t, following[1])) for (i, t), following in zip(order, [*order[1:], order[0]]))
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, hot in ((1, 1024), (8, 40), (64, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = fingerprint.fingerprint_pairs(frame.repartition(5).withColumns({"u": F.lit(1), "bucket": F.lit(2), "t": F.lit(3)}), hot_rows=hot).collect()
+            assert collections.Counter((r.doc_id, r.edited_sha256) for r in got) == want
+            seen.append(collections.Counter(map(tuple, got)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
 
 
 def naive_simhash(text):
@@ -244,6 +248,38 @@ def test_op8_verdict_is_the_posterior(spark):
         assert r._q_kept == (not r._q_base_failed and r._q_good >= 0.5) and r.q_kept == "mine"
 
 
+def test_op8_equals_an_independent_em(spark):
+    """EM over documents, one by one, instead of vote patterns."""
+    found = weakrules.quality(spark.read.parquet(f"{SF}/documents.parquet"))
+    own = weakrules.rules()
+    rows = found.select("q_good", *(c.cast("double").alias(r) for r, c in own.items())).toPandas()
+    votes = rows[[*own]].to_numpy()
+    bad, on_bad, on_good = 0.1, np.full(len(own), 0.4), np.full(len(own), 0.05)
+
+    def posterior():
+        like = lambda rate: np.where(votes == -1, rate, np.where(votes == 1, 1 - rate, 1.0)).prod(axis=1)
+        ill, good = bad * like(on_bad), (1 - bad) * like(on_good)
+        return ill / (ill + good)
+
+    for _ in range(30):
+        p = posterior()
+        share = lambda weight, start: ((weight[:, None] * (votes == -1)).sum(axis=0) + start) / ((weight[:, None] * (votes != 0)).sum(axis=0) + 1)
+        good = share(1 - p, 0.05)
+        ill, now = np.maximum(share(p, 0.4), good), (p.sum() + 0.1) / (len(p) + 1)
+        moved = max(abs(now - bad), np.abs(ill - on_bad).max(), np.abs(good - on_good).max())
+        bad, on_bad, on_good = now, ill, good
+        if moved < 1e-4:
+            break
+    assert np.abs(rows.q_good.to_numpy() - (1 - posterior())).max() < 1e-6
+
+
+def test_of_rows_equal_in_id_and_text_the_same_one_stays(spark):
+    rows = [(1, "a text of some words that repeats", lang, s, 1) for lang, s in (("de", "B"), ("en", "A"), ("de", "A"))]
+    for order in (rows, rows[::-1]):
+        kept = simhash.first_of_each(spark.createDataFrame(order, SCHEMA).withColumn("m", F.create_map(F.lit("k"), F.col("lang")))).collect()
+        assert [(r.lang, r.source) for r in kept] == [("de", "A")]
+
+
 def test_op9_learns_from_pairs_and_holds_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))

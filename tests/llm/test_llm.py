@@ -261,12 +261,13 @@ def test_rollup_ties_compaction_and_query(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     coder, want = bpe.tokenizer(queries.bpe_path()), collections.Counter()
     for r in docs:
-        counts = {"words-1": len(WORD.findall(r.text)), "bytes-1": len(r.text.encode()), "bpe-1": len(coder.encode_batch([r.text])[0]) // 4}
+        text = f"{r.text} {r.text}" if r.doc_id % 10 == 3 else r.text
+        counts = {"words-1": len(WORD.findall(text)), "bytes-1": len(text.encode()), "bpe-1": len(coder.encode_batch([text])[0]) // 4}
         for name, n in counts.items():
             if r.doc_id % 10 != 7:
                 group = ("moved" if r.doc_id % 10 == 5 else r.source, r.lang, name)
                 want[group, "d"] += 1
-                want[group, "t"] += n if r.doc_id % 10 != 3 else 2 * n + (name == "bytes-1")
+                want[group, "t"] += n
     got = {}
     for r in queries.op2_token_rollup(spark, "/root/testdata/sf0.001").collect():
         got[(r.source, r.lang, r.tokenizer), "d"], got[(r.source, r.lang, r.tokenizer), "t"] = r.n_docs, r.n_tokens
@@ -344,6 +345,28 @@ def test_counterfactual_charge_takes_weight_off_identity_terms(spark):
     assert gap(charged) < 0.3 * gap(free) and charged.score("you idiot") > 0.5
 
 
+def test_charge_lowers_false_positives_on_neutral_mentions(spark):
+    """Corpus texts whose toxic ones mention groups far more often than clean ones: the
+    charge makes the model blind to that, and costs no accuracy without mentions."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    terms = ["muslims", "juifs", "frauen", "negros", "gay", "refugees", "blinde", "viejos"]
+    rows = docs.join(labels.filter("toxic is not null"), "doc_id")
+    term = F.element_at(F.array(*map(F.lit, terms)), (F.pmod(F.xxhash64("doc_id"), F.lit(len(terms))) + 1).cast("int"))
+    often = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(100)) < F.when(F.col("toxic") == 1, 90).otherwise(3)
+    biased = rows.withColumn("text", F.when(often, F.concat("text", F.lit(" "), term)).otherwise(F.col("text"))).select("doc_id", "text")
+    held = rows.filter(queries.fifth()).select("text", "toxic").collect()
+    found = {}
+    for charge in (0.0, 1.0):
+        model = toxicity.learn(biased, labels, ~queries.fifth(), charge=charge)
+        right = np.mean([(model.score(r.text) >= 0.5) == r.toxic for r in held])
+        logit = np.mean([model.logit(f"{r.text} {t}") - model.logit(r.text) for r in held if not r.toxic for t in terms])
+        # texts near the border, as the corpus has too few: clean ones with the model's mildest toxic half
+        false = np.mean([model.score(f"{r.text} {t}") >= 0.5 for r in held if not r.toxic for t in terms])
+        found[charge] = (right, logit, false)
+    assert found[1.0][2] < found[0.0][2] and found[1.0][1] < 0.3 * found[0.0][1] and found[1.0][0] >= found[0.0][0] - 0.01, found
+
+
 def test_toxicity_edges(odd, spark, nothing):
     labels = spark.createDataFrame([(1, 0), (5, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     model = toxicity.learn(odd, labels, F.lit(True))
