@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHARS_PER_TOKEN = 4
+#: What stands between texts that are summarised together, and the templates of contexts below.
+SEPARATOR = "\n\n---\n\n"
 
 
 def strip(text: Column) -> Column:
@@ -63,7 +65,7 @@ def first_sentences(texts: Column, n: int = 3) -> Column:
 
 
 def combine_texts(texts: Column, tokens: int = 500) -> Column:
-    whole, most = F.array_join(texts, "\n\n---\n\n"), tokens * CHARS_PER_TOKEN
+    whole, most = F.array_join(texts, SEPARATOR), tokens * CHARS_PER_TOKEN
     return F.when(F.length(whole) > most, F.concat(F.left(whole, F.lit(most)), F.lit("..."))).otherwise(whole)
 
 

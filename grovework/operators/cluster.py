@@ -1,12 +1,15 @@
 """Clusters of nodes: communities of a similarity graph, and Gaussian mixtures.
 
-Community detection runs on the graphs of all documents at once. In each round
-every node weighs the communities around it by the modularity they would gain,
-half of the nodes (by a hash that changes each round) move to the best, and a
-document keeps the round only if its modularity rose; it ends when no node
-wants to move. The communities are then merged into single nodes for further
-rounds, and finally split into connected parts. Ties go to the smallest
-community, so results are deterministic.
+Community detection runs on the graphs of all documents at once, level by level.
+In each round every node weighs the communities around it by the modularity they
+would gain, half of the nodes (by a hash that changes each round) move to the
+best, and a document keeps the round only if its modularity rose; it ends when
+no node wants to move. Then each community is refined: its nodes start alone and
+move again, but only within it, and connected parts of what they form become
+the nodes of the next level, which start in the communities found so far. So a
+node that was swept into a community can still leave with its part. A document
+is done when no part holds two nodes; its communities are then split into
+connected parts. Ties go to the smallest community, so results are deterministic.
 
 A document's graph depends on no other. Those of up to `most_edges` edges are
 grouped, each worked off by one task in a single stage; larger ones take the
@@ -22,12 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovework.functions.vectors import doubles
-from grovework.operators.graph import combined_similarity, knn_graph, mirrored, pairwise, written
+from grovework.functions.vectors import dot, doubles, unit
+from grovework.operators.graph import combined_similarity, knn_graph, mirrored, written
 
 RESOLUTION, DECAY, SEED = 1.0, 0.7, 42
-#: Numbers of the rounds over merged communities start here.
-UPPER = 100
+#: No graph is merged more often than this.
+LEVELS = 8
 
 
 def layer_resolution(layer: int, base: float = RESOLUTION, decay: float = DECAY) -> float:
@@ -45,16 +48,19 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float) -> DataFr
     return by.groupBy("document_id").agg(F.sum(F.col("inner") / F.col("t") - resolution * F.pow(F.col("k") / F.col("t"), 2)).alias("q"))
 
 
-def _rounds(edges: DataFrame, resolution: float, rounds: int, salt: int) -> DataFrame:
-    """Labels (document_id, node, c) of the nodes that have edges."""
+def _rounds(edges: DataFrame, start: DataFrame, resolution: float, rounds: int, salt: int, within: bool = False) -> DataFrame:
+    """Labels (document_id, node, c, home) of the nodes that have edges, from
+    those of `start`. With `within`, nodes only join communities of their own home."""
     degree = edges.groupBy("document_id", "src").agg(F.sum("w").alias("k")).withColumnRenamed("src", "node")
     degree = written(degree.withColumn("t", F.sum("k").over(Window.partitionBy("document_id"))), "degrees")
-    labels = degree.select("document_id", "node", F.col("node").alias("c"))
+    labels = start.select("document_id", "node", "c", "home")
     labels = written(labels.join(modularity(edges, labels, resolution), "document_id"), "labels")
     for n in range(rounds):
         now = labels.join(degree, ["document_id", "node"])
         sums = now.groupBy("document_id", "c").agg(F.sum("k").alias("kc"))
-        around = edges.filter("src <> dst").join(labels.select("document_id", F.col("node").alias("dst"), "c"), ["document_id", "dst"])
+        around = edges.filter("src <> dst").join(labels.select("document_id", F.col("node").alias("dst"), "c", "home"), ["document_id", "dst"])
+        if within:
+            around = around.join(labels.select("document_id", F.col("node").alias("src"), F.col("home").alias("own_home")), ["document_id", "src"]).filter("home = own_home")
         around = around.groupBy("document_id", F.col("src").alias("node"), "c").agg(F.sum("w").alias("w"))
         own = now.select("document_id", "node", F.col("c").alias("own"), "k", "t")
         choices = around.unionByName(own.select("document_id", "node", F.col("own").alias("c"), F.lit(0.0).alias("w"))).groupBy("document_id", "node", "c").agg(F.sum("w").alias("w"))
@@ -72,45 +78,70 @@ def _rounds(edges: DataFrame, resolution: float, rounds: int, salt: int) -> Data
         new_q = modularity(edges, tried, resolution).withColumnRenamed("q", "new_q")
         both = labels.join(tried.withColumnRenamed("c", "new_c"), ["document_id", "node"]).join(new_q, "document_id")
         better = F.col("new_q") > F.col("q") + 1e-12
-        labels = written(both.select("document_id", "node", F.when(better, F.col("new_c")).otherwise(F.col("c")).alias("c"), F.greatest("q", "new_q").alias("q")), "labels")
-    return labels.select("document_id", "node", "c")
+        labels = written(both.select("document_id", "node", F.when(better, F.col("new_c")).otherwise(F.col("c")).alias("c"), "home", F.greatest("q", "new_q").alias("q")), "labels")
+    return labels.select("document_id", "node", "c", "home")
 
 
-def coin(n: int) -> Column:
-    """Whether a node may move in round n."""
-    return F.pmod(F.xxhash64("node", F.lit(n)), F.lit(2)) == 0
+def coin(n: int, node: str = "node") -> Column:
+    """Whether a node may move in round n: a bit of a hash."""
+    return F.shiftrightunsigned(F.xxhash64(node, F.lit(n // 64)), n % 64).bitwiseAND(F.lit(1)) == 0
 
 
-def _large_parts(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """(document_id, node, part) by joins."""
-    first = _rounds(edges, resolution, rounds, 0)
-    ends = [first.select("document_id", F.col("node").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst")]
-    merged = edges.join(ends[0], ["document_id", "src"]).join(ends[1], ["document_id", "dst"])
-    merged = written(merged.groupBy("document_id", F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")), "merged")
-    second = _rounds(merged, resolution, rounds // 2, UPPER)
-    labels = written(first.join(second.select("document_id", F.col("node").alias("c"), F.col("c").alias("top")), ["document_id", "c"]).select("document_id", "node", F.col("top").alias("c")), "labels")
+def _joined_parts(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """`labels` with part, the smallest node that a node is connected with in its community."""
     ends = [labels.select("document_id", F.col("node").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst")]
     inner = written(edges.join(ends[0], ["document_id", "src"]).join(ends[1], ["document_id", "dst"]).filter("c_src = c_dst").select("document_id", "src", "dst"), "inner")
-    parts = labels.select("document_id", "node", F.col("node").alias("part"))
-    while True:  # the smallest node reachable within a community
+    parts = labels.withColumn("part", F.col("node"))
+    while True:
         near = inner.join(parts.select("document_id", F.col("node").alias("dst"), "part"), ["document_id", "dst"]).groupBy("document_id", F.col("src").alias("node")).agg(F.min("part").alias("low"))
-        after = written(parts.join(near, ["document_id", "node"], "left").select("document_id", "node", F.least("part", "low").alias("part"), (F.col("low") < F.col("part")).alias("fell")), "parts")
+        low = F.least("part", "low")  # the smaller of both where one is null
+        after = written(parts.join(near, ["document_id", "node"], "left").select(*labels.columns, low.alias("part"), F.coalesce(F.col("low") < F.col("part"), F.lit(False)).alias("fell")), "parts")
         parts = after.drop("fell")
         if after.filter("fell").isEmpty():
             return parts
 
 
-def _rounds_of_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, may_move: np.ndarray, resolution: float) -> np.ndarray:
-    """The label of each node of one graph; may_move: rounds by nodes."""
+def _large_parts(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """(document_id, node, part) by joins."""
+    nodes = edges.select("document_id", F.col("src").alias("node")).distinct()
+    start = nodes.withColumns({"c": F.col("node"), "home": F.col("node")})
+    whole, member = edges, written(nodes.withColumn("at", F.col("node")), "members")
+    final = None
+    for level in range(LEVELS):
+        salt = level * (rounds + rounds // 2)
+        moved = written(_rounds(edges, start, resolution, rounds, salt).select("document_id", "node", "c"), "moved")
+        alone = moved.select("document_id", "node", F.col("node").alias("c"), F.col("c").alias("home"))
+        refined = _joined_parts(edges, _rounds(edges, alone, resolution, rounds // 2, salt + rounds, True))
+        # what moved the whole level's nodes, for each node of the first level
+        final = member.join(moved.select("document_id", F.col("node").alias("at"), "c"), ["document_id", "at"]).select("document_id", "node", "c")
+        if refined.filter("part <> node").isEmpty():
+            break
+        member = written(member.join(refined.select("document_id", F.col("node").alias("at"), "part"), ["document_id", "at"]).select("document_id", "node", F.col("part").alias("at")), "members")
+        ends = [refined.select("document_id", F.col("node").alias(x), F.col("part").alias(f"p_{x}")) for x in ("src", "dst")]
+        merged = edges.join(ends[0], ["document_id", "src"]).join(ends[1], ["document_id", "dst"])
+        edges = written(merged.groupBy("document_id", F.col("p_src").alias("src"), F.col("p_dst").alias("dst")).agg(F.sum("w").alias("w")), "merged")
+        # a community is named by its smallest part
+        named = refined.withColumn("name", F.min("part").over(Window.partitionBy("document_id", "home")))
+        start = written(named.filter("part = node").select("document_id", "node", F.col("name").alias("c"), F.col("name").alias("home")), "start")
+    return _joined_parts(whole, written(final, "final")).select("document_id", "node", "part")
+
+
+def _rounds_of_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, may_move: np.ndarray, resolution: float, start: np.ndarray, home: np.ndarray | None = None) -> np.ndarray:
+    """The label of each node of one graph, from those of `start`; may_move:
+    rounds by nodes. With `home`, nodes only join communities of their own one."""
     size = may_move.shape[1]
     k = np.bincount(src, w, size)
     t, own, apart = k.sum(), np.arange(size), src != dst
+    if home is not None:
+        apart &= home[src] == home[dst]
 
     def modularity_of(labels: np.ndarray) -> float:
         inner = np.bincount(labels[src], np.where(labels[src] == labels[dst], w, 0.0), size)
         return (inner / t - resolution * (np.bincount(labels, k, size) / t) ** 2).sum()
 
-    labels, q = own.copy(), modularity_of(own)
+    labels, q = start.copy(), modularity_of(start)
+    there = np.zeros(size, bool)
+    there[src] = True
     for may in may_move:
         codes = np.concatenate([src[apart] * size + labels[dst[apart]], own * size + labels])
         code, at = np.unique(codes, return_inverse=True)
@@ -120,11 +151,12 @@ def _rounds_of_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, may_move: np
         gain = np.round(weight - resolution * k[node] * rest / t, 12)
         order = np.lexsort((c, -gain, node))
         best = order[np.concatenate(([True], node[order][1:] != node[order][:-1]))]
-        there, stay = np.isin(own, node), np.full(size, np.inf)
+        stay = np.full(size, np.inf)
         stay[node[c == labels[node]]] = gain[c == labels[node]]
         wants = np.zeros(size, bool)
         wants[node[best]] = gain[best] > stay[node[best]]
-        if not wants[there].any():
+        wants &= there
+        if not wants.any():
             break
         tried = labels.copy()
         moving = best[(wants & may)[node[best]]]
@@ -135,17 +167,10 @@ def _rounds_of_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, may_move: np
     return labels
 
 
-def parts_of_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, lower: np.ndarray, upper: np.ndarray, resolution: float) -> np.ndarray:
-    """The part of each node of one document's graph: the smallest node of its
-    community that it is connected with. Nodes are numbered in order of id."""
-    size = lower.shape[1]
-    labels = _rounds_of_one(src, dst, w, lower, resolution)
-    held, small = np.unique(labels, return_inverse=True)
-    codes, at = np.unique(small[src] * len(held) + small[dst], return_inverse=True)
-    top = _rounds_of_one(codes // len(held), codes % len(held), np.bincount(at, w), upper[:, held], resolution)
-    labels = held[top[small]]
+def _connected(src: np.ndarray, dst: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The smallest node that each node is connected with in its community."""
     same = labels[src] == labels[dst]
-    parts = np.arange(size)
+    parts = np.arange(len(labels))
     while True:
         low = parts.copy()
         np.minimum.at(low, src[same], parts[dst[same]])
@@ -155,19 +180,45 @@ def parts_of_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, lower: np.ndar
         parts = low
 
 
+def parts_of_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, may_move: np.ndarray, rounds: int, resolution: float) -> np.ndarray:
+    """The part of each node of one document's graph: the smallest node of its
+    community that it is connected with. Nodes are numbered in order of id;
+    may_move: rounds of all levels by nodes."""
+    size = may_move.shape[1]
+    order = np.lexsort((dst, src))
+    src, dst, w = src[order], dst[order], w[order]
+    whole, member, start = (src, dst), np.arange(size), np.arange(size)
+    final = member
+    for level in range(LEVELS):
+        salt = level * (rounds + rounds // 2)
+        moved = _rounds_of_one(src, dst, w, may_move[salt : salt + rounds], resolution, start)
+        refined = _rounds_of_one(src, dst, w, may_move[salt + rounds : salt + rounds + rounds // 2], resolution, np.arange(size), moved)
+        part = _connected(src, dst, refined)
+        final = moved[member]
+        if (part[member] == member).all():
+            break
+        present = np.isin(np.arange(size), member)
+        member = part[member]
+        codes, at = np.unique(part[src] * size + part[dst], return_inverse=True)
+        src, dst, w = codes // size, codes % size, np.bincount(at, w)
+        name = np.full(size, size)
+        np.minimum.at(name, moved[present], part[present])
+        start = np.where(present, name[moved], np.arange(size))
+    return _connected(*whole, final)
+
+
 def _small_parts(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
     """(document_id, node, part), a group for each document."""
-    turns = [*range(rounds), *range(UPPER, UPPER + rounds // 2)]
-    coins = F.array(*(F.pmod(F.xxhash64("src", F.lit(n)), F.lit(2)) == 0 for n in turns))
-    rows = edges.select("document_id", "src", "dst", "w", F.aggregate(F.transform(coins, lambda x, i: F.when(x, F.pow(F.lit(2.0), i)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x).cast("long").alias("coins"))
+    turns = range(LEVELS * (rounds + rounds // 2))
+    hashes = F.array(*(F.xxhash64("src", F.lit(n)) for n in range(len(turns) // 64 + 1)))
+    rows = edges.select("document_id", "src", "dst", "w", hashes.alias("hashes"))
     schema = edges.select("document_id", F.col("src").alias("node"), F.col("src").alias("part")).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, src = np.unique(pdf.src.to_numpy(object), return_inverse=True)
-        dst, coin_bits = np.searchsorted(ids, pdf.dst.to_numpy(object)), np.zeros(len(ids), np.int64)
-        coin_bits[src] = pdf.coins
-        may = (coin_bits >> np.arange(len(turns))[:, None] & 1).astype(bool)
-        parts = parts_of_one(src, dst, pdf.w.to_numpy(float), may[:rounds], may[rounds:], resolution)
+        ids, first, src = np.unique(pdf.src.to_numpy(object), return_index=True, return_inverse=True)
+        dst, bits = np.searchsorted(ids, pdf.dst.to_numpy(object)), np.stack(pdf.hashes.to_numpy()[first]).view(np.uint64)
+        may = np.stack([(bits[:, n // 64] >> np.uint64(n % 64) & np.uint64(1)) == 0 for n in turns])
+        parts = parts_of_one(src, dst, pdf.w.to_numpy(float), may, rounds, resolution)
         return pd.DataFrame({"document_id": pdf.document_id.iloc[0], "node": ids, "part": ids[parts]})
 
     return rows.groupBy("document_id").applyInPandas(run, schema)
@@ -210,12 +261,18 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 
 
 def soft_membership(nodes: DataFrame, clusters: DataFrame, least: float = 0.3) -> DataFrame:
-    """Hard membership, and others where a node's mean cosine to the members exceeds `least`."""
-    sims = mirrored(pairwise(nodes).withColumnRenamed("sim", "weight"))
-    others = sims.join(clusters.select("document_id", F.col("node_id").alias("dst"), "cluster"), ["document_id", "dst"])
-    means = others.groupBy("document_id", F.col("src").alias("node_id"), "cluster").agg(F.avg("weight").alias("weight"))
-    more = means.filter(F.col("weight") > least).join(clusters, ["document_id", "node_id", "cluster"], "left_anti")
-    return membership(clusters).unionByName(more.select("document_id", "node_id", "cluster", "weight"))
+    """Hard membership, and others where a node's mean cosine to the members
+    exceeds `least`: that mean is the product with the mean of the members' unit
+    vectors, so nodes meet clusters, not each other."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = nodes.select("document_id", "node_id", unit(doubles(F.col("embedding"))).alias("v"))
+    middle = Summarizer.mean(array_to_vector(F.col("v")))
+    means = rows.join(clusters, ["document_id", "node_id"]).groupBy("document_id", "cluster").agg(vector_to_array(middle).alias("m"))
+    others = rows.join(means, "document_id").select("document_id", "node_id", "cluster", dot(F.col("v"), F.col("m")).alias("weight"))
+    more = others.filter(F.col("weight") > least).join(clusters, ["document_id", "node_id", "cluster"], "left_anti")
+    return membership(clusters).unionByName(more)
 
 
 def reduce_dimensions(nodes: DataFrame, k: int = 10) -> DataFrame:

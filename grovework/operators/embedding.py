@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovework.operators.hooks import asked
+
 SIZE = 512
 
 
@@ -27,14 +29,16 @@ def hashed(rows: DataFrame, text: str, column: str = "embedding", size: int = SI
     return rows.withColumn(column, vector_to_array("__unit")).drop("__words", "__counts", "__weighed", "__unit")
 
 
-def embed(rows: DataFrame, embedder: Callable | None = None, id_col: str = "node_id", text: str = "embed_text", column: str = "embedding", **options) -> DataFrame:
+def embed(rows: DataFrame, embedder: Callable | None = None, id_col: str = "node_id", text: str = "embed_text", column: str = "embedding", mark: str | None = None, **options) -> DataFrame:
     """`rows` with `column`. `embedder` is a mapInPandas hook over (id_col, text)
-    that returns (id_col, embedding); without it words are hashed."""
+    that returns (id_col, embedding); without it words are hashed. Rows where it
+    fails have a null vector, as none of another kind would compare; `mark`
+    names a column that tells them."""
     if embedder is None:
         return hashed(rows, text, column, **options)
-    kind = rows.schema[id_col].dataType.simpleString()
-    made = rows.select(id_col, F.col(text).alias("text")).mapInPandas(embedder, f"`{id_col}` {kind}, embedding array<double>")
-    return rows.drop(column).join(made.withColumnRenamed("embedding", column), id_col, "left")
+    made = asked(rows.select(id_col, F.col(text).alias("text")), embedder, [id_col], {"embedding": "array<double>"}).withColumnRenamed("embedding", column)
+    made = made.withColumnRenamed("failed", mark) if mark else made.drop("failed")
+    return rows.drop(column).join(made, id_col, "left")
 
 
 def letter_counts(texts: Sequence[str]) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from grovework.functions.text import strip
 from grovework.functions.vectors import cosine
+from grovework.operators.hooks import asked
 
 ENTITY = "struct<name:string,type:string,importance:int>"
 #: The patterns of capitalised phrases, technical terms and words of questions.
@@ -18,7 +19,7 @@ QUERY_WORD = r"(?U)\b([A-Za-z][A-Za-z0-9_-]*)\b"
 #: Words that name nothing.
 STOPWORDS = (
     "what", "how", "why", "when", "where", "who", "which", "is", "are", "was", "were", "the", "a", "an", "and", "or", "but",
-    "in", "on", "at", "to", "for", "of", "with", "by", "from", "can", "could", "would", "should", "does", "do", "did",
+    "in", "on", "at", "to", "for", "of", "with", "by", "from", "can", "could", "would", "should", "do", "does", "did",
     "have", "has", "had", "this", "that", "these", "those", "about", "tell", "me", "explain",
 )
 
@@ -47,15 +48,17 @@ def as_arrays(entities: DataFrame, id_col: str = "node_id") -> DataFrame:
     return entities.groupBy(id_col).agg(F.transform(rows, lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"), e["importance"].alias("importance"))).alias("entities"))
 
 
-def with_entities(nodes: DataFrame, extractor: Callable | None = None) -> DataFrame:
+def with_entities(nodes: DataFrame, extractor: Callable | None = None, mark: str | None = None) -> DataFrame:
     """`nodes` with entities and entity_names; `extractor` is a mapInPandas hook
-    that adds the column entities, the rules stand in where it leaves null."""
+    over (node_id, text) that returns node_id and own, an array of entities. The
+    rules stand in where it leaves null, fails or has no row; `mark` names a
+    column that tells where it failed."""
     base = nodes.join(as_arrays(extract_entities(nodes)), "node_id", "left")
     base = base.withColumn("entities", F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")))
     if extractor is not None:
-        schema = nodes.select("node_id", "text").withColumn("own", F.lit(None).cast(f"array<{ENTITY}>")).schema
-        own = nodes.select("node_id", "text").mapInPandas(extractor, schema).select("node_id", "own")
+        own = asked(nodes.select("node_id", "text"), extractor, ["node_id"], {"own": f"array<{ENTITY}>"})
         base = base.join(own, "node_id", "left").withColumn("entities", F.coalesce("own", "entities")).drop("own")
+        base = base.withColumnRenamed("failed", mark) if mark else base.drop("failed")
     return base.withColumn("entity_names", entity_names(F.col("entities")))
 
 
@@ -64,18 +67,23 @@ def entity_names(entities: Column, most: int = 10) -> Column:
 
 
 def parse_entity_json(answer: Column, most: int = 15) -> Column:
-    """Entities of a model's JSON answer, null where it cannot be read."""
+    """Entities of a model's JSON answer: the objects with a name among the first
+    `most` elements, whatever the others are. Null, for the rules to stand in,
+    where there is no list, or an importance is no number."""
     bare = strip(F.regexp_replace(F.regexp_replace(strip(answer), r"^```[^\n]*\n", ""), r"\n?```\s*$", ""))
-    rows = F.from_json(bare, "array<struct<name:string,type:string,importance:int>>")
-    named = F.filter(F.slice(rows, 1, most), lambda e: e["name"].isNotNull())
-    return F.transform(
-        named,
-        lambda e: F.struct(
-            strip(e["name"]).alias("name"),
-            F.lower(F.coalesce(e["type"], F.lit("other"))).alias("type"),
-            F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(e["importance"], F.lit(5)))).alias("importance"),
-        ),
-    )
+    rows = F.slice(F.try_variant_get(F.try_parse_json(bare), "$", "array<variant>"), 1, most)
+    get = lambda e, key: F.try_variant_get(e, f"$.{key}", "string")
+    rows = F.filter(rows, lambda e: F.schema_of_variant(e).startswith("OBJECT") & get(e, "name").isNotNull())
+
+    def importance(e: Column) -> Column:
+        value = F.try_variant_get(e, "$.importance", "variant")
+        number = F.when(F.schema_of_variant(value) == "STRING", F.regexp_extract(get(e, "importance"), r"^\s*([+-]?\d+)\s*$", 1)).otherwise(get(e, "importance"))
+        return F.when(value.isNull(), F.lit(5.0)).otherwise(number.try_cast("double"))
+
+    read = F.transform(rows, lambda e: F.struct(strip(get(e, "name")).alias("name"), F.lower(F.coalesce(get(e, "type"), F.lit("other"))).alias("type"), importance(e).alias("importance")))
+    whole = lambda x: F.greatest(F.lit(1), F.least(F.lit(10.0), x).cast("int"))
+    made = F.transform(read, lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"), whole(e["importance"]).alias("importance")))
+    return F.when(F.forall(read, lambda e: e["importance"].isNotNull()), made)
 
 
 def dedupe_exact(entities: DataFrame, group: str = "document_id") -> DataFrame:

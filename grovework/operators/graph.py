@@ -1,19 +1,21 @@
 """Similarity and entity graphs of documents.
 
-Pairs are made by equi-joins within a document, each once (a < b), and mirrored
-only where a directed list is asked for. Entity overlap comes from a join of
-the inverted index, not from pairs. Vectors are normalised once, so a pair
-costs a dot product.
+Pairs of nodes are weighed block by block (`pairs.py`), each once (a < b), and
+only those above a threshold leave the task that meets them; they are mirrored
+only where a directed list is asked for. Where entities alone are asked for,
+pairs come from the inverted index, whose long lists are split into blocks too.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovework.functions.vectors import dot, doubles, unit
+from grovework.operators.pairs import blocks_of, cosine_only, weighed_pairs
 
 THRESHOLD, ENTITY_WEIGHT, NEIGHBOURS, HOPS = 0.3, 1.5, 3, 2
 
@@ -39,12 +41,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pairwise(nodes: DataFrame) -> DataFrame:
-    """(document_id, a, b, sim) for all pairs a < b of a document."""
-    rows = nodes.select("document_id", "node_id", unit(doubles(F.col("embedding"))).alias("v"))
-    a = rows.select("document_id", F.col("node_id").alias("a"), F.col("v").alias("va"))
-    b = rows.select("document_id", F.col("node_id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "document_id").filter("a < b").select("document_id", "a", "b", dot(F.col("va"), F.col("vb")).alias("sim"))
+def pairwise(nodes: DataFrame, least: float = -math.inf) -> DataFrame:
+    """(document_id, a, b, sim) for the pairs a < b of a document with cosines above `least`."""
+    return weighed_pairs(nodes, None, cosine_only, least)
 
 
 def mirrored(pairs: DataFrame, value: str = "weight") -> DataFrame:
@@ -60,22 +59,31 @@ def importances(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.select("node_id", "document_id"), "node_id")
 
 
-def entity_overlap(entities: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(document_id, a, b, score) for the pairs that share an entity."""
+def entity_overlap(entities: DataFrame, nodes: DataFrame, list_rows: int = 1024) -> DataFrame:
+    """(document_id, a, b, score) for the pairs that share an entity. An entity's
+    list of more than `list_rows` nodes is met in pairs of blocks, so no task
+    squares a whole list."""
     rows = importances(entities, nodes)
-    a = rows.select("document_id", "entity", F.col("node_id").alias("a"), F.col("importance").alias("ia"), F.col("n").alias("na"))
-    b = rows.select("document_id", "entity", F.col("node_id").alias("b"), F.col("importance").alias("ib"), F.col("n").alias("nb"))
-    shared = a.join(b, ["document_id", "entity"]).filter("a < b").groupBy("document_id", "a", "b")
-    sums = shared.agg(F.sum((F.col("ia") + F.col("ib")) / 2).alias("s"), F.max(F.greatest("na", "nb", F.lit(1))).alias("most"))
+    lists = rows.groupBy("document_id", "entity").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("g"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    rows = rows.join(lists, ["document_id", "entity"])
+    rows = rows.withColumn("met", F.explode(blocks_of(F.col("entity"), F.col("g"), F.col("node_id"))))
+    block = F.pmod(F.xxhash64("node_id"), F.col("g").cast("long")).cast("int")
+    side = lambda x: rows.select("document_id", "entity", "met", F.col("node_id").alias(x), F.col("importance").alias(f"i{x}"), F.col("n").alias(f"n{x}"), block.alias(f"o{x}"), "g")
+    # two nodes of one block meet in that block's own pair only
+    pairs = side("a").join(side("b").drop("g"), ["document_id", "entity", "met"]).filter("a < b AND (oa <> ob OR met = oa * g + oa)")
+    sums = pairs.groupBy("document_id", "a", "b").agg(F.sum((F.col("ia") + F.col("ib")) / 2).alias("s"), F.max(F.greatest("na", "nb", F.lit(1))).alias("most"))
     return sums.select("document_id", "a", "b", (F.col("s") / (10 * F.col("most"))).alias("score"))
 
 
 def build_edges(nodes: DataFrame, entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Directed edges (document_id, src, dst, weight) between base nodes."""
+    """Directed edges (document_id, src, dst, weight) between base nodes: cosine
+    plus the overlap of entities, each pair weighed once."""
     base = nodes.filter("layer = 0")
-    pairs = pairwise(base).join(entity_overlap(entities, base), ["document_id", "a", "b"], "left")
-    weight = F.col("sim") + ENTITY_WEIGHT * F.coalesce("score", F.lit(0.0))
-    return mirrored(pairs.withColumn("weight", weight).filter(F.col("weight") > threshold))
+
+    def weigh(cosine, shared, summed, na, nb):
+        return cosine + ENTITY_WEIGHT * (summed / (10 * np.maximum(np.maximum(na, nb), 1)))
+
+    return mirrored(weighed_pairs(base, importances(entities, base), weigh, threshold).withColumnRenamed("sim", "weight"))
 
 
 def top_neighbours(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -100,8 +108,8 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = HOPS, k: int = NEIGHB
 def knn_graph(nodes: DataFrame, k: int = 10, least: float = 0.3) -> DataFrame:
     """(document_id, a, b, sim): b is among the k nearest of a, and a < b; an
     edge that only the larger id chooses is left out."""
-    both = mirrored(pairwise(nodes).withColumnRenamed("sim", "weight"))
-    near = top_neighbours(both, k).filter((F.col("weight") > least) & (F.col("src") < F.col("dst")))
+    both = mirrored(pairwise(nodes, least).withColumnRenamed("sim", "weight"))
+    near = top_neighbours(both, k).filter(F.col("src") < F.col("dst"))
     return near.select("document_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("sim"))
 
 
@@ -111,12 +119,8 @@ def edge_stats(edges: DataFrame) -> DataFrame:
 
 def combined_similarity(nodes: DataFrame, entities: DataFrame, least: float = 0.3) -> DataFrame:
     """(document_id, a, b, sim): 0.7 cosine plus 0.3 Jaccard of entity names."""
-    names = entities.select("node_id", F.lower("name").alias("entity")).distinct().join(nodes.select("node_id", "document_id"), "node_id")
-    sizes = names.groupBy("node_id").agg(F.count("*").alias("n"))
-    a = names.select("document_id", "entity", F.col("node_id").alias("a"))
-    b = names.select("document_id", "entity", F.col("node_id").alias("b"))
-    shared = a.join(b, ["document_id", "entity"]).filter("a < b").groupBy("document_id", "a", "b").agg(F.count("*").alias("s"))
-    shared = shared.join(sizes.select(F.col("node_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node_id").alias("b"), F.col("n").alias("nb")), "b")
-    jaccard: Column = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
-    pairs = pairwise(nodes).join(shared.select("document_id", "a", "b", jaccard.alias("j")), ["document_id", "a", "b"], "left")
-    return pairs.select("document_id", "a", "b", (0.7 * F.col("sim") + 0.3 * F.coalesce("j", F.lit(0.0))).alias("sim")).filter(F.col("sim") > least)
+
+    def weigh(cosine, shared, summed, na, nb):
+        return 0.7 * cosine + 0.3 * (shared / np.maximum(na + nb - shared, 1))
+
+    return weighed_pairs(nodes, importances(entities, nodes), weigh, least)

@@ -13,12 +13,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovework.functions.text import count_tokens, preview, strip
+from grovework.functions.text import count_tokens, parse_hop, preview, strip
 from grovework.functions.vectors import doubles, squared_l2
 from grovework.operators.entities import query_entities
-from grovework.operators.graph import expand
+from grovework.operators.graph import expand, written
+from grovework.operators.hooks import asked
 
 ALPHA, SEEDS, ENTITY_TOP_K, BOOST, CONTEXT_TOKENS = 0.6, 5, 5, 0.2, 8000
+#: Fixed value: the answer where nothing is found.
 NO_RESULT = "I couldn't find any relevant information to answer this question."
 #: The most results that a class of questions asks for.
 MOST_K = 15
@@ -245,13 +247,14 @@ def answer_sources(results: DataFrame) -> DataFrame:
 
 def answers(questions: DataFrame, results: DataFrame, generator: Callable | None = None) -> DataFrame:
     """(query_id, context, n_sources, answer); `generator` is a mapInPandas hook
-    over (query_id, question, context) that returns query_id and answer."""
+    over (query_id, question, context) that returns query_id and answer, which
+    stays null where it fails."""
     context = build_context(results).join(results.groupBy("query_id").agg(F.count("*").alias("n_sources")), "query_id")
     rows = questions.select("query_id", "question").join(context, "query_id", "left")
     if generator is None:
         told = rows.withColumn("answer", F.when(F.col("context").isNull(), NO_RESULT))
     else:
-        own = rows.filter("context is not null").select("query_id", "question", "context").mapInPandas(generator, "query_id long, answer string")
+        own = asked(rows.filter("context is not null").select("query_id", "question", "context"), generator, ["query_id"], {"answer": "string"}).drop("failed")
         told = rows.join(own, "query_id", "left").withColumn("answer", F.when(F.col("context").isNull(), NO_RESULT).otherwise(strip(F.col("answer"))))
     return told.select("query_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "answer")
 
@@ -261,8 +264,6 @@ def multi_hop(questions: DataFrame, search: Callable[[DataFrame], DataFrame], fo
     follow-up of the one before and keeps unseen nodes only. `search` maps
     questions to (query_id, node_id, ...); `follow_up` maps the questions and a
     hop's new results to the next questions."""
-    from grovework.operators.graph import written
-
     seen, trace, now = None, None, questions
     for hop in range(1, hops + 1):
         found = search(now).select("query_id", "node_id").distinct()
@@ -278,6 +279,66 @@ def multi_hop(questions: DataFrame, search: Callable[[DataFrame], DataFrame], fo
     return trace if trace is not None else questions.limit(0).select("query_id", F.lit("").alias("node_id"), "question", F.lit(0).alias("hop"))
 
 
+def answered_hops(
+    questions: DataFrame,
+    nodes: DataFrame,
+    search: Callable[[DataFrame], DataFrame],
+    generator: Callable,
+    embedder: Callable | None = None,
+    hops: int = 3,
+    last_nodes: int = 10,
+) -> tuple[DataFrame, DataFrame]:
+    """Answers by retrieval in several hops, all open questions at a time.
+
+    Each hop searches for a question's current text and gives what is new, as a
+    context, to `generator`, a mapInPandas hook over (query_id, question,
+    context) that returns query_id and response. `ANSWER:` ends the question,
+    `QUERY:` brings its next text (embedded by `embedder`, a hook over
+    (query_id, text); without it the vector stays), any other response is the
+    answer. Where nothing new is found the hops end, and the last one is
+    followed by a forced answer from the first `last_nodes` finds.
+
+    `search` maps questions to (query_id, node_id, rank, source). Returns the
+    trace (query_id, hop, query, results_found, response) and (query_id, answer,
+    hops, total_results); a response that fails is null and ends its question.
+    """
+    kind = questions.schema["query_id"].dataType.simpleString()
+    original, nodes = written(questions, "asked"), nodes.select("node_id", "text", "is_summary", "layer")
+    now = original.withColumn("original", F.col("question"))
+    seen = trace = done = None
+    joined = lambda a, b: b if a is None else a.unionByName(b)
+    for hop in range(1, hops + 1):
+        found = search(now.drop("original")).select("query_id", "node_id", "rank", "source")
+        if seen is not None:
+            found = found.join(seen, ["query_id", "node_id"], "left_anti")
+        found = written(found.withColumn("hop", F.lit(hop)), f"hop{hop}")
+        seen = joined(seen, found)
+        context = build_context(found.join(nodes, "node_id"))
+        told = asked(context.join(now.select("query_id", F.col("original").alias("question")), "query_id").select("query_id", "question", "context"), generator, ["query_id"], {"response": "string"})
+        sizes = found.groupBy("query_id").agg(F.count("*").alias("results_found"))
+        step = written(now.join(sizes, "query_id").join(told, "query_id").withColumn("parsed", parse_hop(F.col("response"))), f"told{hop}")
+        trace = joined(trace, step.select("query_id", F.lit(hop).alias("hop"), F.col("question").alias("query"), "results_found", "response"))
+        ended = step.filter("parsed.next_query IS NULL").select("query_id", F.col("parsed.answer").alias("answer"), F.lit(hop).alias("hops"))
+        done = joined(done, ended)
+        now = step.filter("parsed.next_query IS NOT NULL").withColumn("question", F.col("parsed.next_query")).select("query_id", "question", "embedding", "document_id", "original")
+        if embedder is not None:
+            own = asked(now.select("query_id", F.col("question").alias("text")), embedder, ["query_id"], {"vector": "array<double>"})
+            now = now.join(own, "query_id").withColumn("embedding", F.coalesce("vector", "embedding")).drop("vector", "failed")
+        now = written(now, f"open{hop}")
+        if now.isEmpty():
+            break
+    # whatever was found so far, in the order in which it was found
+    left = original.join(done, "query_id", "left_anti").select("query_id", "question")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("hop", "rank", "node_id"))
+    first = seen.withColumn("rank", place).filter(F.col("rank") <= last_nodes).join(left, "query_id", "left_semi")
+    context = build_context(first.drop("hop").join(nodes, "node_id"))
+    forced = asked(left.join(context, "query_id", "left").select("query_id", "question", F.coalesce("context", F.lit("")).alias("context")), generator, ["query_id"], {"response": "string"})
+    last = forced.select("query_id", F.col("response").alias("answer"), F.lit(hops).alias("hops"))
+    total = seen.groupBy("query_id").agg(F.count("*").alias("total_results"))
+    answers_ = done.unionByName(last).join(total, "query_id", "left").withColumn("total_results", F.coalesce("total_results", F.lit(0)))
+    return trace.withColumn("query_id", F.col("query_id").cast(kind)), answers_
+
+
 def in_group(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Nodes of the documents in `members`, for group-scoped searches."""
     return nodes.join(members.select("document_id").distinct(), "document_id", "left_semi")

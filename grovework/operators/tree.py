@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovework.functions.text import cluster_id, count_tokens, first_sentences, node_id
+from grovework.functions.text import CHARS_PER_TOKEN, SEPARATOR, cluster_id, combine_texts, count_tokens, first_sentences, node_id
 from grovework.functions.vectors import doubles
 from grovework.operators.cluster import cluster_communities
-from grovework.operators.entities import ENTITY, cluster_entities, entity_names
+from grovework.operators.entities import ENTITY, cluster_entities, entity_names, with_entities
 from grovework.operators.graph import build_edges, edge_stats, written
+from grovework.operators.hooks import asked
 
 MAX_DEPTH, MIN_CLUSTER, MIN_NODES = 4, 2, 3
 
@@ -28,27 +31,43 @@ def tree_edges(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("parent_id"), F.explode("child_ids").alias("child_id"))
 
 
-def summarize(nodes: DataFrame, clusters: DataFrame, layer: int, summarizer: Callable | None = None) -> DataFrame:
-    """Summary nodes at layer + 1 of the clusters with two members or more.
+def first_members(rows: DataFrame, most: int) -> DataFrame:
+    """(document_id, cluster, texts): of each cluster's first `most` members, in order."""
+    rank = F.row_number().over(Window.partitionBy("document_id", "cluster").orderBy("chunk_index", "node_id"))
+    first = rows.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return first.groupBy("document_id", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
+
+
+def summaries(rows: DataFrame, entities: DataFrame, summarizer: Callable | None, tokens: int = 500) -> DataFrame:
+    """(document_id, cluster, text, failed) of the members in `rows`: the first
+    sentences of the first three, or what `summarizer`, a mapInPandas hook over
+    (document_id, cluster, key_entities, text), returns as (document_id, cluster,
+    text). Its text is that of the members up to `tokens`, its entities are the
+    ten best; where it fails, the first sentences stand in."""
+    plain = first_members(rows, 3).select("document_id", "cluster", first_sentences(F.col("texts")).alias("plain"))
+    if summarizer is None:
+        return plain.select("document_id", "cluster", F.col("plain").alias("text"), F.lit(False).alias("failed"))
+    # a text adds its separator at least, so no more of them can count
+    enough = tokens * CHARS_PER_TOKEN // len(SEPARATOR) + 2
+    cut = rows.withColumn("text", F.left("text", F.lit(tokens * CHARS_PER_TOKEN + 1)))
+    named = entities.filter(F.col("rank") <= 10).groupBy("document_id", "cluster")
+    named = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("key_entities"))
+    given = first_members(cut, enough).select("document_id", "cluster", combine_texts(F.col("texts"), tokens).alias("text")).join(named, ["document_id", "cluster"], "left")
+    given = given.select("document_id", "cluster", F.coalesce("key_entities", F.lit("")).alias("key_entities"), "text")
+    told = asked(given, summarizer, ["document_id", "cluster"], {"text": "string"})
+    return plain.join(told, ["document_id", "cluster"], "left").select("document_id", "cluster", F.coalesce("text", "plain").alias("text"), F.coalesce("failed", F.lit(True)).alias("failed"))
+
 
-    The text is made of the first sentences of the first members, or by a
-    mapInPandas hook over (document_id, cluster, texts) that returns
-    (document_id, cluster, text); the vector is the mean of the members'.
-    """
+def summarize(nodes: DataFrame, clusters: DataFrame, layer: int, summarizer: Callable | None = None) -> DataFrame:
+    """Summary nodes at layer + 1 of the clusters with two members or more, with
+    `summaries` as texts and the mean of the members' vectors; summary_failed
+    tells where a summarizer failed."""
     rows = clusters.join(nodes, ["document_id", "node_id"])
-    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "node_id", "text", doubles(F.col("embedding")).alias("v"))))
-    groups = rows.groupBy("document_id", "cluster").agg(parts.alias("m")).filter(F.size("m") >= MIN_CLUSTER)
-    mean = F.transform(
-        F.aggregate(F.transform("m", lambda x: x["v"]), F.array().cast("array<double>"), lambda a, v: F.when(F.size(a) == 0, v).otherwise(F.zip_with(a, v, lambda x, y: x + y))),
-        lambda x: x / F.size("m"),
-    )
-    texts = F.transform("m", lambda x: x["text"])
-    groups = groups.select("document_id", "cluster", first_sentences(texts).alias("text"), mean.alias("embedding"), F.transform("m", lambda x: x["node_id"]).alias("child_ids"), texts.alias("texts"))
-    if summarizer is not None:
-        kind = nodes.schema["document_id"].dataType.simpleString()
-        own = groups.select("document_id", "cluster", "texts").mapInPandas(summarizer, f"document_id {kind}, cluster int, text string")
-        groups = groups.drop("text").join(own, ["document_id", "cluster"])
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "node_id"))), lambda x: x["node_id"])
+    mean = vector_to_array(Summarizer.mean(array_to_vector(doubles(F.col("embedding")))))
+    groups = rows.groupBy("document_id", "cluster").agg(ids.alias("child_ids"), mean.alias("embedding")).filter(F.size("child_ids") >= MIN_CLUSTER)
     entities = cluster_entities(exploded_entities(nodes), clusters.select("document_id", "node_id", "cluster"))
+    groups = groups.join(summaries(rows, entities, summarizer), ["document_id", "cluster"])
     listed = F.array_sort(F.collect_list(F.struct("rank", "name", "type", "importance")))
     found = entities.groupBy("document_id", "cluster").agg(listed.alias("l"))
     found = found.select("document_id", "cluster", F.transform("l", lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"), e["importance"].cast("int").alias("importance"))).alias("entities"))
@@ -68,6 +87,7 @@ def summarize(nodes: DataFrame, clusters: DataFrame, layer: int, summarizer: Cal
         entity_names(F.col("entities")).alias("entity_names"),
         "child_ids",
         cluster_id(F.lit(layer), F.col("cluster")).alias("cluster_id"),
+        F.col("failed").alias("summary_failed"),
     )
 
 
@@ -79,17 +99,22 @@ def build_layer(nodes: DataFrame, layer: int, cluster: Callable[[DataFrame, Data
     return summarize(sized, found, layer, summarizer)
 
 
-def build_tree(base: DataFrame, max_depth: int = MAX_DEPTH, cluster: Callable | None = None, summarizer: Callable | None = None) -> tuple[DataFrame, DataFrame]:
-    """All nodes of the trees over `base` (layer 0, with entities), and the base
-    graph's edges. One round for each layer, whatever the number of documents;
+def build_tree(
+    base: DataFrame, max_depth: int = MAX_DEPTH, cluster: Callable | None = None, summarizer: Callable | None = None, extractor: Callable | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """All nodes of the trees over `base` (layer 0), and the base graph's edges.
+    Entities that the nodes lack are extracted, by rules or by `extractor`. One round for each layer, whatever the number of documents;
     a document ends when a layer brings it two summaries or fewer."""
+    if "entities" not in base.columns:
+        base = written(with_entities(base, extractor), "described")
     edges = written(build_edges(base, exploded_entities(base)), "graph")
-    columns = ["node_id", "document_id", "layer", "chunk_index", "is_summary", "text", "embedding", "token_count", "entities", "entity_names", "child_ids", "cluster_id"]
+    columns = ["node_id", "document_id", "layer", "chunk_index", "is_summary", "text", "embedding", "token_count", "entities", "entity_names", "child_ids", "cluster_id", "summary_failed"]
     rows = base.withColumn("embedding", doubles(F.col("embedding")))
     if "child_ids" not in rows.columns:
         rows = rows.withColumn("child_ids", F.array().cast("array<string>"))
     if "cluster_id" not in rows.columns:
         rows = rows.withColumn("cluster_id", F.lit(None).cast("string"))
+    rows = rows.withColumn("summary_failed", F.lit(False))
     tree = active = written(rows.withColumn("token_count", count_tokens(F.col("text"))).select(*columns), "layer0")
     for layer in range(max_depth):
         made = written(build_layer(active, layer, cluster, summarizer).select(*columns), f"layer{layer + 1}")

@@ -1,8 +1,7 @@
 """Views over the given tables, in Spark and in SQL.
 
 nodes: each vector with the document text of the same number. Documents are
-named by label and block of 500 vectors, so a document's size stays the same
-while their number grows with the table.
+named by label, so they grow with the table.
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def document_name(number, label):
-    return F.concat(F.lit("doc"), label.cast("string"), F.lit("_"), F.floor(number / 500).cast("string"))
+def document_name(label):
+    return F.concat(F.lit("doc"), label.cast("string"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +27,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit = F.col("vec_id") % 10
     return e.join(d, F.col("vec_id") == F.col("doc_id")).select(
         F.lpad(F.col("vec_id").cast("string"), 6, "0").alias("node_id"),
-        document_name(F.col("vec_id"), F.col("label")).alias("document_id"),
+        document_name(F.col("label")).alias("document_id"),
         F.when(digit == 9, 2).when(digit >= 7, 1).otherwise(0).alias("layer"),
         F.col("vec_id").cast("int").alias("chunk_index"),
         (digit >= 7).alias("is_summary"),
@@ -83,7 +82,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("query_id"),
         question.alias("question"),
         doubles(F.col("embedding")).alias("embedding"),
-        F.when(F.col("item_id") % 5 != 4, document_name(F.col("vec_id"), F.col("label"))).alias("document_id"),
+        F.when(F.col("item_id") % 5 != 4, document_name(F.col("label"))).alias("document_id"),
     )
 
 
@@ -130,7 +129,7 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NODES = """nodes AS (
-  SELECT lpad(CAST(e.vec_id AS VARCHAR), 6, '0') AS node_id, concat('doc', e.label, '_', e.vec_id // 500) AS document_id,
+  SELECT lpad(CAST(e.vec_id AS VARCHAR), 6, '0') AS node_id, concat('doc', e.label) AS document_id,
     CASE WHEN e.vec_id % 10 = 9 THEN 2 WHEN e.vec_id % 10 >= 7 THEN 1 ELSE 0 END AS layer,
     CAST(e.vec_id AS INT) AS chunk_index, e.vec_id % 10 >= 7 AS is_summary, d.text, d.lang, d.source,
     CAST(e.embedding AS DOUBLE[]) AS embedding
@@ -153,7 +152,7 @@ QUESTIONS = """questions AS (
       WHEN 4 THEN 'Why? How? ' || left(b.text, 30) WHEN 5 THEN b.text WHEN 6 THEN left(b.text, 12)
       ELSE 'how does A relate to ' || left(b.text, 30) END AS question,
     CAST(e.embedding AS DOUBLE[]) AS embedding,
-    CASE WHEN b.item_id % 5 <> 4 THEN concat('doc', e.label, '_', e.vec_id // 500) END AS document_id
+    CASE WHEN b.item_id % 5 <> 4 THEN concat('doc', e.label) END AS document_id
   FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
 
 #: The entity patterns as DuckDB writes them.

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovework.functions.text import count_tokens, flat_preview, node_id
 from grovework.operators.chunking import chunk_text, contextualize, with_references
+from grovework.operators.hooks import asked
+from grovework.sources.snapshots import Snapshots
 
 
 def stem(path: Column) -> Column:
@@ -17,8 +20,11 @@ def stem(path: Column) -> Column:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Parquet as it is; text and markdown files as (document_id, text), one row
-    for each file. Other extensions are an error."""
+    for each file. A folder may mix them: its Parquet files then have these two
+    columns at least. Other extensions are an error."""
     bare = path.rstrip("/*").lower()
+    if "." not in bare.rsplit("/", 1)[-1]:
+        return read_folder(spark, path.rstrip("/*"))
     if bare.endswith(".parquet"):
         return spark.read.parquet(path)
     if bare.endswith((".txt", ".md")):
@@ -27,6 +33,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for {path}")
 
 
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """(document_id, text) of the text, markdown and Parquet files of a folder."""
+    kinds = {r.kind for r in spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"\.([^./]+)$", 1).alias("kind")).distinct().collect()}
+    if other := {k for k in kinds if k.lower() not in ("txt", "md", "parquet")}:
+        raise ValueError(f"no reader for {sorted(other)}")
+    found = []
+    for kind in sorted(kinds):
+        if kind.lower() == "parquet":
+            found.append(spark.read.option("pathGlobFilter", f"*.{kind}").parquet(path).select(F.col("document_id").cast("string").alias("document_id"), "text"))
+            continue
+        rows = spark.read.option("pathGlobFilter", f"*.{kind}").text(path, wholetext=True)
+        found.append(rows.select(stem(F.input_file_name()).alias("document_id"), F.col("value").alias("text")))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "document_id string, text string")
+
+
 def assemble_pages(pages: DataFrame, id_col: str = "document_id", page: str = "page", text: str = "text") -> DataFrame:
     """(id_col, text): non-empty pages in order under page marks."""
     part = F.concat(F.lit("--- Page "), F.col(page).cast("string"), F.lit(" ---\n"), F.col(text))
@@ -98,25 +119,29 @@ def delete_documents(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return nodes.join(ids.select("document_id").distinct(), "document_id", "left_anti")
 
 
-def save_graph(edges: DataFrame, index: DataFrame, path: str) -> None:
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
-    index.write.mode("overwrite").parquet(f"{path}/entity_index")
+def save_graph(edges: DataFrame, index: DataFrame, path: str) -> int:
+    """Edges and entity index as one version: both are replaced, or none."""
+    return Snapshots(edges.sparkSession, path).save({"edges": edges, "entity_index": index})
 
 
-def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/entity_index")
+def load_graph(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges and entity index, of the last version or of one before."""
+    stored = Snapshots(spark, path)
+    version = stored.latest() if version is None else version
+    return stored.read("edges", version), stored.read("entity_index", version)
 
 
 def summaries_of(docs: DataFrame, id_col: str = "document_id", summarizer: Callable | None = None) -> DataFrame:
-    """(id_col, summary): the first sentences, or a mapInPandas hook over
-    (id_col, text) that returns (id_col, summary)."""
+    """(id_col, summary): the first sentences, or what a mapInPandas hook over
+    (id_col, text) returns as (id_col, summary), where it doesn't fail."""
     from grovework.functions.text import first_sentences, split_sentences, summary_sample
 
-    if summarizer is not None:
-        kind = docs.schema[id_col].dataType.simpleString()
-        sample = docs.select(id_col, summary_sample(F.col("text")).alias("text"))
-        return sample.mapInPandas(summarizer, f"`{id_col}` {kind}, summary string")
-    return docs.select(id_col, first_sentences(split_sentences(F.col("text"))).alias("summary"))
+    plain = docs.select(id_col, first_sentences(split_sentences(F.col("text"))).alias("summary"))
+    if summarizer is None:
+        return plain
+    sample = docs.select(id_col, summary_sample(F.col("text")).alias("text"))
+    own = asked(sample, summarizer, [id_col], {"summary": "string"}).select(id_col, F.col("summary").alias("own"))
+    return plain.join(own, id_col, "left").select(id_col, F.coalesce("own", "summary").alias("summary"))
 
 
 def ingest(docs: DataFrame, id_col: str = "document_id", summarizer: Callable | None = None, **chunking) -> tuple[DataFrame, DataFrame]:

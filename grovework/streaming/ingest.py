@@ -23,33 +23,43 @@ def stream_ingest(
 
     Documents are chunked, get entities (`extractor`) and vectors (`embedder`;
     the default hashes words without frequencies, so that batches compare).
-    Nodes of batch n go to target/batch=n, which is overwritten if the batch
-    runs again, so a batch counts once. Of a document that comes twice in a
-    batch the row of the latest file counts (then the greatest file name and
-    text). `current` reads the latest nodes.
+    Nodes of batch n go to target/nodes/batch=n, and the file time and name behind
+    each document to target/versions/batch=n; both are overwritten if the batch
+    runs again, so a batch counts once. Of a document that comes more than once,
+    in one batch or in several, the row of the latest file counts (then the
+    greatest file name and text), so files may arrive in any order. `current`
+    reads the nodes that count.
     """
     file = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"), F.col("text").alias("text"))
     stream = spark.readStream.schema(SCHEMA).parquet(source).select("document_id", file.alias("file"))
 
     def store(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("document_id").agg(F.max("file").alias("file")).select("document_id", "file.text")
-        nodes = with_entities(written(ingest(last, **chunking)[0], "ingested"), extractor)
-        embed(nodes, embedder, idf=False).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        last = written(batch.groupBy("document_id").agg(F.max("file").alias("file")), "latest")
+        nodes = with_entities(written(ingest(last.select("document_id", "file.text"), **chunking)[0], "ingested"), extractor)
+        embed(nodes, embedder, idf=False).write.mode("overwrite").parquet(f"{target}/nodes/batch={number}")
+        # last: a batch without its versions doesn't count
+        last.select("document_id", "file.at", "file.path").write.mode("overwrite").parquet(f"{target}/versions/batch={number}")
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def versions(spark: SparkSession, target: str) -> DataFrame:
+    """(document_id, at, path, batch): the file that counts for each document."""
+    rows = spark.read.parquet(f"{target}/versions")
+    last = rows.groupBy("document_id").agg(F.max(F.struct("at", "path", "batch")).alias("v"))
+    return last.select("document_id", "v.*")
+
+
 def current(spark: SparkSession, target: str) -> DataFrame:
-    """Nodes of each document's latest batch."""
-    rows = spark.read.parquet(target)
-    last = rows.groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["document_id", "batch"], "left_semi").drop("batch")
+    """Nodes of the version that counts of each document."""
+    return spark.read.parquet(f"{target}/nodes").join(versions(spark, target), ["document_id", "batch"], "left_semi").drop("batch")
 
 
 def compact(spark: SparkSession, target: str, path: str) -> None:
-    """Writes what is current as the first batch of a new target, so that
-    replaced nodes need not be read again."""
-    current(spark, target).write.parquet(f"{path}/batch=-1")
+    """Writes what counts as the first batch of a new target, so that replaced
+    nodes need not be read again."""
+    current(spark, target).write.parquet(f"{path}/nodes/batch=-1")
+    versions(spark, target).drop("batch").write.parquet(f"{path}/versions/batch=-1")
 
 
 def fingerprints(nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grovework.functions import text as T
@@ -141,17 +143,146 @@ def test_entry_and_a_few_oracles(spark):
         assert rows == sorted(tuple(r[k] for k in order) for r in want.fetchall()), name
 
 
-def test_recall_of_approximate_search(spark):
-    from grovework.operators.approximate import approx_top_k
+def exact_near(q, n, k=10):
+    return {(r.query_id, r.node_id) for r in retrieval.ranked(retrieval.candidates(q, n), k, "distance", "node_id").collect()}
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_index_recall_on_the_given_vectors(spark, tmp_path, sf):
+    """The given vectors have no clusters, so many cells are needed; few vectors are."""
+    from grovework.operators import index
     from grovework.plans import views
 
-    sf = "/root/testdata/sf0.01"
     if not os.path.isdir(sf):
         pytest.skip("no test tables")
-    q, n = views.questions(spark, sf).withColumn("document_id", F.lit(None).cast("string")), views.nodes(spark, sf)
-    exact = {(r.query_id, r.node_id) for r in retrieval.ranked(retrieval.candidates(q, n), 10, "distance", "node_id").collect()}
-    found = {(r.query_id, r.node_id) for r in approx_top_k(q, n, 10).collect()}
+    n = views.nodes(spark, sf).select("node_id", "document_id", "embedding")
+    q = n.filter(F.crc32("node_id") % 23 == 0).select(F.col("node_id").alias("query_id"), "embedding", F.lit(None).cast("string").alias("document_id"))
+    made = index.build(n, f"{tmp_path}/index")
+    exact = exact_near(q, n)
+    found = {(r.query_id, r.node_id) for r in index.search(q, made).collect()}
+    assert len(found) == len(exact) and len(exact & found) >= 0.9 * len(exact)
+    if sf.endswith("0.1"):
+        assert 10 * 10 < 0.2 * n.count()  # vectors that each question reads
+
+
+def test_index_reads_few_cells_where_vectors_cluster(spark, tmp_path):
+    from grovework.operators import index
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((40, 16))[rng.integers(0, 40, 3000)] * 3 + rng.standard_normal((3000, 16)) * 0.6
+    rows = [(f"n{k:05d}", "d", v) for k, v in enumerate(x.tolist())]
+    n = spark.createDataFrame(rows, "node_id string, document_id string, embedding array<double>")
+    q = spark.createDataFrame([(k, x[k].tolist(), None) for k in range(0, 3000, 50)], "query_id long, embedding array<double>, document_id string")
+    made = index.build(n.limit(2500), f"{tmp_path}/index")
+    index.append(n.join(n.limit(2500), "node_id", "left_anti"), made)  # no rebuild
+    made = index.load(spark, f"{tmp_path}/index")
+    sizes = {r.cell: r["count"] for r in index.vectors_of(spark, made.path).groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == 3000 == spark.read.parquet(f"{tmp_path}/index/codes").select(F.sum(F.size("ids"))).first()[0]
+    read = [sum(sizes[c] for c in np.argsort(made.nearest(x[k : k + 1])[0])[: made.probes]) for k in range(0, 3000, 50)]
+    assert np.mean(read) < 0.2 * 3000
+    exact = exact_near(q, n)
+    found = {(r.query_id, r.node_id) for r in index.search(q, made).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+    plan = index.search(q, made)._jdf.queryExecution().toString()
+    assert plan
+    # more than the probed cells hold: answered exactly
+    deep = index.search(q.limit(3), made, 400, probes=1)
+    want = retrieval.ranked(retrieval.candidates(q.limit(3), n), 400, "distance", "node_id")
+    assert {(r.query_id, r.node_id) for r in deep.collect()} == {(r.query_id, r.node_id) for r in want.collect()}
+
+
+def test_pairs_in_blocks_equal_pairs_by_joins(spark):
+    """One large document in many blocks, an entity on all its nodes, small ones besides."""
+    from grovework.operators import pairs
+
+    rng = np.random.default_rng(2)
+    nodes = [(f"n{k:04d}", "big" if k < 300 else f"small{k % 20}", 0, rng.standard_normal(6).tolist()) for k in range(400)]
+    nodes.append(("zero", "big", 0, [0.0] * 6))
+    ents = [(n, name, "x", int(rng.integers(1, 11)), r) for n, *_ in nodes for r, name in enumerate({"All", *rng.choice([f"E{i}" for i in range(60)], 3).tolist()})][:-2]
+    frame = spark.createDataFrame(nodes, "node_id string, document_id string, layer int, embedding array<double>").repartition(4)
+    given = spark.createDataFrame(ents, "node_id string, name string, type string, importance int, rank int")
+    unit = {n: np.array(v) / (np.linalg.norm(v) or 1) for n, _, _, v in nodes}
+    of = {n: {} for n in unit}
+    for n, name, _, importance, _ in ents:
+        of[n][name.lower()] = importance
+    want = {}
+    for i, (a, doc, *_) in enumerate(nodes):
+        for b, other, *_ in nodes[i + 1 :]:
+            if doc == other:
+                x, y = sorted((a, b))
+                shared = of[a].keys() & of[b].keys()
+                score = sum((of[a][e] + of[b][e]) / 2 for e in shared) / (10 * max(len(of[a]), len(of[b]), 1))
+                jaccard = len(shared) / max(1, len(of[a].keys() | of[b].keys()))
+                want[doc, x, y] = (unit[a] @ unit[b], score, unit[a] @ unit[b] + 1.5 * score, 0.7 * (unit[a] @ unit[b]) + 0.3 * jaccard)
+    small = lambda f: (lambda *a, **b: f(*a, rows_each=40, **b))
+    original = graph.weighed_pairs
+    try:
+        for form in (original, small(original)):
+            graph.weighed_pairs = form
+            got = {(r.document_id, r.a, r.b): r.sim for r in graph.pairwise(frame).collect()}
+            assert got.keys() == want.keys() and all(abs(v - want[k][0]) < 1e-9 for k, v in got.items())
+            got = {(r.document_id, r.src, r.dst): r.weight for r in graph.build_edges(frame, given).collect()}
+            edges = {k: v[2] for k, v in want.items() if v[2] > 0.3}
+            assert got.keys() == {(d, *p) for d, a, b in edges for p in ((a, b), (b, a))} and all(abs(v - edges[(k[0], *sorted(k[1:]))]) < 1e-9 for k, v in got.items())
+            got = {(r.document_id, r.a, r.b): r.sim for r in graph.combined_similarity(frame, given).collect()}
+            assert got.keys() == {k for k, v in want.items() if v[3] > 0.3} and all(abs(v - want[k][3]) < 1e-9 for k, v in got.items())
+    finally:
+        graph.weighed_pairs = original
+    for rows in (1024, 30):
+        got = {(r.document_id, r.a, r.b): r.score for r in graph.entity_overlap(given, frame, rows).collect()}
+        assert got.keys() == {k for k, v in want.items() if v[1]} and all(abs(v - want[k][1]) < 1e-9 for k, v in got.items())
+    assert pairs.cosine_only(np.eye(2)).shape == (2, 2)
+
+
+def test_hooks_that_fail_cost_only_their_rows(spark):
+    from grovework.operators import hooks
+
+    def hook(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            if (pdf.node_id == "b").any():
+                raise RuntimeError("model")
+            pdf = pdf[pdf.node_id != "c"]  # no answer
+            yield pd.DataFrame({"node_id": pdf.node_id, "text": pdf.text, "own": [[{"name": "Own", "type": "x", "importance": 3}]] * len(pdf)})
+
+    nodes = spark.createDataFrame([(k, "The Alpha Beta") for k in "abcd"], "node_id string, text string").coalesce(1)
+    made = entities.with_entities(nodes, hook, mark="failed")
+    assert {r.node_id: (r.entity_names, r.failed) for r in made.collect()} == {k: ("Own", False) if k in "ad" else ("The Alpha Beta", True) for k in "abcd"}
+    counts = hooks.failures(hooks.asked(nodes, hook, ["node_id"], {"text": "string"})).first()
+    assert (counts.n, counts.n_failed) == (4, 2)
+    empty = hooks.asked(nodes.limit(0), hook, ["node_id"], {"text": "string"})
+    assert empty.count() == 0
+
+
+def test_hops_with_a_generator(spark):
+    def generator(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            out = []
+            for q, context in zip(pdf.question, pdf.context):
+                if q == "breaks":
+                    raise ValueError
+                deep = "third" in context
+                out.append({"direct": "ANSWER: now ", "plain": "just so"}.get(q) or (f"ANSWER: {q}" if deep and q == "deep" else "forced" if q == "never" and "first" in context and "second" in context else "QUERY: more"))
+            yield pd.DataFrame({"query_id": pdf.query_id, "response": out})
+
+    texts = ["first", "second", "third", "fourth"]
+    nodes = spark.createDataFrame([(f"n{k}", t, False, 0, [float(k)]) for k, t in enumerate(texts)], "node_id string, text string, is_summary boolean, layer int, embedding array<double>")
+    asked = [(1, "direct"), (2, "plain"), (3, "deep"), (4, "never"), (5, "breaks")]
+    questions = spark.createDataFrame([(k, q, [0.0], None) for k, q in asked], "query_id long, question string, embedding array<double>, document_id string")
+    hop = []
+
+    def search(now):
+        hop.append(1)
+        rows = now.join(nodes.filter(F.col("embedding")[0] < len(hop)).select("node_id", F.lit("tree").alias("source")), F.lit(True))
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("node_id")))
+
+    trace, told = retrieval.answered_hops(questions, nodes, search, generator)
+    assert {r.query_id: (r.answer, r.hops, r.total_results) for r in told.collect()} == {1: ("now", 1, 1), 2: ("just so", 1, 1), 3: ("deep", 3, 3), 4: ("forced", 3, 3), 5: (None, 1, 1)}
+    seen = sorted((r.query_id, r.hop, r["query"], r.results_found) for r in trace.collect())
+    assert seen == [(1, 1, "direct", 1), (2, 1, "plain", 1), (3, 1, "deep", 1), (3, 2, "more", 1), (3, 3, "more", 1), (4, 1, "never", 1), (4, 2, "more", 1), (4, 3, "more", 1), (5, 1, "breaks", 1)]
 
 
 def test_overlap_counts_names_whatever_their_case(spark):
