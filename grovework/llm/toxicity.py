@@ -32,9 +32,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,11 +99,11 @@ def counterfactuals(words: Sequence[str], groups: Sequence[Sequence[str]] = IDEN
     return [[moved(w, by) for w in words] for by in range(1, longest)]
 
 
-def mentions(words: Sequence[str], groups: Sequence[Sequence[str]], each: int) -> list[list[str]]:
-    """The text with one of `each` terms put in that it doesn't hold, by a hash of the text."""
+def mentions(words: Sequence[str], groups: Sequence[Sequence[str]], each: int) -> list[str]:
+    """`each` terms to put into the text, that it doesn't hold, by a hash of the text."""
     terms = sorted({t for g in groups for t in g} - set(words))
     start = xxhash.xxh64_intdigest(" ".join(words))
-    return [[*words, terms[(start + k * (len(terms) // each + 1)) % len(terms)]] for k in range(min(each, len(terms)))]
+    return [terms[(start + k * (len(terms) // each + 1)) % len(terms)] for k in range(min(each, len(terms)))]
 
 
 def vector(words: Sequence[str], index: dict[str, int]) -> Counter:
@@ -132,32 +134,39 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.logit(text)))))
 
 
-def _matrix(rows: Sequence[Counter], width: int):
-    """Compressed rows, and products with them and their transpose."""
-    ends = np.cumsum([len(r) for r in rows])
-    columns = np.fromiter((k for r in rows for k in r), np.int64, ends[-1] if len(rows) else 0)
-    values = np.fromiter((v for r in rows for v in r.values()), float, len(columns))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    times = lambda w: np.bincount(owner, values * w[columns], len(rows))
-    back = lambda g: np.bincount(columns, values * g[owner], width)
-    return times, back, np.bincount(columns, values * values, width)
-
-
-def fit(rows: Sequence[Counter], labels: np.ndarray, pairs: Sequence[tuple[int, Counter]], width: int, l1: float, l2: float, charge: float, terms: int = 1, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Bias and weights by accelerated proximal gradient steps. pairs: a row's
-    number and its counterfactual's features. The mean squared change of a
-    term's pairs is charged, for each of `terms`."""
-    n = len(rows)
-    differences = []
-    for i, other in pairs:
-        d = Counter(rows[i])
-        d.subtract(other)
-        differences.append(Counter({k: v for k, v in d.items() if v}))
-    times, back, squares = _matrix(rows, width)
-    d_times, d_back, d_squares = _matrix(differences, width)
-    per_pair = charge * terms / max(1, len(differences))
+class Rows(NamedTuple):
+    """Sparse rows: how many entries each has, their columns and values."""
+
+    lengths: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> Rows:
+        """From list columns k and v."""
+        k, v = (table[c].combine_chunks() for c in ("k", "v"))
+        return Rows(np.diff(k.offsets.to_numpy()), k.flatten().to_numpy().astype(np.int64), v.flatten().to_numpy().astype(float))
+
+
+def _matrix(rows: Rows, width: int):
+    """Products with the rows and their transpose, sums of squares by column, sums by row."""
+    n = len(rows.lengths)
+    owner = np.repeat(np.arange(n), rows.lengths)
+    times = lambda w: np.bincount(owner, rows.values * w[rows.columns], n)
+    back = lambda g: np.bincount(rows.columns, rows.values * g[owner], width)
+    return times, back, np.bincount(rows.columns, rows.values**2, width), np.bincount(owner, rows.values, n)
+
+
+def fit(rows: Rows, labels: np.ndarray, changes: Rows, width: int, l1: float, l2: float, charge: float, terms: int = 1, steps: int = 400) -> tuple[float, np.ndarray]:
+    """Bias and weights by accelerated proximal gradient steps. changes: what
+    a counterfactual has more of each feature than its text. The mean squared
+    change of the logit for a term is charged, for each of `terms`."""
+    n = len(labels)
+    times, back, squares, sums = _matrix(rows, width)
+    d_times, d_back, d_squares, _ = _matrix(changes, width)
+    per_pair = charge * terms / max(1, len(changes.lengths))
     # a step for each weight of its own: the features are sparse
-    reach = max(1.0, max((sum(r.values()) for r in rows), default=1))
+    reach = max(1.0, sums.max(initial=1.0))
     step = 1 / (0.25 * np.sqrt(squares * n) / n * math.sqrt(reach) + 2 * per_pair * d_squares * math.sqrt(reach) + l2 + 1e-3)
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias, weights = math.log(share / (1 - share)), np.zeros(width)
@@ -241,25 +250,28 @@ def learn(
             out = []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(t)
-                versions = [words, *counterfactuals(words, groups), *mentions(words, groups, mentions_each)]
-                for i, version in enumerate(versions):
-                    own = vector(version, index)
-                    out.append((y, i, list(own), list(own.values())))
+                own = vector(words, index)
+                out.append((y, False, own))
+                for version in counterfactuals(words, groups):
+                    change = vector(version, index)
+                    change.subtract(own)
+                    out.append((y, True, {k: v for k, v in change.items() if v}))
+                out += [(y, True, vector([term], index)) for term in mentions(words, groups, mentions_each)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.list_(pa.int32())), pa.array([r[3] for r in out], pa.list_(pa.int32()))],
-                names=["y", "version", "k", "v"],
+                [
+                    pa.array([r[0] for r in out], pa.int32()),
+                    pa.array([r[1] for r in out], pa.bool_()),
+                    pa.array([list(r[2]) for r in out], pa.list_(pa.int32())),
+                    pa.array([list(r[2].values()) for r in out], pa.list_(pa.int32())),
+                ],
+                names=["y", "change", "k", "v"],
             )
 
-    found = rows.mapInArrow(described, "y int, version int, k array<int>, v array<int>").toArrow()
-    texts, y, pairs = [], [], []
-    for own, version, k, v in zip(*(c.to_pylist() for c in found.columns)):
-        if version:  # follows its text
-            pairs.append((len(texts) - 1, Counter(dict(zip(k, v)))))
-        else:
-            texts.append(Counter(dict(zip(k, v))))
-            y.append(own)
-    bias, weights = fit(texts, np.array(y, float), pairs, len(names), l1, l2, charge, len({t for g in groups for t in g}))
-    return Model(bias, {f: float(w) for f, w in zip(names, weights) if w}, len(pairs))
+    # a row for each labelled text, with its features, and few features for each change
+    found = rows.mapInArrow(described, "y int, change boolean, k array<int>, v array<int>").toArrow()
+    texts, changes = found.filter(pc.invert(found["change"])), Rows.of(found.filter(found["change"]))
+    bias, weights = fit(Rows.of(texts), texts["y"].to_numpy().astype(float), changes, len(names), l1, l2, charge, len({t for g in groups for t in g}))
+    return Model(bias, {f: float(w) for f, w in zip(names, weights) if w}, len(changes.lengths))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",), column: str = "score") -> DataFrame:
