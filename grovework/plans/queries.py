@@ -551,6 +551,14 @@ def f06_knn_graph(spark, d):
     return GR.knn_graph(W.nodes(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
+@query()
+def f06_knn_descent(spark, d):
+    """Approximate: tests hold its recall against f06_knn_graph."""
+    from grovework.operators.descent import approximate_knn_graph
+
+    return approximate_knn_graph(W.nodes(spark, d)).withColumn("sim", F.round("sim", 6))
+
+
 @query(with_(NODES, ENTS, EDGES) + "SELECT document_id, count(*) // 2 AS n_edges FROM edges GROUP BY 1")
 def f07_edge_stats(spark, d):
     return GR.edge_stats(edges_of(spark, d))
@@ -673,9 +681,26 @@ def h02_summarize_by_hook(spark, d):
     return made.select("document_id", F.regexp_extract("cluster_id", r"C(\d+)$", 1).cast("int").alias("cluster"), "text", F.col("summary_failed").alias("failed"))
 
 
-@query()
+def summaries_sql(layer: int) -> str:
+    """One layer of trees over planted vectors: blocks are the clusters, documents of fewer than three nodes have none."""
+    return f"""m{layer} AS (SELECT *, count(*) OVER (PARTITION BY document_id) AS of_document FROM t{layer}),
+c{layer} AS (SELECT document_id, block, array_to_string(list_transform(list(text ORDER BY chunk_index)[1:3], lambda t: string_split(t, '.')[1] || '.'), ' ') AS text, string_agg(node_id, ',' ORDER BY chunk_index) AS kids,
+  dense_rank() OVER (PARTITION BY document_id ORDER BY min(node_id)) - 1 AS cluster FROM m{layer} WHERE of_document >= 3 GROUP BY document_id, block HAVING count(*) >= 2),
+e{layer} AS (SELECT document_id, block, string_agg(name, ',' ORDER BY rank) AS entity_names FROM (
+  SELECT *, row_number() OVER (PARTITION BY document_id, block ORDER BY importance * n DESC, seen) AS rank FROM (
+    SELECT document_id, block, lower(name) AS key, count(*) AS n, max(importance) AS importance, arg_min(name, (node_id, rank)) AS name, min((node_id, rank)) AS seen FROM ents JOIN t{layer} USING (node_id) GROUP BY ALL))
+  WHERE rank <= 10 GROUP BY ALL),
+t{layer + 1} AS (SELECT concat(document_id, '_L{layer + 1}_summary', row_number() OVER (PARTITION BY document_id ORDER BY cluster) - 1) AS node_id, document_id, {layer + 1} AS layer, text, coalesce(entity_names, '') AS entity_names, kids
+  FROM c{layer} LEFT JOIN e{layer} USING (document_id, block))"""
+
+
+PLANTED_BASE = "t0 AS (SELECT node_id, document_id, layer, chunk_index, block, text FROM planted WHERE layer = 0)"
+
+
+@query(with_(NODES, ENTS, PLANTED, PLANTED_BASE, summaries_sql(0)) + "SELECT * FROM t1", ints="layer")
 def h03_build_layer(spark, d):
-    made = H.build_layer(W.described(spark, d).filter("layer = 0"), 0)
+    base = E.with_entities(W.planted(spark, d).filter("layer = 0").drop("block"))
+    made = H.build_layer(base, 0, lambda nodes, entities, layer: G.communities(GR.pairwise(nodes, 0.3), nodes))
     return made.select("node_id", "document_id", "layer", "text", "entity_names", F.array_join("child_ids", ",").alias("kids"))
 
 
@@ -686,6 +711,14 @@ def h04_build_tree(spark, d):
     return tree.select("node_id", "document_id", "layer", "text", "entity_names", F.array_join("child_ids", ",").alias("kids"))
 
 
+@query(with_(NODES, ENTS, NAMES, PLANTED, PLANTED_BASE, summaries_sql(0)) + """SELECT node_id, document_id, layer, text, entity_names, '' AS kids FROM described WHERE layer = 0 UNION ALL SELECT * FROM t1""", ints="layer")
+def h04_tree_of_planted(spark, d):
+    """The whole of `build_tree` without given clusters or entities, one layer high; the communities are those planted."""
+    base = W.planted(spark, d).filter("layer = 0").drop("block")
+    tree, _ = H.build_tree(base, max_depth=1, cluster=lambda nodes, entities, layer: G.communities(GR.pairwise(nodes, 0.3), nodes))
+    return tree.select("node_id", "document_id", "layer", "text", "entity_names", F.array_join("child_ids", ",").alias("kids"))
+
+
 @query(with_(NODES, "base AS (SELECT * FROM nodes WHERE layer = 0 AND document_id IN (SELECT document_id FROM nodes WHERE layer = 2))") + """SELECT document_id, 0 AS layer, count(*) AS n FROM base GROUP BY 1
   UNION ALL SELECT document_id, 1, count(*) FROM (SELECT document_id, chunk_index % 4 AS block FROM base GROUP BY ALL HAVING count(*) >= 2)
   WHERE document_id IN (SELECT document_id FROM base GROUP BY 1 HAVING count(*) >= 3) GROUP BY 1""", ints="layer")

@@ -424,3 +424,37 @@ def test_members_are_added_and_removed(spark):
     more = catalog.add_members(members, spark.createDataFrame([("g", "b"), ("h", "a")], schema))
     assert sorted(map(tuple, more.collect())) == [("g", "a"), ("g", "b"), ("h", "a")]
     assert sorted(map(tuple, catalog.remove_members(more, spark.createDataFrame([("g", "a"), ("x", "y")], schema)).collect())) == [("g", "b"), ("h", "a")]
+
+
+def test_descent_finds_the_nearest_with_far_fewer_comparisons(spark):
+    from grovework.operators import descent
+
+    rng = np.random.default_rng(0)
+    rows = [("big", f"n{k:05d}", v) for k, v in enumerate(rng.standard_normal((2500, 6)).tolist())]
+    rows += [("small", f"s{k}", v) for k, v in enumerate(rng.standard_normal((6, 6)).tolist())] + [("one", "o", [1.0] * 6)]
+    nodes = spark.createDataFrame(rows, "document_id string, node_id string, embedding array<double>")
+    near, compared = descent.descended(nodes)
+    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
+    found = {(r.v, r.u) for r in near.withColumn("k", place).filter("k <= 10").collect()}
+    exact = {(r.src, r.dst) for r in graph.top_neighbours(graph.mirrored(graph.pairwise(nodes).withColumnRenamed("sim", "weight")), 10).collect()}
+    assert len(found & exact) >= 0.9 * len(exact) and compared < 0.35 * 2500 * 2499 / 2
+    assert {p for p in exact if p[0][0] == "s"} <= found and not any("o" in p for p in found)
+
+
+@pytest.mark.parametrize("name", ["d04_pairwise_similarity", "f02_entity_overlap", "f03_build_edges", "f08_combined_similarity", "g01_communities", "h06_tree_stats"])
+def test_documents_of_two_hundred_nodes_equal_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = entry.queries()[name](spark, sf)
+    want = con.sql(entry.oracle_sql()[name])
+    order = [want.columns.index(c) for c in sorted(want.columns)]
+    same = lambda rows: sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows)
+    assert same(tuple(r[c] for c in sorted(got.columns)) for r in got.collect()) == same(tuple(r[k] for k in order) for r in want.fetchall())
