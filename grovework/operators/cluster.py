@@ -19,6 +19,7 @@ same rounds as joins over all their edges, in whatever number of tasks.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -317,8 +318,12 @@ def cluster_gmm(nodes: DataFrame, k: int | None = None, soft: bool = False, dims
 
 
 def cluster_adaptive(nodes: DataFrame, entities: DataFrame, layer: int = 0, method: str = "communities", soft: bool = False) -> DataFrame:
-    """(document_id, node_id, cluster, weight) by communities, or by a mixture."""
+    """(document_id, node_id, cluster, weight) by communities, or by a mixture;
+    by a mixture too where the communities fail."""
     if method == "communities":
-        found = cluster_communities(nodes, entities, layer)
-        return soft_membership(nodes, found) if soft else membership(found)
+        try:
+            found = written(cluster_communities(nodes, entities, layer), "communities")
+            return soft_membership(nodes, found) if soft else membership(found)
+        except Exception as error:  # whatever the graph's data brings about
+            warnings.warn(f"communities failed, a mixture stands in: {error}", stacklevel=2)
     return nodes.select("document_id", "node_id").join(cluster_gmm(nodes, soft=soft), "node_id").select("document_id", "node_id", "cluster", "weight")

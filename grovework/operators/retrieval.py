@@ -2,8 +2,10 @@
 
 Questions carry query_id, question, embedding and document_id (null: all
 documents). Scoped questions join nodes on document_id. Questions without a
-document meet all nodes block by block: nodes are dealt into blocks, questions
-go to each block, and each task keeps the best of its own before they meet.
+document meet all nodes: where they are few (their size is checked) they go to
+the nodes; otherwise nodes are dealt into blocks and questions go to each block.
+Each task keeps the best of its own before they meet. Only ids and vectors take
+part in that; texts join what was found.
 """
 
 from __future__ import annotations
@@ -101,18 +103,39 @@ def matches(names: Column, wanted: Column) -> Column:
     return F.size(F.filter(wanted, lambda e: F.contains(F.lower(names), e)))
 
 
-def candidates(questions: DataFrame, nodes: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Question and node rows with distance, for scoped and global questions."""
+def few(questions: DataFrame, most_bytes: int = 32 << 20) -> bool:
+    """Whether all questions with their vectors are small enough to be sent to each task."""
+    row = questions.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+    return row.n * (8 * max(row.d, 0) + 512) <= most_bytes
+
+
+def candidates(questions: DataFrame, nodes: DataFrame, condition: Column | None = None, small: bool | None = None) -> DataFrame:
+    """Question and node rows with distance, for scoped and global questions.
+    Where the questions are few, nodes stay where they are."""
     q = questions.select([c for c in questions.columns if c not in ("embedding", "document_id")] + [doubles(F.col("embedding")).alias("q_vector"), F.col("document_id").alias("q_document")])
     n = nodes if condition is None else nodes.filter(condition)
     scoped = q.filter("q_document is not null").join(n, F.col("q_document") == F.col("document_id"))
-    blocks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    everywhere = q.filter("q_document is null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    every = n.withColumn("block", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int")).join(everywhere, "block")
+    free = q.filter("q_document is null")
+    if few(questions) if small is None else small:
+        every = n.join(F.broadcast(free), F.lit(True))  # its size was checked
+    else:
+        blocks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        everywhere = free.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        every = n.withColumn("block", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int")).join(everywhere, "block")
     every = scoped.unionByName(every.select(*scoped.columns))
     return every.withColumn("distance", squared_l2(doubles(F.col("embedding")), F.col("q_vector"))).drop("embedding", "q_vector", "q_document")
 
 
+def nearest(questions: DataFrame, nodes: DataFrame, k: Column | int, condition: Column | None = None, by: Sequence[str] = ("query_id",), most: int = MOST_K) -> DataFrame:
+    """Questions with their k nearest nodes, whole rows with distance and rank.
+    Only ids and vectors are ranked; the rest of the nodes joins what was found."""
+    small = few(questions)
+    n = nodes if condition is None else nodes.filter(condition)
+    found = ranked(candidates(questions, n.select("node_id", "document_id", "layer", "embedding"), small=small), k, "distance", "node_id", by=by, most=most)
+    rest = nodes.drop("document_id", "layer", "embedding")
+    return rest.join(F.broadcast(found) if small else found, "node_id")  # k rows for each of few questions
+
+
 def ranked(rows: DataFrame, k: Column | int, *order: Column | str, by: Sequence[str] = ("query_id",), most: int = MOST_K) -> DataFrame:
     """The first k of each group. Where k is a column, it is `most` at the most:
     only by a literal bound can Spark cut each task's rows before the shuffle."""
@@ -124,7 +147,7 @@ def ranked(rows: DataFrame, k: Column | int, *order: Column | str, by: Sequence[
 def collapsed_tree(questions: DataFrame, nodes: DataFrame, top_k: int | Column = 10, boost: bool = True, weight: Column | None = None) -> DataFrame:
     """The 2k nearest of all layers, re-ranked by layer weight and entity boost
     down to k. With `boost`, questions need q_entities."""
-    near = ranked(candidates(questions, nodes, F.col("layer") >= 0), top_k * 2, "distance", "node_id", most=2 * MOST_K).drop("rank")
+    near = nearest(questions, nodes, top_k * 2, F.col("layer") >= 0, most=2 * MOST_K).drop("rank")
     adjusted = F.col("distance") if weight is None else F.col("distance") * weight
     if boost:
         m = matches(F.col("entity_names"), F.col("q_entities"))
@@ -134,7 +157,7 @@ def collapsed_tree(questions: DataFrame, nodes: DataFrame, top_k: int | Column =
 
 
 def layer_search(questions: DataFrame, nodes: DataFrame, layer: int, top_k: int = 5) -> DataFrame:
-    return ranked(candidates(questions, nodes, F.col("layer") == layer), top_k, "distance", "node_id")
+    return nearest(questions, nodes, top_k, F.col("layer") == layer)
 
 
 def store_search(questions: DataFrame, nodes: DataFrame, n: int = 5, layer: int | None = None, content: str | None = None) -> DataFrame:
@@ -142,11 +165,11 @@ def store_search(questions: DataFrame, nodes: DataFrame, n: int = 5, layer: int
     keep = F.lit(True) if layer is None else F.col("layer") == layer
     if content in ("image", "table"):
         keep = keep & F.col(f"has_{content}s")
-    return ranked(candidates(questions, nodes, keep), n, "distance", "node_id")
+    return nearest(questions, nodes, n, keep)
 
 
 def tree_traversal(questions: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
-    rows = ranked(candidates(questions, nodes, F.col("layer") >= 0), k, "distance", "node_id", by=("query_id", "layer")).drop("rank")
+    rows = nearest(questions, nodes, k, F.col("layer") >= 0, by=("query_id", "layer")).drop("rank")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node_id")))
 
 

@@ -878,9 +878,13 @@ ADAPTIVE = (
 
 
 def stored(spark, d):
-    """Questions, nodes, edges and index as tables: several branches read each."""
-    made = (W.asked(spark, d), W.described(spark, d), edges_of(spark, d), W.index(spark, d))
-    return [GR.written(rows, name) for rows, name in zip(made, ("asked", "nodes", "edges", "index"))]
+    """Questions, nodes, edges and index as tables: several branches read each.
+    Graphs are made for the documents that are asked about only."""
+    asked, nodes = GR.written(W.asked(spark, d), "asked"), GR.written(W.described(spark, d), "nodes")
+    wanted = nodes.join(asked.select("document_id").distinct(), "document_id", "left_semi")
+    given = H.exploded_entities(wanted)
+    edges = GR.build_edges(wanted, W.entities(spark, d).join(wanted.select("node_id"), "node_id", "left_semi"))
+    return [asked, nodes, GR.written(edges, "edges"), GR.written(E.entity_index(given, wanted), "index")]
 
 
 def adaptive_of(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grovework.functions import text as T
 from grovework.functions.vectors import cosine
-from grovework.operators import chunking, entities, graph, retrieval, tree
+from grovework.operators import chunking, cluster, entities, graph, retrieval, tree
 from grovework.sources import nodes as sources
 from grovework.streaming import ingest
 
@@ -458,3 +458,31 @@ def test_documents_of_two_hundred_nodes_equal_sql(spark, name):
     order = [want.columns.index(c) for c in sorted(want.columns)]
     same = lambda rows: sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows)
     assert same(tuple(r[c] for c in sorted(got.columns)) for r in got.collect()) == same(tuple(r[k] for k in order) for r in want.fetchall())
+
+
+def test_few_and_many_questions_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    nodes = [(f"n{k:03d}", f"d{k % 4}", k % 3, f"text {k}", rng.integers(0, 3, 3).astype(float).tolist()) for k in range(200)]
+    n = spark.createDataFrame(nodes, "node_id string, document_id string, layer int, text string, embedding array<double>")
+    q = spark.createDataFrame([(k, "q", rng.standard_normal(3).tolist(), "d1" if k % 2 else None) for k in range(12)], "query_id long, question string, embedding array<double>, document_id string")
+    rows = lambda: sorted((r.query_id, r.node_id, r.text, r.rank) for r in retrieval.layer_search(q, n, 1, 4).collect())
+    small = rows()
+    assert retrieval.few(q) and not retrieval.few(q, 100) and len(small) == 48
+    monkeypatch.setattr(retrieval, "few", lambda questions: False)
+    assert rows() == small
+    plan = retrieval.layer_search(q, n, 1, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "WindowGroupLimit" in plan
+    assert retrieval.layer_search(q.limit(0), n, 1).count() == 0
+
+
+def test_a_mixture_stands_in_where_communities_fail(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = spark.createDataFrame([("d", f"n{k}", rng.standard_normal(3).tolist()) for k in range(40)], "document_id string, node_id string, embedding array<double>")
+
+    def fails(*_):
+        raise ValueError("no graph")
+
+    monkeypatch.setattr(cluster, "cluster_communities", fails)
+    with pytest.warns(UserWarning):
+        made = cluster.cluster_adaptive(n, None)
+    assert {r.node_id for r in made.collect()} == {f"n{k}" for k in range(40)}
