@@ -104,7 +104,7 @@ def test_a_folder_of_mixed_files(spark, tmp_path):
 
 
 def test_files_may_arrive_in_any_order(spark, tmp_path):
-    texts = {1: "Oldest words.", 2: "Middle words.", 3: "Newest words."}
+    texts, start = {1: "Oldest words.", 2: "Middle words.", 3: "Newest words."}, time.time() - 10_000
     for n, order in enumerate(itertools.permutations(texts)):
         if n % 2:
             continue
@@ -113,8 +113,7 @@ def test_files_may_arrive_in_any_order(spark, tmp_path):
         for age in order:
             path = f"{source}/f{age}.parquet"
             spark.createDataFrame([("a", texts[age] if age < 3 or n else "")], "document_id string, text string").toPandas().to_parquet(path)
-            at = time.time() - 10_000 + age
-            os.utime(path, (at, at))
+            os.utime(path, (start + age, start + age))
             ingest.stream_ingest(spark, source, target, state).awaitTermination()
         # once the newest text is empty: then nothing of the older ones may stay
         assert [r.text for r in ingest.current(spark, target).collect()] == [texts[3] if n else ""]
