@@ -65,15 +65,20 @@ NAME = re.compile(r"[A-Za-z][^\s/>]*+")
 ATTRIBUTE = re.compile(r"[\s/]*+(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'])([^\s>]*+)))?+")
 OPEN_QUOTE = re.compile(r"\s*+=\s*+[\"']")
 BETWEEN = re.compile(r"[\s/]*+")
-NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d+)", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parts")
+    __slots__ = ("tag", "attributes", "parts", "seen")
 
-    def __init__(self, tag: str, attributes: str = ""):
+    def __init__(self, tag: str, attributes: str = "", seen: bool = True):
+        """`seen` is what the element inherits: unlike display, visibility can be
+        set back by a child, and what is unseen keeps its place."""
         self.tag, self.attributes, self.parts = tag, attributes, []
+        own = VISIBILITY.findall(self.named().get("style", "")) if "visibility" in attributes.lower() else []
+        self.seen = own[-1].lower() == "visible" if own else seen
 
     def shown(self) -> bool:
         if self.tag in HIDDEN:
@@ -172,7 +177,8 @@ def tree(html: str) -> Node:
             stack.pop()
         if not tag:
             begun = begun or stack[-1] is root and bool(own.strip())
-            stack[-1].parts.append(unescape(own))
+            if stack[-1].seen:
+                stack[-1].parts.append(unescape(own))
             continue
         if tag == "/br":
             tag = "br"
@@ -191,14 +197,17 @@ def tree(html: str) -> Node:
         begun = begun or tag not in OF_HEAD and tag != "head"
         if tag in ENDS:
             end(ENDS[tag], WALLS.get(tag, frozenset()))
-        node = Node(tag, own)
+        node = Node(tag, own, stack[-1].seen)
         stack[-1].parts.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
-            node.parts.append(unescape(html[at : close.start() if close else len(html)]))
+            if node.seen:
+                node.parts.append(unescape(html[at : close.start() if close else len(html)]))
             over = html.find(">", close.end()) if close else -1
             jump = over + 1 if over >= 0 else len(html)
-        elif tag not in VOID and not (own.endswith("/") and any(x.tag in FOREIGN for x in stack)) and (len(stack) != DEEPEST or not node.shown()):
+        elif tag not in VOID and not (own.endswith("/") and any(x.tag in FOREIGN for x in stack)) and (len(stack) != DEEPEST or not node.shown() or not node.seen):
+            if len(stack) == DEEPEST and not node.seen:
+                node.attributes = "hidden"
             stack.append(node)  # past the depth only within a hidden one, which is not rendered
 
 
@@ -339,6 +348,19 @@ def _table_rows(group: Node, rows: list[list[Cell]]) -> None:
             rows.append(cells)
 
 
+def _numbered(node: Node, name: str, otherwise: int) -> int:
+    """The number in an attribute of a list or item."""
+    digits = NUMBER.match(node.named().get(name, "")) if name in node.attributes.lower() else None
+    return int(digits[1]) if digits else otherwise
+
+
+def _numbering(node: Node) -> tuple[int, int]:
+    """First number and step of an ordered list; a reversed one counts down to 1."""
+    back = "reversed" in node.attributes.lower() and "reversed" in node.named()
+    items = sum(not isinstance(part, str) and part.tag == "li" and part.shown() for part in node.parts) if back else 1
+    return _numbered(node, "start", items), -1 if back else 1
+
+
 def render(node: Node, flow: Flow, pre: bool = False) -> None:
     tag = node.tag
     if tag == "br":
@@ -359,7 +381,7 @@ def render(node: Node, flow: Flow, pre: bool = False) -> None:
     nested = tag in ("ul", "ol") and bool(flow.indent or flow.mark)
     if block:
         flow.apart(1 if tag in APART and not nested else 0)
-    number = int(m[1]) if tag == "ol" and (m := START.search(node.attributes)) else 1
+    number, step = _numbering(node) if tag == "ol" else (1, 1)
     closed = tag == "details" and not re.search(r"\bopen\b", node.attributes, re.I)
     for part in node.parts:
         if isinstance(part, str):
@@ -378,8 +400,9 @@ def render(node: Node, flow: Flow, pre: bool = False) -> None:
                 flow.flush()
                 before = flow.indent
                 if part.tag == "li":
+                    number = _numbered(part, "value", number) if tag == "ol" else number
                     flow.indent, flow.mark = before + flow.mark, f"{number}. " if tag == "ol" else "- "
-                    number += 1
+                    number += step
                 else:
                     flow.indent = before + "  "
                 render(part, flow, pre)

@@ -292,6 +292,19 @@ def test_html_keeps_all_visible_text():
     assert lines[0].index("one") == lines[-1].index("two") and " ".join(lines).count("word") == 12
 
 
+def test_html_visibility_and_numbering():
+    shown = html_layout.text_of
+    assert shown("<div style='visibility:hidden'>no<b style='visibility: visible'>yes<i>too</i></b>no</div>") == "yestoo"
+    assert shown("<div style='visibility:visible;visibility:hidden'>no</div><p data-visibility=hidden>yes<p style='content-visibility:hidden'>no") == "yes"
+    assert shown("<table><tr><td>aa<td style=visibility:hidden>bb<td>cc<tr><td>d<td>e<td>f</table>") == "aa     cc\nd   e  f"
+    assert shown("<ol><li>a<li style=visibility:hidden>b<li>c</ol>") == "1. a\n3. c"
+    assert shown("<ol reversed><li>a<li hidden>no<li>b<li>c</ol>") == "3. a\n2. b\n1. c"
+    assert shown("<ol start=5 reversed><li>a<li value=9>b<li>c</ol>") == "5. a\n9. b\n8. c"
+    assert shown("<ol start=x><li value=''>a<li value=-2>b<li>c</ol><ul><li value=4>d</ul>") == "1. a\n-2. b\n-1. c\n\n- d"
+    assert shown("<b>" * 300 + "<i style=visibility:hidden>" + "<u>no" * 3000 + "</i>yes") == "yes"
+    assert shown("<div style=visibility:hidden><textarea>no</textarea><select><option>no</select></div>") == ""
+
+
 def test_language_profiles(spark, odd, nothing):
     r = np.random.default_rng(4)
     stock = {"en": "the and ing ion that with".split(), "de": "der und ung ich sch ein".split(), "fr": "les que eau oir dans pour".split()}
