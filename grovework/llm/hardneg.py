@@ -85,10 +85,12 @@ def assigned(anchors: DataFrame, centres: np.ndarray) -> DataFrame:
     return anchors.select("id", "label", "vec").mapInArrow(run, "id long, label int, vec array<long>, cluster int, angle double, norm double")
 
 
-def bounds(rows: DataFrame, centres: np.ndarray, reach: np.ndarray) -> DataFrame:
-    """(cluster, bound, id, label, vec): each row for each cluster that has anchors."""
+def bounds(rows: DataFrame, centres: np.ndarray, reach: np.ndarray, whole: bool = True) -> DataFrame:
+    """(cluster, bound), if `whole` with id, label and vec as bytes: each row for
+    each cluster that has anchors."""
     size = centres.shape[1]
     used = np.flatnonzero(reach >= 0)
+    names = ["cluster", "bound", "id", "label", "vec"][: 5 if whole else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
@@ -97,9 +99,10 @@ def bounds(rows: DataFrame, centres: np.ndarray, reach: np.ndarray) -> DataFrame
             length = np.linalg.norm(x.astype(float), axis=1)
             bound = (np.cos(away) + SLACK) * length[:, None]
             at = pa.array(np.repeat(np.arange(len(x)), len(used)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(used, len(x)), pa.int32()), pa.array(bound.ravel()), *(c.take(at) for c in batch.columns)], names=["cluster", "bound", "id", "label", "vec"])
+            own = [*batch.columns[:2], pa.array(packed_rows(x), pa.binary())] if whole else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(used, len(x)), pa.int32()), pa.array(bound.ravel()), *(c.take(at) for c in own)], names=names)
 
-    return rows.select("id", "label", "vec").mapInArrow(run, "cluster int, bound double, id long, label int, vec array<long>")
+    return rows.select("id", "label", "vec").mapInArrow(run, "cluster int, bound double" + ", id long, label int, vec binary" * whole)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -108,28 +111,41 @@ def packed(x: np.ndarray) -> bytes:
     return (b"2" if small else b"8") + x.astype("<i2" if small else "<i8").tobytes()
 
 
-def unpacked(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(data, "<i2" if data[:1] == b"2" else "<i8", offset=1).reshape(-1, size)
+def packed_rows(x: np.ndarray) -> list[bytes]:
+    """`packed` of each row, all of one width."""
+    data = packed(x)
+    width = (len(data) - 1) // max(1, len(x))
+    return [data[:1] + data[at : at + width] for at in range(1, 1 + width * len(x), width)] if width else [data[:1]] * len(x)
 
 
-def shared_lists(bounded: DataFrame, clusters: int, page_rows: int, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
+def joined(rows: list[bytes], size: int) -> bytes:
+    """Packed rows, of different widths perhaps, as one packed matrix."""
+    if len({r[:1] for r in rows}) == 1:
+        return rows[0][:1] + b"".join(r[1:] for r in rows)
+    return packed(np.vstack([unpacked(r, 1, size).astype(np.int64) for r in rows]))
+
+
+def unpacked(data: bytes, rows: int, size: int) -> np.ndarray:
+    return np.frombuffer(data[1:], "<i2" if data[:1] == b"2" else "<i8").reshape(rows, size)
+
+
+def shared_lists(rows: DataFrame, centres: np.ndarray, reach: np.ndarray, page_rows: int, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
     """The lists in chunks (cluster, page, top, ids, labels, vecs), sorted by
     bound, and (cluster, page, top) of all pages. Page k ends at the quantile
     that leaves page_rows * (1 + 4 + .. + 4^k) rows before it."""
-    n = bounded.groupBy("cluster").count().agg(F.max("count")).first()[0] or 0
+    n, size = rows.count(), centres.shape[1]  # each list holds all rows
     ends, held = [], page_rows
     while held < n:
         ends.append(held)
         held = 4 * held + page_rows
     # quantiles need not be exact: a page's bound is measured on its chunks
     shares = [1.0 - e / n for e in ends] or [0.0]
-    cuts = bounded.groupBy("cluster").agg(F.percentile_approx("bound", [float(s) for s in shares], 2000).alias("cuts"))
+    cuts = bounds(rows, centres, reach, whole=False).groupBy("cluster").agg(F.percentile_approx("bound", [float(s) for s in shares], 2000).alias("cuts"))
     page = F.size(F.filter("cuts", lambda c: c > F.col("bound"))) if ends else F.lit(0)
-    dealt = bounded.join(F.broadcast(cuts), "cluster").withColumn("page", page)  # one row for each cluster, `clusters` at most
+    dealt = bounds(rows, centres, reach).join(F.broadcast(cuts), "cluster").withColumn("page", page)  # cuts: one row for each cluster
     # equal bounds may hold any share of the rows, so a hash of the rest cuts them
     order = ["cluster", "page", F.desc("bound"), F.xxhash64("vec", "id")]
     dealt = dealt.select("cluster", "page", "bound", "id", "label", "vec").repartitionByRange(*order).sortWithinPartitions(*order)
-    size_of = lambda column: len(column[0]) if len(column) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chunk_rows):
@@ -139,7 +155,7 @@ def shared_lists(bounded: DataFrame, clusters: int, page_rows: int, chunk_rows:
             for at, end in zip(starts, [*starts[1:], batch.num_rows]):
                 cut = batch.slice(at, end - at)
                 ids = cut.column(3).fill_null(NO_ID).to_numpy()
-                out.append((cut.column(0)[0].as_py(), cut.column(1)[0].as_py(), float(cut.column(2).to_numpy().max()), ids.astype("<i8").tobytes(), cut.column(4).to_numpy().astype("<i4").tobytes(), packed(matrix(cut, 5, size_of(cut.column(5))))))
+                out.append((cut.column(0)[0].as_py(), cut.column(1)[0].as_py(), float(cut.column(2).to_numpy().max()), ids.astype("<i8").tobytes(), cut.column(4).to_numpy().astype("<i4").tobytes(), joined(cut.column(5).to_pylist(), size)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
 
     names = ["cluster", "page", "top", "ids", "labels", "vecs"]
@@ -194,15 +210,17 @@ def walked_page(open_: DataFrame, chunks: DataFrame, size: int, same: bool, k: i
             *fields, us, top, ids, labels, vecs = (c[0].as_py() for c in batch.columns)
             search = {c: np.frombuffer(x, t) for (c, t), x in zip(kinds.items(), fields)}
             # this chunk's own bound may already be too low for some
+            rows = len(search["norm"])
             live = np.flatnonzero(search["norm"] * top >= np.maximum(search["lo"], search["kth"]))
             if not len(live):
                 continue
             search = {c: x[live] for c, x in search.items()}
             _, first, at = np.unique(search["row"], return_index=True, return_inverse=True)
-            u = unpacked(us, size)[live][first]
-            out = list(best_of_chunk(search, u, at, np.frombuffer(ids, "<i8"), np.frombuffer(labels, "<i4"), unpacked(vecs, size), same, k))
-            rows, found, score = (np.array(x, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(search["id"][rows]), pa.array(search["of"][rows]), pa.array(found), pa.array(score)], names=["id", "of", "found", "score"])
+            u = unpacked(us, rows, size)[live][first]
+            own = np.frombuffer(ids, "<i8")
+            out = list(best_of_chunk(search, u, at, own, np.frombuffer(labels, "<i4"), unpacked(vecs, len(own), size), same, k))
+            of, found, score = (np.array(x, np.int64) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(search["id"][of]), pa.array(search["of"][of]), pa.array(found), pa.array(score)], names=["id", "of", "found", "score"])
 
     met = packs.join(chunks, "cluster").select(*kinds, "us", "top", "ids", "labels", "vecs")
     return met.mapInArrow(walk, "id long, of long, found long, score long")
@@ -257,7 +275,7 @@ def hard_negatives(
     reach = np.full(len(centres), -1.0)
     for r in members.groupBy("cluster").agg(F.max("angle").alias("angle")).collect():
         reach[r.cluster] = r.angle + SLACK
-    chunks, pages = shared_lists(bounds(rows, centres, reach), clusters, page_rows, chunk_rows)
+    chunks, pages = shared_lists(rows, centres, reach, page_rows, chunk_rows)
     members = members.withColumn("row", F.xxhash64("label", "vec"))
     ask = members.select("id", F.col("row").alias("of"), "row", "label", F.lit(OPEN_LOW).alias("lo"), F.lit(OPEN_HIGH).alias("hi"), "vec", "cluster", "norm")
     near = written(search(ask, chunks, pages, size, True, positives), "positives")

@@ -46,7 +46,7 @@ def of_one_length(rows: DataFrame, vector: str) -> tuple[DataFrame, int]:
 
 
 def matrix(batch: pa.RecordBatch, column: int, size: int) -> np.ndarray:
-    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
 
 
 def sums(rows: DataFrame, vector: str, size: int) -> tuple[int, list[int]]:

@@ -166,6 +166,20 @@ def test_hard_negatives_small(spark, rows):
     assert collections.Counter(map(tuple, got.collect())) == brute_negatives([r for r in rows if r[2]], lambda i: i % 50 == 0)
 
 
+def test_vectors_of_any_width_join_into_chunks():
+    rng = np.random.default_rng(8)
+    for most, size in ((100, 3), (2**20, 3), (2**14, 0)):
+        x, y = rng.integers(-100, 100, (5, size)), rng.integers(-most, most, (7, size))
+        both = hardneg.joined(hardneg.packed_rows(x) + hardneg.packed_rows(y), size)
+        assert np.array_equal(hardneg.unpacked(both, 12, size), np.vstack([x, y]))
+
+
+def test_vectors_without_entries_all_score_zero(spark):
+    rows = [(50, 1, []), (51, 1, []), (52, 2, []), (53, 2, [])]
+    got = hardneg.hard_negatives(spark.createDataFrame(rows, "id long, label int, vec array<long>"), F.col("id") % 50 == 0)
+    assert sorted(map(tuple, got.collect())) == [(50, 51, 1, 52, 0, 0), (50, 51, 2, 53, 0, 0)]
+
+
 def test_op12_contract_and_odd_rows(spark, tmp_path):
     assert queries.op12_shared_lists(spark, SF).dtypes == [("anchor_id", "bigint"), ("positive_id", "bigint"), ("rank", "int"), ("negative_id", "bigint"), ("positive_score", "bigint"), ("negative_score", "bigint")]
     rng = np.random.default_rng(4)
