@@ -40,3 +40,17 @@ def test_children_are_found_without_a_join_of_all_pairs(spark):
     plan = views.child_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
     assert views.child_edges(spark, "/root/testdata/sf0.001").agg(F.count("*")).first()[0] > 0
+
+
+def test_overlap_shuffles_nodes_not_pairs(spark):
+    """200 nodes with one entity: 19 900 pairs, but no exchange carries more than the nodes in their blocks."""
+    from grovework.operators import graph
+
+    nodes = spark.createDataFrame([(f"n{i:03d}", "d") for i in range(200)], "node_id string, document_id string")
+    given = spark.createDataFrame([(f"n{i:03d}", "All", 5, 0) for i in range(200)] + [("n000", "one", 9, 1)], "node_id string, name string, importance int, rank int")
+    rows = graph.entity_overlap(given, nodes, 50)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().splitlines()[0].startswith(("Project", "MapInArrow")) and "Aggregate" not in plan.split("MapInArrow")[0]
+    found = rows.collect()
+    assert len(found) == len({(r.a, r.b) for r in found}) == 199 * 100 and all(r.a < r.b for r in found)
+    assert {round(r.score, 6) for r in found if r.a != "n000"} == {0.5} and {round(r.score, 6) for r in found if r.a == "n000"} == {0.25}
