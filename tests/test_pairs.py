@@ -54,3 +54,53 @@ def test_overlap_shuffles_nodes_not_pairs(spark):
     found = rows.collect()
     assert len(found) == len({(r.a, r.b) for r in found}) == 199 * 100 and all(r.a < r.b for r in found)
     assert {round(r.score, 6) for r in found if r.a != "n000"} == {0.5} and {round(r.score, 6) for r in found if r.a == "n000"} == {0.25}
+
+
+def test_letters_of_a_batch_need_little_memory(spark):
+    """Numbers for each letter of the whole batch once took some thirty times its size."""
+    import tracemalloc
+
+    from grovework.operators.embedding import letter_counts, over_arrays
+
+    texts = ["Az bz, É" * 500] * 2000  # 8 MB
+    tracemalloc.start()
+    counts = letter_counts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000 and counts[0].tolist() == [500.0, 500.0, *[0.0] * 23, 1000.0]
+    rows = spark.createDataFrame([(1, ["ab", "", "Z"]), (2, []), (3, ["c"])], "k int, t array<string>").coalesce(1)
+    found = {r.k: r.v for r in rows.select("k", over_arrays(letter_counts, 2)(F.col("t")).alias("v")).collect()}
+    assert [len(found[k]) for k in (1, 2, 3)] == [3, 0, 1] and found[1][2][25] == found[3][0][2] == 1.0 and sum(found[1][1]) == 0.0
+
+
+def test_nearest_edges_are_the_top_neighbours(spark):
+    """One large document in many blocks with copies, small ones besides."""
+    from grovework.operators import graph
+
+    rng = np.random.default_rng(5)
+    made = [rng.standard_normal(4).tolist() for _ in range(60)]
+    nodes = [(f"n{k:03d}", "big" if k < 150 else f"small{k % 9}", 0, made[k % 60]) for k in range(180)]
+    ents = [(n, name, int(rng.integers(1, 11)), r) for n, *_ in nodes for r, name in enumerate({"All", *rng.choice([f"E{i}" for i in range(40)], 2).tolist()})]
+    frame = spark.createDataFrame(nodes, "node_id string, document_id string, layer int, embedding array<double>")
+    given = spark.createDataFrame(ents, "node_id string, name string, importance int, rank int")
+    want = {(r.src, r.rank): r.dst for r in graph.top_neighbours(graph.build_edges(frame, given)).collect()}
+    wide = {(r.a, r.b, round(r.sim, 9)) for r in graph.knn_graph(frame, 5).collect()}
+    original = graph.weighed_pairs
+    try:
+        for each in (1024, 20, 3):
+            graph.weighed_pairs = lambda *a, **b: original(*a, rows_each=each, **b)  # noqa: B023
+            assert {(r.src, r.rank): r.dst for r in graph.nearest_edges(frame, given).collect()} == want
+            assert {(r.a, r.b, round(r.sim, 9)) for r in graph.knn_graph(frame, 5).collect()} == wide
+    finally:
+        graph.weighed_pairs = original
+
+
+def test_a_tree_makes_no_edges_unless_they_are_read(spark, monkeypatch):
+    from grovework.operators import graph, tree
+
+    names = []
+    monkeypatch.setattr(tree, "written", lambda rows, name: names.append(name) or graph.written(rows, name))
+    base = spark.createDataFrame([(f"n{i}", "d", 0, i, False, f"Text {i}.", [1.0, float(i)]) for i in range(6)], "node_id string, document_id string, layer int, chunk_index int, is_summary boolean, text string, embedding array<double>")
+    made, edges = tree.build_tree(base, cluster=lambda nodes, entities, layer: nodes.select("document_id", "node_id", F.lit(0).alias("cluster")))
+    assert made.count() == 7 and "graph" not in names and "layer1" in names
+    assert edges.count() > 0
