@@ -104,3 +104,20 @@ def test_a_tree_makes_no_edges_unless_they_are_read(spark, monkeypatch):
     made, edges = tree.build_tree(base, cluster=lambda nodes, entities, layer: nodes.select("document_id", "node_id", F.lit(0).alias("cluster")))
     assert made.count() == 7 and "graph" not in names and "layer1" in names
     assert edges.count() > 0
+
+
+def test_communities_without_a_list_of_edges_agree_with_those_of_the_list(spark):
+    from grovework.operators import cluster, graph
+
+    rng = np.random.default_rng(7)
+    nodes = [(f"n{k:03d}", "big" if k < 320 else f"small{k % 4}", 0, (rng.standard_normal(5) + 2 * np.eye(5)[k % 5]).tolist()) for k in range(340)]
+    ents = [(n, str(name), 5, r) for n, *_ in nodes for r, name in enumerate(rng.choice([f"E{i}" for i in range(40)], 3, replace=False))]
+    frame = spark.createDataFrame(nodes, "node_id string, document_id string, layer int, embedding array<double>")
+    given = spark.createDataFrame(ents, "node_id string, name string, importance int, rank int")
+    for least in (0.3, 0.8):
+        want = sorted(map(tuple, cluster.communities(graph.pairwise(frame, least), frame).collect()))
+        assert sorted(map(tuple, cluster.similar_communities(frame, least).collect())) == want
+        assert len({c for d, _, c in want if d == "big"}) > 1
+    want = sorted(map(tuple, cluster.communities(graph.combined_similarity(frame, given), frame).collect()))
+    assert sorted(map(tuple, cluster.cluster_communities(frame, given).collect())) == want
+    assert sorted(map(tuple, cluster.similar_communities(frame, 0.3, most_nodes=100).collect())) == sorted(map(tuple, cluster.communities(graph.pairwise(frame, 0.3), frame).collect()))
