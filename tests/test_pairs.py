@@ -121,3 +121,32 @@ def test_communities_without_a_list_of_edges_agree_with_those_of_the_list(spark)
     want = sorted(map(tuple, cluster.communities(graph.combined_similarity(frame, given), frame).collect()))
     assert sorted(map(tuple, cluster.cluster_communities(frame, given).collect())) == want
     assert sorted(map(tuple, cluster.similar_communities(frame, 0.3, most_nodes=100).collect())) == sorted(map(tuple, cluster.communities(graph.pairwise(frame, 0.3), frame).collect()))
+
+
+def test_descent_is_the_same_in_few_and_many_blocks_and_never_joins_pairs_with_vectors(spark, monkeypatch):
+    """One block; vectors sent to all blocks; vectors sent where they are named. Nodes without vectors, copies, an empty table."""
+    from grovework.operators import descent
+
+    rng = np.random.default_rng(5)
+    rows = [("a", f"n{k:03d}", v) for k, v in enumerate(rng.standard_normal((300, 5)).tolist())] + [("b", f"n{k:03d}", [1.0, float(k % 3), 0.0, 0.0, 1.0]) for k in range(40)]
+    nodes = spark.createDataFrame([*rows, ("a", "none", None), ("c", "one", [1.0] * 5), ("d", "void", None)], "document_id string, node_id string, embedding array<double>")
+    plans, keep = [], descent.written
+
+    def spy(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return keep(df, name)
+
+    monkeypatch.setattr(descent, "written", spy)
+    found = []
+    for block, copies in ((16_384, 8), (64, 8), (64, 2)):
+        monkeypatch.setattr(descent, "BLOCK", block, raising=False)
+        monkeypatch.setattr(descent, "COPIES", copies, raising=False)
+        near, compared = descent.descended(nodes, width=5, most=4, rounds=3)
+        got = sorted((r.document_id, r.v, r.u, round(r.sim, 12)) for r in near.collect())
+        assert compared > 0 and len({r[:3] for r in got}) == len(got)
+        found.append(got)
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {"a", "b"}
+    assert max(sum(r[:2] == ("a", v) for r in found[0]) for v in {r[1] for r in found[0]}) == 5
+    rounds = [plan for name, plan in plans if name == "compared" and "FlatMapCoGroupsInArrow" in plan]
+    assert len(rounds) == 9 and not any("zip_with" in plan for plan in rounds)
+    assert descent.descended(nodes.limit(0))[0].count() == 0
