@@ -56,6 +56,22 @@ def test_overlap_shuffles_nodes_not_pairs(spark):
     assert {round(r.score, 6) for r in found if r.a != "n000"} == {0.5} and {round(r.score, 6) for r in found if r.a == "n000"} == {0.25}
 
 
+def test_a_node_goes_to_eight_tasks_at_the_most_and_every_pair_meets_once(spark, monkeypatch):
+    """300 nodes in blocks of 20 once were copied fifteen times each, so what is shuffled grew with the square."""
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal((300, 4))
+    nodes = spark.createDataFrame([(f"n{k:03d}", "d", v) for k, v in enumerate(vectors.tolist())], "node_id string, document_id string, embedding array<double>")
+    pairs_of = lambda: pairs.weighed_pairs(nodes, None, pairs.cosine_only, rows_each=20)
+    found = pairs_of().collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    want = {(f"n{a:03d}", f"n{b:03d}"): (unit[a] @ unit[b]) for a in range(300) for b in range(a + 1, 300)}
+    assert len(found) == len(want) and all(abs(want[r.a, r.b] - r.sim) < 1e-12 for r in found)
+
+    monkeypatch.setattr(type(nodes), "mapInArrow", lambda rows, *_: rows)
+    copies = pairs_of().groupBy("node_id").count().collect()
+    assert len(copies) == 300 and max(r["count"] for r in copies) <= 8
+
+
 def test_letters_of_a_batch_need_little_memory(spark):
     """Numbers for each letter of the whole batch once took some thirty times its size."""
     import tracemalloc
