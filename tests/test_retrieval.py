@@ -486,3 +486,24 @@ def test_a_mixture_stands_in_where_communities_fail(spark, monkeypatch):
     with pytest.warns(UserWarning):
         made = cluster.cluster_adaptive(n, None)
     assert {r.node_id for r in made.collect()} == {f"n{k}" for k in range(40)}
+
+
+def test_hops_read_texts_to_their_end(spark, monkeypatch):
+    """Contexts once were of the first 20 characters of each text."""
+    from grovework.plans import queries
+
+    texts = [f"text {k} " + "x" * 40_000 + f" end {k}" for k in range(3)]
+    rows = spark.createDataFrame([(1, k + 1, t, False, 0, "tree") for k, t in enumerate(texts)], "query_id long, rank int, text string, is_summary boolean, layer int, source string")
+    assert retrieval.build_context(rows, None).first().context == "\n---\n".join(f"[Chunk - Layer 0 - Source: tree]\n{t}\n" for t in texts)
+    assert "end 1" not in retrieval.build_context(rows).first().context
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    contexts, original = [], queries.R.build_context
+    monkeypatch.setattr(retrieval, "build_context", lambda found, *a: contexts.append((found, a)) or original(found, *a))
+    assert queries.QUERIES["i16_answered_hops"](spark, sf).count() > 0
+    whole = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert contexts and all(a == (None,) for _, a in contexts)
+    first = contexts[0][0].select("node_id", "text").collect()
+    assert max(len(r.text) for r in first) > 20 and all(r.text == whole[int(r.node_id)] for r in first)
