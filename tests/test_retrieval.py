@@ -507,3 +507,24 @@ def test_hops_read_texts_to_their_end(spark, monkeypatch):
     assert contexts and all(a == (None,) for _, a in contexts)
     first = contexts[0][0].select("node_id", "text").collect()
     assert max(len(r.text) for r in first) > 20 and all(r.text == whole[int(r.node_id)] for r in first)
+
+
+def test_a_failure_of_communities_shows(spark, monkeypatch):
+    """A mixture that stood in once looked like communities, in the query too."""
+    from grovework.plans import queries
+
+    n = spark.createDataFrame([("d", f"n{k}", [1.0, float(k % 2)]) for k in range(8)], "document_id string, node_id string, embedding array<double>")
+    none = spark.createDataFrame([], "node_id string, name string, type string, importance int, rank int")
+    assert {r.method for r in cluster.cluster_adaptive(n, none).collect()} == {"communities"}
+
+    def fails(*_):
+        raise ValueError("no graph")
+
+    monkeypatch.setattr(cluster, "cluster_communities", fails)
+    with pytest.warns(UserWarning):
+        assert {r.method for r in cluster.cluster_adaptive(n, none).collect()} == {"mixture"}
+    with pytest.raises(ValueError, match="no graph"):
+        cluster.cluster_adaptive(n, none, stand_in=False)
+    if os.path.isdir("/root/testdata/sf0.001"):
+        with pytest.raises(ValueError, match="no graph"):
+            queries.QUERIES["g07_cluster_adaptive"](spark, "/root/testdata/sf0.001")
