@@ -166,3 +166,54 @@ def test_descent_is_the_same_in_few_and_many_blocks_and_never_joins_pairs_with_v
     rounds = [plan for name, plan in plans if name == "compared" and "FlatMapCoGroupsInArrow" in plan]
     assert len(rounds) == 9 and not any("zip_with" in plan for plan in rounds)
     assert descent.descended(nodes.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("wide, tracked", [(1024, 8_000_000), (64, 900), (256, 3000), (16, 1)])
+def test_communities_are_the_same_however_few_edges_are_weighed_again(monkeypatch, wide, tracked):
+    """Many, few and no communities kept between rounds; copies, null vectors, entities, nodes apart from all."""
+    import pyarrow as pa
+
+    from grovework.operators import cluster, graph
+
+    monkeypatch.setattr(cluster, "WIDE", wide)
+    monkeypatch.setattr(cluster, "TRACKED", tracked)
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        n, groups = 300, int(rng.integers(2, 40))
+        v = [(rng.standard_normal(6) + 2 * rng.standard_normal((groups, 6))[k % groups]).tolist() if seed % 2 else (rng.standard_normal(6) + 3 * np.eye(6)[k % 5]).tolist() for k in range(n)]
+        v[7], v[8], v[9] = v[3], v[3], None
+        kinds = [sorted(rng.choice(60, rng.integers(0, 6), replace=False).tolist()) + ([99] if k % 3 == 0 else []) for k in range(n)]
+        unit = [None if x is None else (np.array(x) / np.linalg.norm(x)).tolist() for x in v]
+        ids = [f"n{k:03d}" for k in range(n)]
+        table = pa.table({"node_id": ids, "v": pa.array(unit, pa.list_(pa.float64())), "codes": pa.array(kinds, pa.list_(pa.int64())), "importances": pa.array([[1 + c % 9 for c in x] for x in kinds], pa.list_(pa.int32()))})
+        may = cluster.coins(rng.integers(-(2**62), 2**62, (n, 3)), 12)
+        for weigh, summed, least in ((pairs.cosine_only, True, 0.5), (graph.combined_weight, False, 0.3), (graph.edge_weight, True, 0.4)):
+            side = pairs.Side.of(table, np.arange(n))
+            full = np.array(pairs.weighed(side, side, weigh))
+            np.fill_diagonal(full, -1.0)
+            src, dst = np.nonzero(full > least)
+            want = cluster.parts_of_one(cluster.Edges(src, dst, full[src, dst], n), may, 12, 1.0)
+            assert len(np.unique(want)) > 1
+            assert np.array_equal(cluster.parts_of_one(cluster.Weighed(side, weigh, least, summed), may, 12, 1.0), want)
+
+
+def test_rounds_weigh_only_what_moved():
+    """All pairs once were weighed in each round: some seventeen times."""
+    import pyarrow as pa
+
+    from grovework.operators import cluster
+
+    rng = np.random.default_rng(2)
+    n, weighed = 6000, []
+    v = np.concatenate([np.eye(4)[np.arange(n) % 4], 0.1 * rng.standard_normal((n, 64))], axis=1)
+    none = pa.array([[]] * n, pa.list_(pa.int64()))
+    table = pa.table({"v": pa.array((v / np.linalg.norm(v, axis=1)[:, None]).tolist(), pa.list_(pa.float64())), "codes": none, "importances": none})
+
+    def counted(cosine, *_):
+        weighed.append(cosine.size)
+        return cosine
+
+    may = cluster.coins(rng.integers(-(2**62), 2**62, (n, 3)), 12)
+    parts = cluster.parts_of_one(cluster.Weighed(pairs.Side.of(table, np.arange(n)), counted, 0.3), may, 12, 1.0)
+    assert np.array_equal(parts, np.arange(n) % 4)
+    assert sum(weighed) < 7 * n * n
