@@ -217,3 +217,18 @@ def test_rounds_weigh_only_what_moved():
     parts = cluster.parts_of_one(cluster.Weighed(pairs.Side.of(table, np.arange(n)), counted, 0.3), may, 12, 1.0)
     assert np.array_equal(parts, np.arange(n) % 4)
     assert sum(weighed) < 7 * n * n
+
+
+def test_a_tree_weighs_no_importances_and_deals_documents_apart(spark, monkeypatch):
+    """Trees once summed importances of all pairs that none of their weights reads, and dealt documents to as few tasks as other tables."""
+    from grovework.operators import cluster
+
+    plans, numbered = [], cluster.numbered
+    monkeypatch.setattr(cluster, "numbered", lambda parts, nodes: plans.append(parts) or numbered(parts, nodes))
+    asked = []
+    monkeypatch.setattr(cluster, "_weighed_parts", lambda *a, _of=cluster._weighed_parts: asked.append(a[-1]) or _of(*a))
+    nodes = spark.createDataFrame([(f"n{k}", f"doc{k % 10}", [1.0, float(k % 2)]) for k in range(60)], "node_id string, document_id string, embedding array<double>")
+    given = spark.createDataFrame([(f"n{k}", "All", 5, 0) for k in range(60)], "node_id string, name string, importance int, rank int")
+    assert cluster.cluster_communities(nodes, given).count() == 60 and asked == [False]
+    tasks = plans[0].select("document_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == len({r.task for r in tasks}) == 10
